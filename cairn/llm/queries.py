@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairn.llm import exact_dedup, mixing
+from cairn.llm import exact_dedup, mixing, near_dup
 from cairn.llm.common import read
 
 
@@ -12,9 +13,14 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_dup.near_groups(read(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op8_chunk_recipes)}
+QUERIES = {f.__name__: f for f in (op2_source_mix, op7_gray_index, op8_chunk_recipes)}
 ORACLES = {"op8_chunk_recipes": exact_dedup.ORACLE}
