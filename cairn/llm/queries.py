@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import exact_dedup, mixing, near_dup
+from cairn.llm import exact_dedup, line_dedup, mixing, near_dup
 from cairn.llm.common import read
 
 
@@ -22,5 +22,10 @@ def op8_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op7_gray_index, op8_chunk_recipes)}
-ORACLES = {"op8_chunk_recipes": exact_dedup.ORACLE}
+def op10_line_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_source_mix, op7_gray_index, op8_chunk_recipes, op10_line_hash)}
+ORACLES = {"op8_chunk_recipes": exact_dedup.ORACLE, "op10_line_hash": line_dedup.ORACLE}
