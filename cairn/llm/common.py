@@ -36,11 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+def stage(df: DataFrame, spark: SparkSession | None = None, codec: str = "snappy") -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage ends here, and no later loss repeats the work."""
     spark = spark or df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

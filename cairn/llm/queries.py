@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import exact_dedup, line_dedup, mixing, near_dup
+from cairn.llm import exact_dedup, line_dedup, mixing, near_dup, token_files
 from cairn.llm.common import read
 
 
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file, which every machine has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digests(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op7_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_dup.near_groups(read(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -27,5 +38,5 @@ def op10_line_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op7_gray_index, op8_chunk_recipes, op10_line_hash)}
+QUERIES = {f.__name__: f for f in (op2_source_mix, op4_token_files, op7_gray_index, op8_chunk_recipes, op10_line_hash)}
 ORACLES = {"op8_chunk_recipes": exact_dedup.ORACLE, "op10_line_hash": line_dedup.ORACLE}
