@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import stage
-from cairn.llm.components import components
+from cairn.llm.components import components, union
 
 SHINGLE, BITS_APART, SEED = 3, 3, 42
 BLOCK, LEAF, FANOUT = 32768, 32, 8
+#: Pairs of fingerprints for one task, before any are pruned; rows of one file of an upper level.
+TASK_PAIRS, NODES = BLOCK * BLOCK // 4, 100_000
 _SPREAD = 2_000_000  # distances worked out at once
 
 
@@ -88,19 +90,19 @@ def index_blocks(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 def index_levels(blocks: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
     """The index from the top: a table (node, parent, mask, value) a level, the last of the blocks. All nodes of the first have parent 0."""
     levels, top = [], blocks.agg(F.max("node")).first()[0] or 0
-    level = blocks.select("node", "mask", "value")
+    level = blocks.select("node", "mask", "value", (F.octet_length("fps") / 8).alias("n"))
     while True:
         levels.append(level.withColumn("parent", F.expr(f"node div {fanout}")))
         top //= fanout
         if not top:
             return levels[::-1]
-        shared = levels[-1].groupBy("parent").agg(F.expr("bit_and(mask)").alias("m"), F.expr("bit_and(value)").alias("every"), F.expr("bit_or(value)").alias("some"))
+        shared = levels[-1].groupBy("parent").agg(F.expr("bit_and(mask)").alias("m"), F.expr("bit_and(value)").alias("every"), F.expr("bit_or(value)").alias("some"), F.sum("n").alias("n"))
         mask = F.col("m").bitwiseAND(F.bitwise_not(F.col("every").bitwiseXOR(F.col("some"))))
-        level = stage(shared.select(F.col("parent").alias("node"), mask.alias("mask"), F.col("every").bitwiseAND(mask).alias("value")))
+        level = stage(shared.select(F.col("parent").alias("node"), mask.alias("mask"), F.col("every").bitwiseAND(mask).alias("value"), "n").coalesce(1 + top // NODES))
 
 
 def near_blocks(levels: list[DataFrame], apart: int = BITS_APART) -> DataFrame:
-    """(a, b) for the pairs of blocks, a <= b, whose patterns allow fingerprints at most `apart` bits from each other."""
+    """(a, b, work) for the pairs of blocks, a <= b, whose patterns allow fingerprints at most `apart` bits from each other; work is how many pairs they hold."""
     pairs = None
     for level in levels:
         a, b = (level.select(*(F.col(c).alias(f"{c}_{x}") for c in level.columns)) for x in "ab")
@@ -110,20 +112,8 @@ def near_blocks(levels: list[DataFrame], apart: int = BITS_APART) -> DataFrame:
             pairs = pairs.join(a, F.col("parent_a") == F.col("a")).join(b, F.col("parent_b") == F.col("b"))
         common = F.col("mask_a").bitwiseAND(F.col("mask_b"))
         more = F.bit_count(F.col("value_a").bitwiseXOR(F.col("value_b")).bitwiseAND(common).bitwiseAND(F.bitwise_not(F.col("seen"))))
-        pairs = pairs.where("node_a <= node_b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), (F.col("apart") + more).alias("apart"), common.alias("seen")).where(F.col("apart") <= apart)
-    return pairs.select("a", "b")
-
-
-def _union(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
-    """Joins the trees of u and v, each root under the smaller; afterwards every node points to its root."""
-    while True:
-        a, b = parent[u], parent[v]
-        differ = a != b
-        if not differ.any():
-            return
-        np.minimum.at(parent, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
-        while (up := parent[parent]).tobytes() != parent.tobytes():
-            parent[:] = up
+        pairs = pairs.where("node_a <= node_b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), (F.col("apart") + more).alias("apart"), common.alias("seen"), (F.col("n_a") * F.col("n_b")).alias("work")).where(F.col("apart") <= apart)
+    return pairs.select("a", "b", "work")
 
 
 def block_forest(a: np.ndarray, b: np.ndarray, same: bool, apart: int = BITS_APART, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +137,7 @@ def block_forest(a: np.ndarray, b: np.ndarray, same: bool, apart: int = BITS_APA
         for k in range(0, len(left), n := max(1, _SPREAD // leaf**2)):
             i, j = at_a[left[k : k + n]], at_b[right[k : k + n]]
             p, q, r = np.nonzero(np.bitwise_count(a[i][:, :, None] ^ b[j][:, None, :]) <= apart)
-            _union(parent, i[p, q], j[p, r] + base)
+            union(parent, i[p, q], j[p, r] + base)
     far = np.nonzero(parent != np.arange(len(x)))[0]
     return x[far], x[parent[far]]
 
@@ -156,8 +146,10 @@ def fingerprint_links(fps: DataFrame, apart: int = BITS_APART) -> DataFrame:
     """(u, v): edges that connect the distinct fingerprints `fp` as links of at most `apart` bits do; at most one a fingerprint and pair of blocks."""
     blocks = index_blocks(fps)
     pairs = stage(near_blocks(index_levels(blocks), apart))
+    number, work = pairs.agg(F.count("*"), F.sum("work")).first()
+    tasks = max(1, min(number, int((work or 0) // TASK_PAIRS)))
     a, b = (blocks.select(F.col("node").alias(x), F.col("fps").alias(f"fps_{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "fps_a", "fps_b").repartition(max(1, pairs.count()))
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "fps_a", "fps_b").repartition(tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
