@@ -53,7 +53,7 @@ def _running(df: DataFrame, value: str, order: list[str]) -> DataFrame:
     own = W.partitionBy("sid", "shard").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     sums = df.groupBy("sid", "shard").agg(F.sum(value).alias("n"))
     sums = sums.withColumn("earlier", F.sum("n").over(W.partitionBy("sid").orderBy("shard")) - F.col("n")).drop("n")
-    return df.withColumn("own", F.sum(value).over(own)).join(sums, ["sid", "shard"]).withColumn("before", F.col("earlier") + F.col("own") - F.col(value)).drop("own", "earlier", "shard")
+    return df.withColumn("own", F.sum(value).over(own)).join(sums.hint("merge"), ["sid", "shard"]).withColumn("before", F.col("earlier") + F.col("own") - F.col(value)).drop("own", "earlier", "shard")
 
 
 def schedule(plan: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -93,5 +93,5 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     slots = schedule(plan, b).select("sid", "block", "words")
     start = F.col("block") * b
     overlap = F.when(F.col("words").isNotNull(), F.greatest(F.lit(0), F.least("end", start + F.col("words")) - F.greatest("before", start)))
-    taken = pieces.join(slots, ["sid", "block"], "left").groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("sid").alias("sid"), F.first("size").alias("size"), F.sum(F.coalesce(overlap, F.lit(0))).cast("long").alias("taken"))
+    taken = pieces.join(slots.hint("merge"), ["sid", "block"], "left").groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("sid").alias("sid"), F.first("size").alias("size"), F.sum(F.coalesce(overlap, F.lit(0))).cast("long").alias("taken"))
     return taken.join(small(plan.select("sid", "source_size", "target")), "sid").select("uid", "doc_id", "size", "source_size", "target", "taken")
