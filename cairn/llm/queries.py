@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe_lexicon, exact_dedup, line_dedup, mixing, near_dup, token_files
+from cairn.llm import bpe_lexicon, exact_dedup, line_dedup, mixing, near_dup, sketches, token_files
 from cairn.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op5_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.edit_report(read(spark, sf_dir, "documents"))
+
+
 def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_lexicon.encode_digests(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -42,5 +46,5 @@ def op10_line_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op4_token_files, op6_bpe_lexicon, op7_gray_index, op8_chunk_recipes, op10_line_hash)}
+QUERIES = {f.__name__: f for f in (op2_source_mix, op4_token_files, op5_scaled_sketch, op6_bpe_lexicon, op7_gray_index, op8_chunk_recipes, op10_line_hash)}
 ORACLES = {"op8_chunk_recipes": exact_dedup.ORACLE, "op10_line_hash": line_dedup.ORACLE}
