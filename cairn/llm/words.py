@@ -47,7 +47,7 @@ def shingle_hashes(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
     n = len(h)
     runs = np.zeros(n, np.uint64)
     for k in range(size):
-        runs[: n - k] += h[k:] * _PLACE[k]
+        runs[: max(0, n - k)] += h[k:] * _PLACE[k]
     runs = mix(runs)
     out = []
     for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True):
