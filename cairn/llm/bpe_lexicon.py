@@ -24,24 +24,20 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.token_files import slices
+from cairn.llm.common import stage
+from cairn.llm.token_files import byte_alphabet, slices
 
 #: Words in the lexicon; most of them a worker counts or remembers before it lets go of them.
 LEXICON_WORDS, HELD_WORDS = 1 << 16, 300_000
+#: Longer pieces are merged one by one, through a heap.
+LONG_PIECE, _NO_RANK = 48, 1 << 40
 #: The tokenizer's white space (Unicode's), and its pattern for pieces.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 _WORDS = re.compile(rb" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]")
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
-def byte_alphabet() -> list[str]:
-    """The character that stands for each byte: itself if printable Latin-1, else the next free one from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = iter(range(0x100, 0x200))
-    return [chr(b if b in set(plain) else next(other)) for b in range(256)]
-
-
 class Merges:
     """The tokenizer's own rules: pieces, merges by rank, special tokens, and bytes by id."""
 
@@ -70,7 +66,19 @@ class Merges:
         self.pieces = regex.compile(_PIECES)
         longest = sorted(map(re.escape, self.special), key=len, reverse=True)
         self.split = re.compile(b"(" + b"|".join(longest) + b")") if longest else None
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.known_pieces: dict[bytes, bytes] = {}
+        self.byte_ids = np.array([-1 if x is None else x for x in self.of_byte], np.int64)
+        self.made = np.array([to for _, to in sorted(self.rank.values())], np.int64)
+        by_rank = {r: k for k, (r, _) in enumerate(sorted(self.rank.values()))}
+        # pairs in an open table, at the first free slot from their hash on
+        self.bits = max(8, (4 * len(self.rank)).bit_length())
+        self.pair, self.pair_rank = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, _NO_RANK, np.int64)
+        for (a, b), (r, _) in self.rank.items():
+            at = int(self._slot(np.array([a << 32 | b]))[0])
+            while self.pair[at] >= 0:
+                at = (at + 1) % len(self.pair)
+            self.pair[at], self.pair_rank[at] = a << 32 | b, by_rank[r]
 
     @classmethod
     def of(cls, path: str) -> Merges:
@@ -81,7 +89,7 @@ class Merges:
     def merge(self, piece: bytes) -> list[int]:
         """The piece's ids: of all neighbours the pair of least rank, leftmost first, is merged until none is left."""
         ids, rank = [self.of_byte[b] for b in piece], self.rank
-        if len(ids) > 48:
+        if len(ids) > LONG_PIECE:
             return self._merge_long(ids)
         while len(ids) > 1:
             best, at = None, 0
@@ -113,14 +121,78 @@ class Merges:
                     heapq.heappush(queue, (r[0], p, ids[p], ids[q], r[1]))
         return [x for x in ids if x >= 0]
 
+    def _slot(self, pair: np.ndarray) -> np.ndarray:
+        return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, _NO_RANK where no rule merges it."""
+        pair = a << 32 | b
+        at = self._slot(pair)
+        out, todo = np.full(len(pair), _NO_RANK, np.int64), np.arange(len(pair))
+        while len(todo):
+            there = self.pair[at]
+            hit = there == pair
+            out[todo[hit]] = self.pair_rank[at[hit]]
+            on = ~hit & (there >= 0)
+            todo, pair, at = todo[on], pair[on], (at[on] + 1) % len(self.pair)
+        return out
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """merge() of many short pieces side by side, each as packed 4-byte ids: a round merges the next pair of every piece."""
+        out: list = [b""] * len(pieces)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ids, name = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)], np.repeat(np.arange(len(pieces)), sizes)
+        rank = np.full(len(ids), _NO_RANK, np.int64)
+        inner = np.nonzero(name[1:] == name[:-1])[0]
+        rank[inner] = self.ranks(ids[inner], ids[inner + 1])
+        while len(ids):
+            starts = np.nonzero(np.concatenate([[True], name[1:] != name[:-1]]))[0]
+            least = np.minimum.reduceat(rank, starts)
+            size = np.diff(np.append(starts, len(ids)))
+            done = least == _NO_RANK
+            if done.any():
+                gone = np.repeat(done, size)
+                packed, ends = ids[gone].astype("<u4").tobytes(), np.cumsum(size[done]) * 4
+                for k, a, b in zip(name[starts[done]].tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    out[k] = packed[a:b]
+                ids, name, rank, least, size = ids[~gone], name[~gone], rank[~gone], least[~done], size[~done]
+                if not len(ids):
+                    break
+            at = np.nonzero(rank == np.repeat(least, size))[0]
+            at = at[np.concatenate([[True], name[at][1:] != name[at][:-1]])]  # the leftmost of each piece
+            ids[at] = self.made[rank[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))  # where they are without the ids that went before
+            ids, name, rank = ids[keep], name[keep], rank[keep]
+            rank[at] = _NO_RANK
+            for left in (at - 1, at):
+                left = left[(left >= 0) & (left + 1 < len(ids))]
+                left = left[name[left] == name[left + 1]]
+                rank[left] = self.ranks(ids[left], ids[left + 1])
+        return out
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each run of text without special tokens, packed in 4 bytes each, and remembered."""
+        for held in (self.known, self.known_pieces):
+            if len(held) > HELD_WORDS:
+                held.clear()
+        cut, new = {}, {}
+        for w in words:
+            if w not in self.known:
+                cut[w] = own = [w] if w.isalpha() or w[:1] == b" " and w[1:].isalpha() else [p.encode() for p in self.pieces.findall(w.decode())]
+                for p in own:
+                    if p not in self.known_pieces:
+                        new[p] = None
+        short = [p for p in new if len(p) <= LONG_PIECE]
+        self.known_pieces.update(zip(short, self.merge_all(short), strict=True))
+        self.known_pieces.update((p, np.array(self.merge(p), "<u4").tobytes()) for p in new if len(p) > LONG_PIECE)
+        for w, own in cut.items():
+            self.known[w] = b"".join([self.known_pieces[p] for p in own])
+        return [self.known[w] for w in words]
+
     def word(self, word: bytes) -> np.ndarray:
-        """The ids of a run of text without special tokens, remembered."""
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) > HELD_WORDS:
-                self.known.clear()
-            got = self.known[word] = np.array([i for p in self.pieces.findall(word.decode()) for i in self.merge(p.encode())], np.uint32)
-        return got
+        return np.frombuffer(self.words([word])[0], "<u4")
 
     def odd(self, text: bytes) -> bool:
         """Whether words can't be told by ASCII white space alone."""
@@ -129,7 +201,7 @@ class Merges:
     def whole(self, text: bytes) -> np.ndarray:
         """The ids of any text, by the pattern alone."""
         parts = self.split.split(text) if self.split else [text]
-        ids = [[self.special[p]] if k % 2 else [i for x in self.pieces.findall(p.decode()) for i in self.word(x.encode()).tolist()] for k, p in enumerate(parts)]
+        ids = [[self.special[p]] if k % 2 else [i for x in self.pieces.findall(p.decode()) for i in self.merge(x.encode())] for k, p in enumerate(parts)]
         return np.array([i for x in ids for i in x], np.uint32)
 
 
@@ -302,10 +374,9 @@ def encode_slice(texts: list[bytes], rules: Merges, lexicon: Lexicon) -> list[np
     unseen = np.nonzero(number < 0)[0]
     names: dict[bytes, int] = {}
     number[unseen] = [-1 - names.setdefault(joined[a:b], len(names)) for a, b in zip(starts[unseen].tolist(), ends[unseen].tolist(), strict=True)]
-    merged = [rules.word(w) for w in names]
-    new_ids = np.concatenate([np.zeros(0, np.uint32), *merged])
-    ids = np.concatenate([lexicon.ids, new_ids.astype(np.int32)])
-    new_ends = np.cumsum([len(x) for x in merged], dtype=np.int64) if merged else np.zeros(0, np.int64)
+    merged = rules.words(list(names))
+    ids = np.concatenate([lexicon.ids, np.frombuffer(b"".join(merged), "<u4").astype(np.int32)])
+    new_ends = np.cumsum([len(x) // 4 for x in merged], dtype=np.int64) if merged else np.zeros(0, np.int64)
     all_starts = np.concatenate([lexicon.starts, len(lexicon.ids) + new_ends])  # word k of the new ones is at len(lexicon.starts) - 1 + k
     at = np.where(number >= 0, number, len(lexicon.starts) - 2 - number)
     first, size = all_starts[at].astype(np.int64), (all_starts[at + 1] - all_starts[at]).astype(np.int64)
@@ -320,10 +391,11 @@ def encode_slice(texts: list[bytes], rules: Merges, lexicon: Lexicon) -> list[np
 
 def train_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", words: int = LEXICON_WORDS) -> str:
     """Counts the corpus, builds the lexicon, and hands its file to every executor; returns the file's name there."""
-    found = frequent_words(word_counts(docs, text_col), words)
+    # a word seen once is not frequent, and half of all words are such
+    found = frequent_words(stage(word_counts(docs, text_col).where("n > 1")), words)
     rules = Merges.of(tokenizer)
     found = [w for w in found if not rules.odd(w)]
-    lexicon = Lexicon.build(found, [rules.word(w) for w in found])
+    lexicon = Lexicon.build(found, [np.frombuffer(x, "<u4") for x in rules.words(found)])
     folder = tempfile.mkdtemp(prefix="cairn-")
     path = f"{folder}/lexicon-{uuid.uuid4().hex}.npy"
     lexicon.save(path)
