@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe_lexicon, exact_dedup, line_dedup, mixing, near_dup, sketches, token_files
+from cairn.llm import bpe_lexicon, exact_dedup, line_dedup, mixing, near_dup, neural_lm, quality, sketches, token_files, warc
 from cairn.llm.common import read
 
 
@@ -16,10 +16,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_report(read(spark, sf_dir, "pages"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -41,10 +49,17 @@ def op8_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op9_neural_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neural_lm.lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op10_line_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op4_token_files, op5_scaled_sketch, op6_bpe_lexicon, op7_gray_index, op8_chunk_recipes, op10_line_hash)}
-ORACLES = {"op8_chunk_recipes": exact_dedup.ORACLE, "op10_line_hash": line_dedup.ORACLE}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_warc_captures, op2_source_mix, op3_ftrl_quality, op4_token_files, op5_scaled_sketch, op6_bpe_lexicon, op7_gray_index, op8_chunk_recipes, op9_neural_lm, op10_line_hash)
+}
+ORACLES = {"op1_warc_captures": warc.ORACLE, "op8_chunk_recipes": exact_dedup.ORACLE, "op10_line_hash": line_dedup.ORACLE}
