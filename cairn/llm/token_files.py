@@ -1,22 +1,23 @@
 """Token ids as binary files: ids are ranked by how often the corpus uses them, and ranks written in 1 to 4 whole bytes.
 
-A document is its control bytes, two bits an id that hold the rank's length less one, and then the data bytes. Decoding looks the
-control bytes up in a table of lengths and places all data at once. A file holds blocks in ascending document order:
+Two bits an id, in control bytes of their own, hold the rank's length less one. Decoding looks the control bytes up in a table of
+lengths and places all data at once. A file holds blocks in ascending document order, each with all control bytes before all data:
 
-    magic 4s | documents u4 | tokens u8 | payload u8 | ids i8 each | flags u1 each | tokens u4 each | payload bytes u4 each | payloads | newline
+    magic 4s | documents u4 | control bytes u8 | data bytes u8 | ids i8 each | flags u1 each | tokens u4 each | control | data | newline
 
 all little-endian. Spark's text writer puts the blocks down, so files are committed as any other table of Spark's is, on any file system.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,46 +25,73 @@ from pyspark.sql import functions as F
 from cairn.llm.common import shared_dir, stage
 
 MAGIC, END_ID = b"CVB1", 2
-FILE_BYTES, BLOCK_BYTES = 16 << 20, 4 << 20
+FILE_BYTES, BLOCK_BYTES = 8 << 20, 2 << 20
 #: Words whose ids a worker remembers; when full it forgets them all.
 CACHED_WORDS = 300_000
 
-_LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1  # of the four ids of a control byte
+_CODES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8)  # lengths less one of the four ids of a control byte
 _PLACES = np.arange(4) < np.arange(1, 5)[:, None]  # which of four bytes a rank of each length uses
 
 
-def pack(ranks: np.ndarray) -> bytes:
-    """Control bytes, then data bytes."""
+def pack(ranks: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes and data bytes of documents that lie end to end, and how many data bytes each has. A document begins with a new control byte."""
     code = (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
-    four = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    four[: len(ranks)] = code
+    four = np.zeros(int((-(-sizes // 4)).sum()) * 4, np.uint8)
+    four[_spread(sizes)] = code
     control = (four.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    return control.tobytes() + ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[_PLACES[code]].tobytes()
+    data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[_PLACES[code]]
+    upto = np.concatenate([[0], np.cumsum(code, dtype=np.int64)])[np.concatenate([[0], np.cumsum(sizes)])]
+    return control, data, np.diff(upto) + sizes
 
 
-def unpack(payload: np.ndarray, n: int) -> np.ndarray:
-    """The n ranks of a payload given as bytes."""
-    head = -(-n // 4)
-    lengths = _LENGTHS[payload[:head]].reshape(-1)[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[_PLACES[lengths - 1]] = payload[head:]
+def unpack(control: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ranks of documents of those sizes."""
+    code = _CODES[control].reshape(-1)[_spread(sizes)]
+    out = np.zeros((len(code), 4), np.uint8)
+    out[_PLACES[code]] = data
     return out.view("<u4").reshape(-1)
 
 
+def _spread(sizes: np.ndarray) -> np.ndarray:
+    """The places of ids among quarters of control bytes."""
+    gaps = -sizes % 4
+    return np.arange(int(sizes.sum())) + np.repeat(np.cumsum(gaps) - gaps, sizes)
+
+
+def byte_alphabet() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable Latin-1, else the next free one from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = iter(range(0x100, 0x200))
+    return [chr(b if b in plain else next(other)) for b in range(256)]
+
+
 _ENCODERS: dict = {}
 
 
-class WordEncoder:
-    """A tokenizer whose pieces never span ASCII white space, asked once for each distinct run of other characters."""
+class WordEncoder(dict):
+    """The packed ids of each run of text without ASCII white space, which a piece of the tokenizer never spans.
+
+    The library's normalizer and model do the work, once for each distinct piece; its pattern is read from the tokenizer's
+    file. A text with a special token, or any run under a file of another build, goes through the library whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.model, self.pieces = self.tokenizer.model.tokenize, {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        normalizers = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        known = normalizers == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and splits[0]["invert"] and not splits[1]["use_regex"]
+        self.find = regex.compile(splits[0]["pattern"]["Regex"]).findall if known else None
+        self.letters = dict(enumerate(byte_alphabet()))
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -71,17 +99,34 @@ class WordEncoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
+    def __missing__(self, run: bytes) -> bytes:
+        if self.find is None:
+            out = self._whole(run)
+        elif run.isalpha():  # ASCII letters, one piece
+            out = self._piece(run.lower().decode())
+        else:
+            text = run.decode()
+            text = text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text)
+            out = b"".join(map(self._piece, self.find(text)))
+        self[run] = out
+        return out
+
+    def _piece(self, piece: str) -> bytes:
+        out = self.pieces.get(piece)
+        if out is None:
+            shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+            out = self.pieces[piece] = array(self.kind, [t.id for t in self.model(shown)]).tobytes()
+        return out
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as packed integers of `kind`."""
-        words = [t.split() for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        known, new = self.known, [w for w in set(chain.from_iterable(words)) if w not in self.known]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = array(self.kind, e.ids).tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        for held in (self, self.pieces):
+            if len(held) > CACHED_WORDS:
+                held.clear()
+        return [self._whole(t) if any(x in t for x in self.special) else b"".join(map(self.__getitem__, t.split())) for t in texts]
+
+    def _whole(self, text: bytes) -> bytes:
+        return array(self.kind, self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -96,6 +141,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 512, size
             at = to
 
 
+def values(column: pa.Array, kind: str) -> np.ndarray:
+    """All bytes of a binary column without nulls as one array."""
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind)
+
+
 def token_rows(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID) -> DataFrame:
     """(id, n, ids): each text's ids, the end id after them, as packed unsigned integers (2 bytes if the vocabulary allows, else 4)."""
 
@@ -117,8 +168,7 @@ def id_ranks(tokens: DataFrame, width: int, most: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(most, np.int64)
         for b in slices(batches, 0, 4096):
-            for x in b.column(0):
-                n += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=most)
+            n += np.bincount(values(b.column(0), kind), minlength=most)
         used = np.nonzero(n)[0]
         yield pa.record_batch([pa.array(used.astype(np.int64)), pa.array(n[used])], names=["id", "n"])
 
@@ -139,61 +189,55 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
     rank[by_rank] = np.arange(most, dtype=np.uint32)
     spark.createDataFrame([(bytearray(by_rank.astype("<u4").tobytes()),)], "ids binary").coalesce(1).write.parquet(f"{path}/ranks")
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2):
-            coded = [pack(rank[np.frombuffer(x.as_buffer(), f"<u{width}")]) for x in b.column(2)]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(coded, pa.binary())], names=["id", "n", "payload"])
-
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2, 1 << 16, BLOCK_BYTES):
-            ids, n, data = b.column(0), np.asarray(b.column(1)), b.column(2).to_pylist()
-            sizes = np.fromiter(map(len, data), np.int64, len(data))
-            head = MAGIC + np.array([len(data)], "<u4").tobytes() + np.array([n.sum(), sizes.sum()], "<u8").tobytes()
-            index = (np.asarray(ids.fill_null(0)).astype("<i8"), np.asarray(ids.is_valid().cast(pa.uint8())), n.astype("<u4"), sizes.astype("<u4"))
-            yield pa.record_batch([pa.array([b"".join([head, *(x.tobytes() for x in index), *data])], pa.binary())], names=["block"])
+            ids, n = b.column(0), np.asarray(b.column(1))
+            control, data, _ = pack(rank[values(b.column(2), f"<u{width}")], n)
+            head = MAGIC + np.array([len(n)], "<u4").tobytes() + np.array([len(control), len(data)], "<u8").tobytes()
+            index = (np.asarray(ids.fill_null(0)).astype("<i8"), np.asarray(ids.is_valid().cast(pa.uint8())), n.astype("<u4"))
+            yield pa.record_batch([pa.array([b"".join([head, *(x.tobytes() for x in (*index, control, data))])], pa.binary())], names=["block"])
 
     total = tokens.agg(F.sum("n")).first()[0] or 0
-    coded = tokens.mapInArrow(code, "id long, n long, payload binary")
-    files = coded.repartitionByRange(max(1, -(-total * 3 // 2 // file_bytes)), "id").sortWithinPartitions("id")
+    files = tokens.repartitionByRange(max(1, -(-total * 3 // 2 // file_bytes)), "id").sortWithinPartitions("id")
     files.mapInArrow(block, "block binary").select(F.col("block").cast("string")).write.text(f"{path}/blocks")
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, id, n, local, ids): each document of the files, in file order `file`, `at`; local counts the ids before it in its file."""
+def read_tokens(spark: SparkSession, path: str, crc: bool = False) -> DataFrame:
+    """(file, id, n, local, ids): each document of the files; local counts the ids before it in its file. With crc, ids is the CRC-32 of the ids as little-endian unsigned 32-bit integers."""
     row = spark.read.parquet(f"{path}/ranks").first()
     by_rank = np.frombuffer(bytes(row[0]), "<u4")
 
+    def blocks(content):
+        raw, pos = np.frombuffer(content.as_buffer(), np.uint8), 0
+        while pos < len(raw):
+            if raw[pos : pos + 4].tobytes() != MAGIC:
+                raise ValueError(f"no block at byte {pos}")
+            docs = int(raw[pos + 4 : pos + 8].view("<u4")[0])
+            controls, datas = raw[pos + 8 : pos + 24].tobytes(), pos + 24
+            controls, data_bytes = np.frombuffer(controls, "<u8").tolist()
+            fields = []
+            for kind, size in (("<i8", 8 * docs), ("u1", docs), ("<u4", 4 * docs), ("u1", controls), ("u1", data_bytes)):
+                fields.append(np.frombuffer(raw[datas : datas + size].tobytes(), kind))
+                datas += size
+            yield fields
+            pos = datas + 1  # the newline
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = np.frombuffer(content.as_buffer(), np.uint8)
-                pos = at = local = 0
-                while pos < len(raw):
-                    if raw[pos : pos + 4].tobytes() != MAGIC:
-                        raise ValueError(f"no block at byte {pos} of file {file}")
-                    docs = int(raw[pos + 4 : pos + 8].view("<u4")[0])
-                    pos += 24
-                    fields = []
-                    for kind, size in (("<i8", 8), ("u1", 1), ("<u4", 4), ("<u4", 4)):
-                        fields.append(np.frombuffer(raw[pos : pos + docs * size].tobytes(), kind))
-                        pos += docs * size
-                    ids, valid, n, sizes = fields
-                    for lo in range(0, docs, 1024):
-                        n_part = n[lo : lo + 1024].astype(np.int64)
-                        out = []
-                        for k, size in zip(n_part.tolist(), sizes[lo : lo + 1024].tolist(), strict=True):
-                            out.append(by_rank[unpack(raw[pos : pos + size], k)].astype("<u4").tobytes())
-                            pos += size
-                        starts = local + np.cumsum(n_part) - n_part
-                        local += int(n_part.sum())
-                        cols = [pa.array(np.full(len(out), file)), pa.array(np.arange(at, at + len(out))), pa.array(ids[lo : lo + 1024].astype(np.int64), mask=valid[lo : lo + 1024] == 0), pa.array(n_part), pa.array(starts), pa.array(out, pa.binary())]
-                        at += len(out)
-                        yield pa.record_batch(cols, names=["file", "at", "id", "n", "local", "ids"])
-                    pos += 1  # the newline
+                local = 0
+                for ids, valid, n, control, data in blocks(content):
+                    n = n.astype(np.int64)
+                    packed = by_rank[unpack(control, data, n)].astype("<u4").tobytes()
+                    ends = np.cumsum(n)
+                    each = [packed[4 * a : 4 * z] for a, z in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+                    got = pa.array(list(map(zlib.crc32, each)), pa.int64()) if crc else pa.array(each, pa.binary())
+                    yield pa.record_batch([pa.array(np.full(len(n), file)), pa.array(ids.astype(np.int64), mask=valid == 0), pa.array(n), pa.array(local + ends - n), got], names=["file", "id", "n", "local", "ids"])
+                    local += int(n.sum())
 
     content = spark.read.format("binaryFile").load(f"{path}/blocks").where("length > 0")
     number = F.regexp_extract("path", r"part-(\d+)", 1).cast("long")
-    return content.select(number.alias("file"), "content").mapInArrow(run, "file long, at long, id long, n long, local long, ids binary")
+    return content.select(number.alias("file"), "content").mapInArrow(run, f"file long, id long, n long, local long, ids {'long' if crc else 'binary'}")
 
 
 def token_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID) -> DataFrame:
@@ -206,12 +250,7 @@ def token_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     path = shared_dir(spark)
     write_tokens(docs, tokenizer, path, id_col, text_col, end_id)
 
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sums = pa.array([zlib.crc32(x.as_buffer()) for x in b.column(4)], pa.int64())
-            yield pa.record_batch([*b.columns[:4], sums], names=["file", "id", "n", "local", "crc"])
-
-    found = stage(read_tokens(spark, path).select("file", "id", "n", "local", "ids").mapInArrow(crc, "file long, id long, n long, local long, crc long"))
+    found = stage(read_tokens(spark, path, crc=True))
     # a row a file: the window holds no documents
-    files = found.groupBy("file").agg(F.sum("n").alias("ids")).withColumn("before", F.sum("ids").over(W.orderBy("file")) - F.col("ids"))
-    return found.join(files, "file").select(F.col("id").alias("doc_id"), (F.col("before") + F.col("local")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    files = found.groupBy("file").agg(F.sum("n").alias("all")).select("file", (F.sum("all").over(W.orderBy("file")) - F.col("all")).alias("before"))
+    return found.join(files, "file").select(F.col("id").alias("doc_id"), (F.col("before") + F.col("local")).alias("start"), F.col("n").alias("n_tokens"), F.col("ids").alias("ids_crc32"))
