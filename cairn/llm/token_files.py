@@ -33,31 +33,23 @@ _CODES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8
 _PLACES = np.arange(4) < np.arange(1, 5)[:, None]  # which of four bytes a rank of each length uses
 
 
-def pack(ranks: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Control bytes and data bytes of documents that lie end to end, and how many data bytes each has. A document begins with a new control byte."""
-    code = (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
-    four = np.zeros(int((-(-sizes // 4)).sum()) * 4, np.uint8)
-    four[_spread(sizes)] = code
-    control = (four.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[_PLACES[code]]
-    upto = np.concatenate([[0], np.cumsum(code, dtype=np.int64)])[np.concatenate([[0], np.cumsum(sizes)])]
-    return control, data, np.diff(upto) + sizes
-
-
-def unpack(control: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The ranks of documents of those sizes."""
-    code = _CODES[control].reshape(-1)[_spread(sizes)]
-    out = np.zeros((len(code), 4), np.uint8)
-    out[_PLACES[code]] = data
+def pack(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Control bytes and data bytes."""
+    code = (ranks >= 1 << 8).view(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
+    four = np.zeros(-(-len(code) // 4) * 4, np.uint8)
+    four[: len(code)] = code
+    four = four.reshape(-1, 4)
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    return control, ranks.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)[_PLACES[code]]
+
+
+def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
+    """The n ranks."""
+    out = np.zeros((n, 4), np.uint8)
+    out[_PLACES[_CODES[control].reshape(-1)[:n]]] = data
     return out.view("<u4").reshape(-1)
 
 
-def _spread(sizes: np.ndarray) -> np.ndarray:
-    """The places of ids among quarters of control bytes."""
-    gaps = -sizes % 4
-    return np.arange(int(sizes.sum())) + np.repeat(np.cumsum(gaps) - gaps, sizes)
-
-
 def byte_alphabet() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies: itself if printable Latin-1, else the next free one from U+0100 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -102,12 +94,16 @@ class WordEncoder(dict):
     def __missing__(self, run: bytes) -> bytes:
         if self.find is None:
             out = self._whole(run)
-        elif run.isalpha():  # ASCII letters, one piece
-            out = self._piece(run.lower().decode())
         else:
             text = run.decode()
-            text = text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text)
-            out = b"".join(map(self._piece, self.find(text)))
+            # up to U+024F nothing composes, and lower case doesn't depend on the neighbours
+            text = text.lower() if max(text) < "\u0250" else self.tokenizer.normalizer.normalize_str(text)
+            if text.isalpha():
+                out = self._piece(text)
+            elif text[-1] in ".,;:!?" and text[:-1].isalpha():
+                out = self._piece(text[:-1]) + self._piece(text[-1])
+            else:
+                out = b"".join(map(self._piece, self.find(text)))
         self[run] = out
         return out
 
@@ -192,7 +188,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2, 1 << 16, BLOCK_BYTES):
             ids, n = b.column(0), np.asarray(b.column(1))
-            control, data, _ = pack(rank[values(b.column(2), f"<u{width}")], n)
+            control, data = pack(rank[values(b.column(2), f"<u{width}")])
             head = MAGIC + np.array([len(n)], "<u4").tobytes() + np.array([len(control), len(data)], "<u8").tobytes()
             index = (np.asarray(ids.fill_null(0)).astype("<i8"), np.asarray(ids.is_valid().cast(pa.uint8())), n.astype("<u4"))
             yield pa.record_batch([pa.array([b"".join([head, *(x.tobytes() for x in (*index, control, data))])], pa.binary())], names=["block"])
@@ -228,7 +224,7 @@ def read_tokens(spark: SparkSession, path: str, crc: bool = False) -> DataFrame:
                 local = 0
                 for ids, valid, n, control, data in blocks(content):
                     n = n.astype(np.int64)
-                    packed = by_rank[unpack(control, data, n)].astype("<u4").tobytes()
+                    packed = by_rank[unpack(control, data, int(n.sum()))].astype("<u4").tobytes()
                     ends = np.cumsum(n)
                     each = [packed[4 * a : 4 * z] for a, z in zip((ends - n).tolist(), ends.tolist(), strict=True)]
                     got = pa.array(list(map(zlib.crc32, each)), pa.int64()) if crc else pa.array(each, pa.binary())
