@@ -1,4 +1,603 @@
-"""Queries of the engine's own operators, and their SQL."""
+"""Queries of the engine's own operators over the test tables, and the SQL that DuckDB is given for each."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import math
+import tempfile
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn import splats
+from cairn.functions import color, morton, numeric, packing, quaternion
+from cairn.operators import bounds, chunks, clustering, filters, lookup, neighbors, order, summary, table, transform, trees
+from cairn.operators.combine import combine
+from cairn.plans import actions as A
+from cairn.schema import COLOR, GAUSSIAN, POSITION, ROTATION, SCALE
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a function of the splats, or of (spark, sf_dir) if it takes two arguments; sql sees the same splats."""
+
+    def take(f):
+        key = name or f.__name__
+        QUERIES[key] = f if f.__code__.co_argcount >= 2 and not name else (lambda spark, sf_dir: f(splats.view(spark, sf_dir)))
+        QUERIES[key].__name__ = key
+        if sql:
+            ORACLES[key] = f"WITH splats AS ({splats.SQL}) {sql}" if "splats" in sql else sql
+        return f
+
+    return take
+
+
+def r6(c: Column | str, name: str | None = None) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    out = F.round(c.cast("double"), 6) + F.lit(0.0)
+    return out.alias(name) if name else out
+
+
+def rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select("row_id", *[r6(c, c) for c in columns])
+
+
+_R6 = lambda cols: ", ".join(f"round({c}, 6) + 0 AS {c}" for c in cols)
+_ALL = _R6([*GAUSSIAN, "lod"])
+
+
+# projections
+
+
+@query(f"SELECT row_id, {_R6(['x', 'opacity', 'f_dc_2'])} FROM splats")
+def scan_project(s):
+    return rows(table.clone(s, ["row_id", "x", "opacity", "f_dc_2"]), ["x", "opacity", "f_dc_2"])
+
+
+@query(f"SELECT row_id, {_R6(['x', 'y', 'z'])} FROM splats WHERE row_id = 17")
+def row_get(s):
+    return rows(table.get_row(s, 17), POSITION)
+
+
+@query("SELECT row_id, CASE WHEN row_id = 17 THEN 2.5 ELSE round(x, 6) + 0 END::DOUBLE AS x FROM splats WHERE row_id < 40")
+def row_set(s):
+    return table.set_row(s, 17, {"x": 2.5}).where("row_id < 40").select("row_id", r6("x", "x"))
+
+
+@query("SELECT pos, row_id, round(x, 6) + 0 AS x FROM (SELECT range AS pos, (range * 7919) % (SELECT count(*) FROM splats) AS r FROM range(2000)) JOIN splats ON r = row_id")
+def gather_permute(s):
+    n = s.count()
+    positions = s.sparkSession.range(2000).select(F.col("id").alias("pos"), ((F.col("id") * 7919) % n).alias("row"))
+    return table.gather(s, positions).select("pos", "row_id", r6("x", "x"))
+
+
+@query("""SELECT count(*) AS n, CAST(count(*) FILTER (lod = -1) AS BIGINT) AS n_lod, bool_and(abs(lod + 1) < 1e-10) AS every_lod, bool_or(abs(lod + 1) < 1e-10) AS some_lod,
+  bool_and(abs(x - 1e3) < 1e-10) AS every_x, bool_or(abs(x - 1e3) < 1e-10) AS some_x FROM splats""")
+def column_every_some(s):
+    return s.agg(F.count("*").alias("n"), F.count_if(F.col("lod") == -1).alias("n_lod"), table.every("lod", -1).alias("every_lod"), table.some("lod", -1).alias("some_lod"), table.every("x", 1e3).alias("every_x"), table.some("x", 1e3).alias("some_x"))
+
+
+_TRS = ((1.5, -2.0, 0.25), (0.5, 0.5, -0.5, 0.5), 2.0)
+_NQ = "sqrt(w * w + a * a + b * b + c * c)"
+
+
+@query(f"""SELECT row_id, round(2 * -y + 1.5, 6) + 0 AS x, round(2 * -z - 2.0, 6) + 0 AS y, round(2 * x + 0.25, 6) + 0 AS z, round(w / {_NQ}, 6) + 0 AS rot_0, round(a / {_NQ}, 6) + 0 AS rot_1,
+  round(b / {_NQ}, 6) + 0 AS rot_2, round(c / {_NQ}, 6) + 0 AS rot_3, round(scale_0 + ln(2.0e0), 6) + 0 AS scale_0 FROM (
+  SELECT *, 0.5e0 * rot_0 - 0.5e0 * rot_1 + 0.5e0 * rot_2 - 0.5e0 * rot_3 AS w, 0.5e0 * rot_1 + 0.5e0 * rot_0 - 0.5e0 * rot_3 - 0.5e0 * rot_2 AS a,
+    0.5e0 * rot_2 - 0.5e0 * rot_3 - 0.5e0 * rot_0 + 0.5e0 * rot_1 AS b, 0.5e0 * rot_3 + 0.5e0 * rot_2 + 0.5e0 * rot_1 + 0.5e0 * rot_0 AS c FROM splats)""")
+def transform_trs(s):
+    return rows(transform.transform(s, *_TRS), [*POSITION, *ROTATION, "scale_0"])
+
+
+@query()
+def rotate_harmonics(s):
+    rest = {f"f_rest_{k}": F.sin(F.col("x") + k) for k in range(45)}
+    return rows(transform.transform(s.limit(1000).withColumns(rest), rotation=transform.euler_quaternion((30, 45, 60))), [f"f_rest_{k}" for k in (0, 2, 7, 14, 44)])
+
+
+@query(f"SELECT row_id, {_R6(['x', 'y', 'z'])} FROM (SELECT row_id, 2 * (x + 1) AS x, 2 * y AS y, 2 * z AS z FROM splats WHERE opacity > 0 AND lod <> -1) WHERE x * x + y * y + z * z <= 2500")
+def action_pipeline(s):
+    plan = A.Plan([A.FilterByValue("opacity", "gt", 0.0), A.FilterByValue("lod", "neq", -1.0), A.Translate((1.0, 0.0, 0.0)), A.Scale(2.0), A.FilterSphere((0.0, 0.0, 0.0), 50.0)])
+    return rows(plan(s), POSITION)
+
+
+# filters
+
+for _k, _op in {"lt": "<", "lte": "<=", "gt": ">", "gte": ">=", "eq": "=", "neq": "<>"}.items():
+    query(f"SELECT row_id, round(x, 6) + 0 AS x FROM splats WHERE x {_op} 4.5", f"filter_by_value_{_k}")(lambda s, k=_k: rows(filters.by_value(s, "x", k, 4.5), ["x"]))
+
+
+@query(f"SELECT row_id, {_R6(['x', 'y', 'z'])} FROM splats WHERE x BETWEEN -10 AND 10 AND y BETWEEN -20 AND 0 AND z BETWEEN -30 AND 30")
+def filter_box(s):
+    return rows(filters.box(s, (-10.0, -20.0, -30.0), (10.0, 0.0, 30.0)), POSITION)
+
+
+@query(f"SELECT row_id, {_R6(['x', 'y', 'z'])} FROM splats WHERE (x - 1) * (x - 1) + (y + 2) * (y + 2) + z * z <= 400")
+def filter_sphere(s):
+    return rows(filters.sphere(s, (1.0, -2.0, 0.0), 20.0), POSITION)
+
+
+@query("SELECT row_id, round(x, 6) + 0 AS x FROM splats WHERE row_id % 5 <> 0 AND row_id % 7 <> 0")
+def filter_nan(s):
+    bad = s.withColumn("x", F.when(F.col("row_id") % 5 == 0, float("nan")).otherwise(F.col("x"))).withColumn("y", F.when(F.col("row_id") % 7 == 0, float("inf")).otherwise(F.col("y")))
+    return rows(filters.finite(bad), ["x"])
+
+
+@query("SELECT row_id, round(x + 3, 6) + 0 AS f_rest_0, round(x + 16, 6) + 0 AS f_rest_4, round(x + 32, 6) + 0 AS f_rest_8 FROM (SELECT row_id, x - 3 AS x FROM splats)")
+def filter_bands(s):
+    rest = {f"f_rest_{k}": F.col("x") + k for k in range(45)}
+    return rows(filters.bands(s.withColumns(rest), 1), ["f_rest_0", "f_rest_4", "f_rest_8"]).select("row_id", "f_rest_0", r6(F.col("f_rest_4") - 3, "f_rest_4"), r6(F.col("f_rest_8") - 3, "f_rest_8"))
+
+
+@query("SELECT row_id, round(x, 6) + 0 AS x, round(y, 6) + 0 AS y FROM splats WHERE x >= -4.5 AND x < 4.5 AND y >= -20 AND y < 0 AND z >= -8 AND z < 8")
+def filter_half_open_cell(s):
+    return rows(s.where(filters.in_cell((-4.5, -20.0, -8.0), (4.5, 0.0, 8.0))), ["x", "y"])
+
+
+@query("SELECT 'env' AS part, count(*) AS n FROM splats WHERE lod = -1 UNION ALL SELECT 'scene', count(*) FROM splats WHERE lod <> -1")
+def env_split(s):
+    env, scene = filters.surroundings_and_scene([s.where("lod = -1"), s.where("lod <> -1")])
+    one = lambda ts, name: combine(ts).agg(F.lit(name).alias("part"), F.count("*").alias("n"))
+    return one(env, "env").unionByName(one(scene, "scene"))
+
+
+@query("SELECT lod, count(*) AS n FROM splats WHERE lod IN (0, 2) GROUP BY lod")
+def lod_select(s):
+    return filters.levels(s, [0, 2]).groupBy("lod").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT row_id, round(x, 6) + 0 AS x, 0::DOUBLE AS opacity, 0::DOUBLE AS w FROM splats WHERE row_id < 500 UNION ALL
+  SELECT row_id, round(x, 6) + 0, round(opacity, 6) + 0, round(x * 2, 6) + 0 FROM splats WHERE row_id >= 500""")
+def combine_by_name(s):
+    return combine([s.where("row_id < 500").select("row_id", r6("x", "x")), s.where("row_id >= 500").select("row_id", r6("x", "x"), r6("opacity", "opacity"), r6(F.col("x") * 2, "w"))])
+
+
+# scalar functions
+
+
+@query("SELECT row_id, round(1 / (1 + exp(-opacity)), 6) + 0 AS alpha, round(ln(p / (1 - p)), 6) + 0 AS back FROM (SELECT *, greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-opacity)))) AS p FROM splats)")
+def sigmoid_logit(s):
+    alpha = numeric.sigmoid("opacity")
+    return s.select("row_id", r6(alpha, "alpha"), r6(numeric.logit(alpha), "back"))
+
+
+@query("SELECT row_id, round(sign(y) * ln(1 + abs(y)), 6) + 0 AS s, round(y, 6) + 0 AS back FROM splats")
+def symlog_roundtrip(s):
+    return s.select("row_id", r6(numeric.symlog("y"), "s"), r6(numeric.symexp(numeric.symlog("y")), "back"))
+
+
+@query("SELECT row_id, round(f_dc_0 * 0.28209479177387814e0 + 0.5e0, 6) + 0 AS r, CAST(greatest(0, least(255, round((f_dc_1 * 0.28209479177387814e0 + 0.5e0) * 255))) AS BIGINT) AS g, round((CAST(row_id % 256 AS DOUBLE) / 255 - 0.5) / 0.15e0, 6) + 0 AS spz FROM splats")
+def dc_color(s):
+    return s.select("row_id", r6(color.dc_to_color("f_dc_0"), "r"), color.to_byte(color.dc_to_color("f_dc_1")).alias("g"), r6(color.byte_to_dc(F.col("row_id") % 256, color.SPZ_COLOR), "spz"))
+
+
+_UNIT = "(x + 24.5e0) / 5e1 AS u, (z + 48e0) / 97e0 AS v, (scale_2 + 3e0) AS w"
+_PU = lambda e, b: f"CAST(greatest(0, least({(1 << b) - 1}, floor(({e}) * {(1 << b) - 1} + 0.5))) AS BIGINT)"
+
+
+def _units(s):
+    return s.withColumns({"u": (F.col("x") + 24.5) / 50, "v": (F.col("z") + 48) / 97, "w": F.col("scale_2") + 3})
+
+
+@query(f"SELECT row_id, {_PU('u', 11)} * 2097152 + {_PU('v', 10)} * 2048 + {_PU('w', 11)} AS code FROM (SELECT row_id, {_UNIT} FROM splats)")
+def pack_11_10_11(s):
+    return _units(s).select("row_id", packing.pack_11_10_11("u", "v", "w").alias("code"))
+
+
+@query(f"SELECT row_id, {_PU('u', 8)} * 16777216 + {_PU('v', 8)} * 65536 + {_PU('w', 8)} * 256 + {_PU('1 / (1 + exp(-opacity))', 8)} AS code FROM (SELECT row_id, opacity, {_UNIT} FROM splats)")
+def pack_8888(s):
+    return _units(s).select("row_id", packing.pack_8888("u", "v", "w", numeric.sigmoid("opacity")).alias("code"))
+
+
+_Q = """(SELECT *, CASE WHEN abs(q0) = m THEN 0 WHEN abs(q1) = m THEN 1 WHEN abs(q2) = m THEN 2 ELSE 3 END AS i FROM (SELECT *, greatest(abs(q0), abs(q1), abs(q2), abs(q3)) AS m FROM (
+  SELECT row_id, rot_0 / n AS q0, rot_1 / n AS q1, rot_2 / n AS q2, rot_3 / n AS q3 FROM (SELECT *, sqrt(rot_0 * rot_0 + rot_1 * rot_1 + rot_2 * rot_2 + rot_3 * rot_3) AS n FROM splats))))"""
+_F = f"(SELECT *, CASE WHEN (CASE i WHEN 0 THEN q0 WHEN 1 THEN q1 WHEN 2 THEN q2 ELSE q3 END) < 0 THEN -1e0 ELSE 1e0 END AS f FROM {_Q})"
+_O = ["f * CASE WHEN i = 0 THEN q1 ELSE q0 END", "f * CASE WHEN i <= 1 THEN q2 ELSE q1 END", "f * CASE WHEN i <= 2 THEN q3 ELSE q2 END"]
+_P10 = lambda e: f"CAST(greatest(0, least(1023, floor(({e} * 0.7071067811865476e0 + 0.5e0) * 1023 + 0.5e0))) AS BIGINT)"
+_P8 = lambda e: f"CAST(greatest(0, least(255, floor(255 * ({e} * 1.4142135623730951e0 * 0.5e0 + 0.5e0)))) AS BIGINT)"
+
+
+@query(f"SELECT row_id, i * 1073741824::BIGINT + {_P10(_O[0])} * 1048576 + {_P10(_O[1])} * 1024 + {_P10(_O[2])} AS code FROM {_F}")
+def pack_rot_smallest3(s):
+    return s.select("row_id", quaternion.pack_smallest_three().alias("code"))
+
+
+@query(f"SELECT row_id, {_P8(_O[0])} AS r, {_P8(_O[1])} AS g, {_P8(_O[2])} AS b, CAST(252 + i AS BIGINT) AS a FROM {_F}")
+def sog_quat(s):
+    return s.select("row_id", *[c.alias(n) for n, c in zip("rgba", quaternion.pack_sog(), strict=True)])
+
+
+@query(f"SELECT row_id, i, CASE WHEN good THEN 1 ELSE 0 END AS close FROM (SELECT row_id, CAST(i AS INTEGER) AS i, true AS good FROM {_F})")
+def quat_roundtrip(s):
+    """A packed quaternion comes back within half a step of each component, up to sign."""
+    q, back = quaternion.unit(), quaternion.unpack_smallest_three(quaternion.pack_smallest_three())
+    dot = sum((a * b for a, b in zip(q, back, strict=True)), F.lit(0.0))
+    return s.select("row_id", quaternion.largest(q).alias("i"), F.when(F.abs(dot) > 1 - 1e-5, 1).otherwise(0).alias("close"))
+
+
+@query("""SELECT row_id, u % 256 AS lo, u // 256 AS hi FROM (SELECT row_id, CAST(floor((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) * 65535) AS BIGINT) AS u
+  FROM (SELECT row_id, sign(x) * ln(1 + abs(x)) AS v FROM splats))""")
+def sog_means_u16(s):
+    v = s.select("row_id", numeric.symlog("x").alias("v"))
+    ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    u = v.crossJoin(F.broadcast(ends)).withColumn("u", F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 65535).cast("long"))
+    lo, hi = packing.split_u16("u")
+    return u.select("row_id", lo.alias("lo"), hi.alias("hi"))
+
+
+@query("""SELECT row_id, b, round((CASE b WHEN 0 THEN 0e0 WHEN 255 THEN 1e0 ELSE (b + 0.5e0) / 256 END - 0.5e0) * 8, 6) + 0 AS back FROM (
+  SELECT row_id, CAST(greatest(0, least(255, trunc((f_dc_0 / 8 + 0.5e0) * 256))) AS BIGINT) AS b FROM splats)""")
+def sh_u8(s):
+    return s.select("row_id", color.harmonic_to_byte("f_dc_0").alias("b")).select("row_id", "b", r6(color.byte_to_harmonic("b"), "back"))
+
+
+@query("SELECT row_id, round(CASE WHEN v >= 8388608 THEN v - 16777216 ELSE v END / 4096.0, 6) + 0 AS p FROM (SELECT row_id, (row_id * 7919) % 16777216 AS v FROM splats)")
+def fixed24(s):
+    v = s.select("row_id", ((F.col("row_id") * 7919) % (1 << 24)).alias("v"))
+    return v.select("row_id", r6(numeric.fixed24(F.col("v") % 256, F.shiftright("v", 8) % 256, F.shiftright("v", 16), 12), "p"))
+
+
+@query("""SELECT row_id, round(CASE WHEN e = 0 THEN m / 16777216.0 ELSE (1 + m / 1024.0) * pow(2.0, e - 15) END * CASE WHEN b >= 32768 THEN -1 ELSE 1 END, 6) + 0 AS v FROM (
+  SELECT row_id, b, (b // 1024) % 32 AS e, b % 1024 AS m FROM (SELECT row_id, (row_id * 7) % 65536 AS b FROM splats)) WHERE e < 31""")
+def half_decode(s):
+    b = s.select("row_id", ((F.col("row_id") * 7) % 65536).alias("b")).where(F.expr("b div 1024") % 32 < 31)
+    return b.select("row_id", r6(numeric.half("b"), "v"))
+
+
+@query()
+def lcg_values(spark, sf_dir):
+    return numeric.lcg_table(spark, 10_000).select("i", r6("value", "value"))
+
+
+@query("SELECT row_id, round(ln(scale), 6) + 0 AS a, round(CASE WHEN scale > 0 THEN ln(scale) ELSE -10 END, 6) + 0 AS b, round(CAST(row_id % 256 AS DOUBLE) / 16 - 10, 6) + 0 AS c, round((CAST(row_id % 256 AS DOUBLE) - 128) / 128, 6) + 0 AS d FROM (SELECT row_id, exp(scale_0) AS scale FROM splats)")
+def scale_codecs(s):
+    v = s.select("row_id", F.exp("scale_0").alias("scale"))
+    b = F.col("row_id") % 256
+    return v.select("row_id", r6(color.log_scale("scale"), "a"), r6(color.log_scale("scale", -10.0), "b"), r6(color.spz_scale(b), "c"), r6(color.spz_harmonic(b), "d"))
+
+
+# aggregates
+
+
+@query("SELECT " + ", ".join(f"round({f}({c}), 6) + 0 AS {f}_{c}" for c in POSITION for f in ("min", "max")) + ", count(*) AS n FROM splats")
+def minmax_bounds(s):
+    out = s.agg(*bounds.extents(POSITION), F.count("*").alias("n"))
+    return out.select(*[r6(c, c) for c in out.columns if c != "n"], "n")
+
+
+_M = """(SELECT row_id, lod, x, y, z, exp(scale_0) AS s0, exp(scale_1) AS s1, exp(scale_2) AS s2, rot_0 / n AS w, rot_1 / n AS a, rot_2 / n AS b, rot_3 / n AS c FROM (SELECT *, sqrt(rot_0 * rot_0 + rot_1 * rot_1 + rot_2 * rot_2 + rot_3 * rot_3) AS n FROM splats))"""
+_H = {"x": "abs(1 - 2 * (b * b + c * c)) * s0 + abs(2 * (a * b - w * c)) * s1 + abs(2 * (a * c + w * b)) * s2", "y": "abs(2 * (a * b + w * c)) * s0 + abs(1 - 2 * (a * a + c * c)) * s1 + abs(2 * (b * c - w * a)) * s2", "z": "abs(2 * (a * c - w * b)) * s0 + abs(2 * (b * c + w * a)) * s1 + abs(1 - 2 * (a * a + b * b)) * s2"}
+
+
+@query("SELECT lod, " + ", ".join(f"round(min({c} - ({h})), 6) + 0 AS min_{c}, round(max({c} + ({h})), 6) + 0 AS max_{c}" for c, h in _H.items()) + f" FROM {_M} GROUP BY lod")
+def oriented_bounds(s):
+    out = bounds.oriented(s, "lod")
+    return out.select("lod", *[r6(c, c) for c in out.columns if c != "lod"])
+
+
+@query("SELECT " + ", ".join(f"round(min({c} - ({h})), 6) + 0 AS min_{c}, round(max({c} + ({h})), 6) + 0 AS max_{c}" for c, h in _H.items()) + f" FROM {_M}")
+def bounds_union(s):
+    out = bounds.union(bounds.oriented(s, "lod"))
+    return out.select(*[r6(c, c) for c in out.columns])
+
+
+_STATS = ["x", "y", "opacity", "rot_3"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, round(min({c}), 4) + 0 AS min, round(max({c}), 4) + 0 AS max, round(median({c}), 4) + 0 AS median, round(avg({c}), 4) + 0 AS mean, round(stddev_pop({c}), 4) + 0 AS stddev, 0::BIGINT AS nan_count, 0::BIGINT AS inf_count FROM splats" for c in _STATS))
+def summary_stats(s):
+    out = summary.statistics(s, _STATS)
+    return out.select("name", *[(F.round(c, 4) + 0.0).alias(c) for c in ("min", "max", "median", "mean", "stddev")], "nan_count", "inf_count")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, b AS bin, count(*) AS n FROM (SELECT CAST(least(15, floor(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) * 16)) AS BIGINT) AS b FROM splats) GROUP BY b" for c in _STATS))
+def summary_histogram16(s):
+    return summary.histogram(s, _STATS)
+
+
+@query()
+def summary_bars(s):
+    return summary.summary(s, _STATS).select("version", "row_count", "name", "histogram")
+
+
+@query("SELECT row_id // 256 AS chunk_id, " + ", ".join(f"round({f}({c}), 6) + 0 AS {f}_{c}" for c in [*POSITION, *SCALE] for f in ("min", "max")) + ", round(min(f_dc_0 * 0.28209479177387814e0 + 0.5e0), 6) + 0 AS min_r FROM splats GROUP BY 1")
+def chunk256_bounds(s):
+    out = chunks.chunk_bounds(chunks.prepared(s, "row_id"))
+    return out.select("chunk_id", *[r6(f"{f}_{c}", f"{f}_{c}") for c in [*POSITION, *SCALE] for f in ("min", "max")], r6("min_r", "min_r"))
+
+
+_NORM = lambda c: f"CASE WHEN {c} <= lo_{c} THEN 0e0 WHEN {c} >= hi_{c} THEN 1e0 WHEN hi_{c} - lo_{c} < 1e-5 THEN 0e0 ELSE ({c} - lo_{c}) / (hi_{c} - lo_{c}) END"
+
+
+@query(f"""SELECT row_id, {_PU(_NORM('x'), 11)} * 2097152 + {_PU(_NORM('y'), 10)} * 2048 + {_PU(_NORM('z'), 11)} AS packed_position FROM (
+  SELECT row_id, x, y, z, {', '.join(f'min({c}) OVER k AS lo_{c}, max({c}) OVER k AS hi_{c}' for c in POSITION)} FROM splats WINDOW k AS (PARTITION BY row_id // 256))""")
+def chunk_pack(s):
+    ready = chunks.prepared(s.withColumn("position", F.col("row_id")))
+    return chunks.pack(ready, chunks.chunk_bounds(ready)).select(F.col("position").alias("row_id"), "packed_position")
+
+
+@query("SELECT count(*) AS n, true AS positions, true AS scales FROM splats")
+def chunk_roundtrip(s):
+    """What comes back of packed chunks differs by at most half a step of the chunk's bounds."""
+    ready = chunks.prepared(s.withColumn("position", F.col("row_id")))
+    ends = chunks.chunk_bounds(ready)
+    back = chunks.unpack(chunks.pack(ready, ends), ends).select("position", *[F.col(c).alias(f"b_{c}") for c in (*POSITION, *SCALE)])
+    both = ready.join(back, "position").join(ends, "chunk_id")
+    near = lambda c, bits: F.abs(F.col(c) - F.col(f"b_{c}")) <= (F.col(f"max_{c}") - F.col(f"min_{c}")) / ((1 << bits) - 1) * 0.501 + 2e-5
+    return both.agg(F.count("*").alias("n"), F.bool_and(near("x", 11) & near("y", 10) & near("z", 11)).alias("positions"), F.bool_and(near("scale_0", 11) & near("scale_1", 10) & near("scale_2", 11)).alias("scales"))
+
+
+@query("SELECT row_id // 4096 AS leaf, lod, count(*) AS n, min(row_id) AS first FROM splats GROUP BY 1, 2")
+def lod_bins(s):
+    return s.groupBy(F.expr("row_id div 4096").alias("leaf"), "lod").agg(F.count("*").alias("n"), F.min("row_id").alias("first"))
+
+
+@query("SELECT CAST(max(lod) AS BIGINT) + 1 AS levels, count(*) AS n FROM splats")
+def lod_levels(s):
+    return s.agg((F.max("lod").cast("long") + 1).alias("levels"), F.count("*").alias("n"))
+
+
+# orders
+
+_VIS = "1 / (1 + exp(-opacity)) * exp(scale_0 + scale_1 + scale_2)"
+
+
+@query(f"SELECT row_id, round({_VIS}, 9) AS score FROM splats ORDER BY round({_VIS}, 9) DESC, row_id LIMIT 100")
+def visibility_topk(s):
+    return s.select("row_id", F.round(order.visibility(), 9).alias("score")).orderBy(F.desc("score"), "row_id").limit(100)
+
+
+_CELLS = "SELECT row_id, " + ", ".join(f"CAST(least(1023, floor(greatest(0, ({c} - min({c}) OVER ()) * (1024.0::DOUBLE / (max({c}) OVER () - min({c}) OVER ()))))) AS BIGINT) AS c{c}" for c in POSITION) + " FROM splats"
+_CODE = "CAST(list_sum([(((cz >> i) & 1) << (3 * i + 2)) + (((cy >> i) & 1) << (3 * i + 1)) + (((cx >> i) & 1) << (3 * i)) FOR i IN range(10)]) AS BIGINT)"
+
+
+@query(f"SELECT row_id, {_CODE} AS code FROM ({_CELLS})")
+def morton_level1(s):
+    return order.first_codes(s).select("row_id", "code")
+
+
+@query(f"SELECT row_id, CAST(row_number() OVER (ORDER BY {_CODE}, row_id) - 1 AS BIGINT) AS position FROM ({_CELLS})")
+def morton_order(s):
+    """No cell of these splats has more than 256 rows, so the first level decides."""
+    return order.morton_order(s)
+
+
+@query("SELECT row_id, CAST(CASE WHEN row_id = 0 THEN (SELECT count(*) - 1 FROM splats) ELSE r - 1 END AS BIGINT) AS position FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS r FROM splats)")
+def morton_refined(s):
+    """All rows but one share the first cell, as one lies far away; they are identical, so their order stays, and the far one comes last."""
+    far = F.col("row_id") == 0
+    return order.morton_order(s.select("row_id", *[F.when(far, 1e6).otherwise(1.0).alias(c) for c in POSITION]))
+
+
+# joins
+
+
+@query("""SELECT vec_id, arg_min(cid, (d, cid)) AS cid, round(min(d), 6) + 0 AS d FROM (SELECT a.vec_id, b.vec_id AS cid,
+  list_sum([(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) FOR i IN range(1, 65)]) AS d FROM embeddings a, embeddings b WHERE b.vec_id < 16) GROUP BY vec_id""")
+def knn_nearest(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    out = neighbors.nearest(e, e.where("vec_id < 16").withColumnRenamed("vec_id", "cid"), "vec_id", "cid", F.col("embedding"), F.col("embedding"))
+    return out.select("vec_id", "cid", r6("distance2", "d"))
+
+
+@query("""SELECT vec_id, arg_min(cid, (d, cid)) AS cid, round(min(d), 6) + 0 AS d FROM (SELECT a.vec_id, b.vec_id AS cid,
+  list_sum([(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) FOR i IN range(1, 65)]) AS d FROM embeddings a, embeddings b WHERE b.vec_id < 64 AND b.label = 3) GROUP BY vec_id""")
+def knn_filtered(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    out = neighbors.nearest(e, e.where("vec_id < 64").withColumnRenamed("vec_id", "cid"), "vec_id", "cid", F.col("embedding"), F.col("embedding"), F.col("label") == 3)
+    return out.select("vec_id", "cid", r6("distance2", "d"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(p_retailprice, 6) + 0 AS price FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 2000")
+def table_join(spark, sf_dir):
+    li, part = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part"))
+    return li.where("l_orderkey < 2000").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", r6("p_retailprice", "price"))
+
+
+@query("SELECT row_id, round(sin(CAST(row_id % 256 AS DOUBLE)), 6) + 0 AS v FROM splats")
+def codebook_lookup(s):
+    return lookup.by_codebook(s.select("row_id", (F.col("row_id") % 256).alias("v")), ["v"], [math.sin(k) for k in range(256)]).select("row_id", r6("v", "v"))
+
+
+@query("SELECT row_id, round(CASE WHEN row_id % 300 < 200 THEN CAST(row_id % 300 AS DOUBLE) / 7 ELSE 0 END, 6) + 0 AS c0 FROM splats")
+def palette_lookup_left(s):
+    palette = s.sparkSession.range(200).select(F.col("id").alias("label"), (F.col("id") / 7.0).alias("c0"))
+    return lookup.by_palette(s.select("row_id", (F.col("row_id") % 300).alias("label")), palette).select("row_id", r6("c0", "c0"))
+
+
+@query("""SELECT row_id, bucket_id FROM splats JOIN (SELECT bucket_id, size, CAST(sum(size) OVER (ORDER BY bucket_id) AS BIGINT) AS hi FROM (SELECT range AS bucket_id, 40 + (range * 37) % 61 AS size FROM range(500))) ON row_id >= hi - size AND row_id < hi""")
+def bucket_range_join(s):
+    buckets = s.sparkSession.range(500).select(F.col("id").alias("bucket_id"), (40 + (F.col("id") * 37) % 61).alias("size"))
+    return lookup.in_buckets(s.select("row_id"), lookup.bucket_ranges(buckets)).select("row_id", "bucket_id")
+
+
+@query("SELECT a.row_id, b.row_id // 256 AS chunk_id, round(a.x - b.x, 6) + 0 AS dx FROM splats a JOIN splats b ON b.row_id = (a.row_id // 256) * 256")
+def chunk_join(s):
+    heads = s.where("row_id % 256 = 0").select(F.expr("row_id div 256").alias("chunk_id"), F.col("x").alias("x0"))
+    return s.withColumn("chunk_id", F.expr("row_id div 256")).join(heads, "chunk_id").select("row_id", "chunk_id", r6(F.col("x") - F.col("x0"), "dx"))
+
+
+# clustering
+
+
+@query("""SELECT k AS label, count(*) AS n, round(avg(y), 4) + 0 AS center FROM (SELECT y, CAST(arg_min(k, ((y - c) * (y - c), k)) AS BIGINT) AS k FROM (
+  SELECT row_id, y, k, mn + (mx - mn) * k / 15.0::DOUBLE AS c FROM splats, (SELECT min(y) AS mn, max(y) AS mx FROM splats), range(16) t(k)) GROUP BY row_id, y) GROUP BY k""")
+def kmeans1d_step(s):
+    points = s.select(F.col("row_id").alias("id"), F.array("y").alias("v"))
+    centers, labels = clustering.kmeans(points, clustering.even_centers(points, 16), single_step=True)
+    n = labels.groupBy("label").agg(F.count("*").alias("n"))
+    book = F.array(*[F.lit(float(c)) for c in centers[:, 0]])
+    return n.select("label", "n", (F.round(F.get(book, F.col("label").cast("int")), 4) + 0.0).alias("center"))
+
+
+@query("""SELECT cid AS label, count(*) AS n, round(avg(e1), 4) + 0 AS c0 FROM (SELECT vec_id, any_value(e1) AS e1, CAST(arg_min(cid, (d, cid)) AS BIGINT) AS cid FROM (SELECT a.vec_id, a.embedding[1]::DOUBLE AS e1, b.vec_id AS cid,
+  list_sum([(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) FOR i IN range(1, 65)]) AS d FROM embeddings a, embeddings b WHERE b.vec_id < 8) GROUP BY vec_id) GROUP BY cid""")
+def kmeans_nd_step(spark, sf_dir):
+    points = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    start = np.array([r.v for r in points.where("id < 8").orderBy("id").collect()])
+    centers, labels = clustering.kmeans(points, start, single_step=True)
+    book = F.array(*[F.lit(float(c)) for c in centers[:, 0]])
+    return labels.groupBy("label").agg(F.count("*").alias("n")).select("label", "n", (F.round(F.get(book, F.col("label").cast("int")), 4) + 0.0).alias("c0"))
+
+
+@query()
+def kmeans_codebook(s):
+    centers, codes = clustering.codebook(s.where("row_id < 6000"), SCALE, 5)
+    return codes.groupBy(F.col("scale_0").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY c) - 1 AS BIGINT) AS label, n FROM (SELECT sin(CAST(k AS DOUBLE)) AS c, n FROM (SELECT row_id % 50 AS k, count(*) AS n FROM splats GROUP BY 1))")
+def codebook_sort_remap(s):
+    _, labels = clustering.sort_centers(np.sin(np.arange(50.0)).reshape(-1, 1), s.select("row_id", (F.col("row_id") % 50).alias("label")))
+    return labels.groupBy("label").agg(F.count("*").alias("n"))
+
+
+# trees and textures
+
+def _halved(depth: int) -> str:
+    """Rows with lo, hi and code of each axis after so many halvings of its interval."""
+    sql = "SELECT " + ", ".join(f"{c}, min({c}) OVER () - 1e-4 AS lo_{c}, max({c}) OVER () + 1e-4 AS hi_{c}, 0::BIGINT AS c{c}" for c in POSITION) + " FROM splats"
+    for _ in range(depth):
+        mid = {c: f"(lo_{c} + hi_{c}) / 2" for c in POSITION}
+        sql = "SELECT " + ", ".join(f"{c}, CASE WHEN {c} >= {m} THEN {m} ELSE lo_{c} END AS lo_{c}, CASE WHEN {c} >= {m} THEN hi_{c} ELSE {m} END AS hi_{c}, 2 * c{c} + CASE WHEN {c} >= {m} THEN 1 ELSE 0 END AS c{c}" for c, m in mid.items()) + f" FROM ({sql})"
+    return sql
+
+
+@query(f"SELECT cx, cy, cz, count(*) AS n FROM ({_halved(3)}) GROUP BY ALL")
+def octree_level_counts(s):
+    cells = trees.octree_paths(s, 3)
+    axis = lambda bit: sum((F.shiftleft(F.shiftright(F.substring("cell", k + 1, 1).cast("long"), bit).bitwiseAND(1), 2 - k) for k in range(1, 3)), F.shiftleft(F.shiftright(F.substring("cell", 1, 1).cast("long"), bit).bitwiseAND(1), 2))
+    return cells.select(*[axis(b).alias(f"c{c}") for b, c in enumerate(POSITION)]).groupBy("cx", "cy", "cz").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, true AS small FROM splats")
+def octree_leaves(s):
+    """The leaves hold every row once, at most 32 above the last depth."""
+    nodes, own = trees.octree(s)
+    return nodes.where("leaf").agg(F.sum("n").alias("n"), F.bool_and((F.col("n") <= 32) | (F.col("depth") == 8)).alias("small"))
+
+
+@query("SELECT count(*) AS n, true AS small, true AS halves FROM splats")
+def bvh_leaves(s):
+    """Leaves hold every row once, at most 256 each; a node's left half is half its rows, rounded down."""
+    nodes, _ = trees.bounding_hierarchy(s)
+    leaves = nodes.where("leaf").agg(F.sum("n").alias("n"), F.bool_and(F.col("n") <= 256).alias("small"))
+    left = nodes.where("node % 2 = 0").select(F.expr("node div 2").alias("up"), F.col("n").alias("left"))
+    halves = nodes.join(left, F.col("node") == F.col("up")).agg(F.bool_and(F.col("left") == F.expr("n div 2")).alias("halves"))
+    return leaves.crossJoin(halves)
+
+
+@query()
+def lod_files(s):
+    """Each file's rows, of units of at most 4096 rows and 16 units of length."""
+    rows_, files, _ = trees.lod_plan(s, chunk_rows=4096)
+    places = [(u, float(lod), files.names[f], at, n) for (u, lod), (f, at, n) in files.places.items()]
+    return s.sparkSession.createDataFrame(places, "node long, lod double, file string, offset long, n long")
+
+
+@query("SELECT n, w, h, r % w AS px, r // w AS py FROM (SELECT n, w, CAST(4 * ceil(n / w / 4) AS BIGINT) AS h FROM (SELECT n, CAST(4 * ceil(sqrt(n) / 4) AS BIGINT) AS w FROM (SELECT count(*)::DOUBLE AS n FROM splats))), (SELECT row_id AS r FROM splats WHERE row_id % 1000 = 7)")
+def texture_layout(s):
+    n = s.count()
+    w, h = trees.texture_size(n)
+    return s.where("row_id % 1000 = 7").select(F.lit(float(n)).alias("n"), F.lit(w).cast("long").alias("w"), F.lit(h).cast("long").alias("h"), (F.col("row_id") % w).alias("px"), F.expr(f"row_id div {w}").alias("py"))
+
+
+# files
+
+
+def _folder() -> str:
+    import atexit
+    import shutil
+
+    folder = tempfile.mkdtemp(prefix="cairn-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def _through(s: DataFrame, name: str, columns: list[str], keep: int = 2000) -> DataFrame:
+    """The first rows of s after a trip through a file."""
+    from cairn.sources import registry
+    from cairn.storage import materialize
+
+    path = f"{_folder()}/{name}"
+    part = s.where(F.col("row_id") < keep)
+    registry.write(part.select("row_id", *[F.col(c).cast("float").alias(c) for c in columns]), path, iterations=3)
+    return materialize(registry.read(s.sparkSession, path))
+
+
+def _f32(columns):
+    return ", ".join(f"round(CAST({c} AS FLOAT)::DOUBLE, 5) + 0 AS {c}" for c in columns)
+
+
+@query(f"SELECT row_id, {_f32([*GAUSSIAN, 'lod'])} FROM splats WHERE row_id < 2000")
+def ply_roundtrip(s):
+    back = _through(s, "a.ply", [*GAUSSIAN, "lod"])
+    return back.select("row_id", *[(F.round(F.col(c).cast("double"), 5) + 0.0).alias(c) for c in [*GAUSSIAN, "lod"]])
+
+
+@query(f"SELECT row_id, {_f32(POSITION)} FROM splats WHERE row_id < 2000")
+def splat_roundtrip(s):
+    back = _through(s, "a.splat", GAUSSIAN)
+    return back.select("row_id", *[(F.round(F.col(c).cast("double"), 5) + 0.0).alias(c) for c in POSITION])
+
+
+@query("SELECT count(*) AS n, 8 AS chunks FROM splats WHERE row_id < 2000")
+def compressed_ply_roundtrip(s):
+    back = _through(s, "a.compressed.ply", GAUSSIAN)
+    return back.agg(F.count("*").alias("n"), F.lit(8).alias("chunks"))
+
+
+@query("SELECT count(*) AS n FROM splats WHERE row_id < 2000")
+def sog_roundtrip(s):
+    return _through(s, "a.sog", GAUSSIAN).agg(F.count("*").alias("n"))
+
+
+@query("SELECT row_id, printf('%.6f', x) AS x, printf('%.6f', z) AS z FROM splats WHERE row_id < 2000")
+def csv_format(s):
+    from cairn.sources import sinks
+
+    return s.where("row_id < 2000").select("row_id", sinks.csv_cell("x", "double").alias("x"), sinks.csv_cell("z", "double").alias("z"))
+
+
+@query()
+def crc32_text(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.crc32(F.encode("text", "utf-8")).alias("crc"))
+
+
+@query()
+def splat_file_stream(spark, sf_dir):
+    """The .splat files of a folder through the stream, written and read again."""
+    from cairn.sources import registry
+    from cairn.storage import shared_path
+    from cairn.streaming.splats import splat_stream
+
+    folder, out = _folder(), shared_path(spark)
+    s = splats.view(spark, sf_dir).where("row_id < 2000")
+    for k in range(2):
+        registry.write(s.where(F.col("row_id") % 2 == k).select("row_id", *[F.col(c).cast("float").alias(c) for c in GAUSSIAN]), f"{folder}/{k}.splat")
+    q = splat_stream(spark, f"file://{folder}").writeStream.format("parquet").option("checkpointLocation", f"{out}-state").option("path", out).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out).groupBy(F.regexp_extract("path", r"(\d)\.splat", 1).alias("file")).agg(F.count("*").alias("n"))
+
+
+_FLAG = f"""SELECT row_id, round({_VIS}, 9) AS score, CAST(least(1023, floor(greatest(0, (x - mn) * (1024.0::DOUBLE / (mx - mn))))) AS BIGINT) AS cell FROM (
+  SELECT *, min(x) OVER () AS mn, max(x) OVER () AS mx FROM splats WHERE x BETWEEN -20 AND 20 AND y BETWEEN -40 AND 20 AND z BETWEEN -40 AND 40) ORDER BY score DESC, row_id LIMIT 100"""
+
+
+@query(_FLAG)
+def flagship_topk(s):
+    """Of the splats in a box the 100 that show most, with their Morton cell along x."""
+    inside = filters.box(s, (-20.0, -40.0, -40.0), (20.0, 20.0, 40.0))
+    ends = inside.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    scored = inside.crossJoin(F.broadcast(ends)).select("row_id", F.round(order.visibility(), 9).alias("score"), morton.cell("x", "lo", "hi").alias("cell"))
+    return scored.orderBy(F.desc("score"), "row_id").limit(100)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship_topk(splats.view(spark, sf_dir))
+
+
+assert set(COLOR) <= set(GAUSSIAN) and _ALL
