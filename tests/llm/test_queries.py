@@ -1,0 +1,17 @@
+import pytest
+from conftest import DATA
+from oracle import duck, same
+
+from cairn.llm.queries import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracle(spark, name):
+    same(QUERIES[name](spark, DATA), ORACLES[name], duck(DATA))
+
+
+def test_registered():
+    import __spark_entry__ as entry
+
+    assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
+    assert [sum(n.startswith(f"op{k}_") for n in QUERIES) for k in range(1, 11)] == [1] * 10
