@@ -24,11 +24,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import stage
+from cairn.llm.common import lean, stage
 from cairn.llm.token_files import byte_alphabet, slices
 
 #: Words in the lexicon; most of them a worker counts or remembers before it lets go of them.
-LEXICON_WORDS, HELD_WORDS = 1 << 16, 300_000
+LEXICON_WORDS, HELD_WORDS = 1 << 16, 150_000
 #: Longer pieces are merged one by one, through a heap.
 LONG_PIECE, _NO_RANK = 48, 1 << 40
 #: The tokenizer's white space (Unicode's), and its pattern for pieces.
@@ -208,6 +208,7 @@ class Merges:
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all texts; tasks add up before anything moves."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         out = lambda: pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
@@ -406,6 +407,7 @@ def train_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", words
 def _encoded(docs: DataFrame, columns: list, schema: str, text_col: str, tokenizer: str, lexicon_words: int, digest: bool) -> DataFrame:
     name = train_lexicon(docs, tokenizer, text_col, lexicon_words)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = Merges.of(tokenizer)
         if name not in _LEXICONS:

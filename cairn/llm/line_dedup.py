@@ -9,6 +9,7 @@ line's shard and get back the first holders; the lines themselves are never join
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cairn.llm.common import fresh, stage
+from cairn.llm.common import fresh, give_back, lean, stage
 
 MIN_CHARS = 10
 WHITE = b" \t\n\x0b\x0c\r"
 #: Hashes in a shard; documents in a block, more only beyond MOST_BLOCKS blocks.
 SHARD_LINES, BLOCK_DOCS, MOST_BLOCKS = 1 << 18, 512, 1_000_000
 _GAMMA, _LEVELS = 2, 48
+_blocks = itertools.count()  # that this worker has cut
 NO_ID = -(2**63)
 
 
@@ -44,6 +46,7 @@ def _halves(digests: bytes) -> tuple[pa.Array, pa.Array]:
 def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """(h1, h2, id): a row per document and distinct line that counts."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -186,6 +189,8 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             texts.append(text if len(stay) == len(parts) else b"\n".join(stay))
             n.append(len(parts))
             gone.append(len(parts) - len(stay))
+        if next(_blocks) % 8 == 7:
+            give_back()
         cols = [t.column(i) for i in range(width)]
         cols[text_at] = pa.array(texts, pa.binary()).cast(pa.string())
         return pa.table([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=out_schema.names)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import stage
+from cairn.llm.common import lean, stage
 from cairn.llm.components import components, union
 
 SHINGLE, BITS_APART, SEED = 3, 3, 42
@@ -49,6 +49,7 @@ def simhash(text: bytes | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) per row: fp is the fingerprint's 64 bits as a long."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((simhash(x.as_buffer().to_pybytes() if x.is_valid else None) for x in b.column(1)), np.uint64, b.num_rows)
@@ -76,6 +77,7 @@ def index_blocks(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """(node, mask, value, fps) per block of distinct fingerprints `fp`; blocks are numbered in Gray order, fps are 8 bytes each."""
     parts = max(1, -(-fps.count() // block))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -151,6 +153,7 @@ def fingerprint_links(fps: DataFrame, apart: int = BITS_APART) -> DataFrame:
     a, b = (blocks.select(F.col("node").alias(x), F.col("fps").alias(f"fps_{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "fps_a", "fps_b").repartition(tasks)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import lean
 from cairn.llm.token_files import slices
 from cairn.llm.words import mix, spans_hash
 
@@ -106,6 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = known.select(F.col(id_col).alias("id"), "label").orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(sample), "id")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [example(t or b"", y) for b in batches for t, y in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True)]
         yield pa.record_batch([pa.array([ftrl(found).astype("<f4").tobytes()], pa.binary())], names=["weights"])
@@ -119,6 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
     """(doc_id, score, predicted) per row of docs. A null text is empty; an empty text gets the bias's score. Ids pass as they are."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1, 512, 1 << 20):
             s = scores([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()], weights)
@@ -138,6 +141,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     weights = train(docs, labels, id_col, text_col)
     at = docs.columns.index(text_col)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, at, 512, 1 << 20):
             s = scores([t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()], weights)
