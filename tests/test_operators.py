@@ -195,9 +195,10 @@ def test_codebook(spark):
     assert [clustering.palette_size(n) for n in (1, 900, 1024, 2048, 3000, 65536, 10**7)] == [1, 900, 1024, 2048, 2048, 65536, 65536]
 
 
-def test_hierarchy(spark):
+@pytest.mark.parametrize("task_rows", [65_536, 800])
+def test_hierarchy(spark, task_rows):
     df, data = gaussians(spark, 3000)
-    nodes, rows = trees.bounding_hierarchy(df, leaf=200)
+    nodes, rows = trees.bounding_hierarchy(df, leaf=200, task_rows=task_rows)
     size = {r.node: r for r in nodes.collect()}
     leaf = {r.row_id: r.node for r in rows.collect()}
     assert len(leaf) == 3000 and size[1].n == 3000
