@@ -21,13 +21,13 @@ from cairn.llm.common import stage
 from cairn.llm.token_files import slices
 from cairn.llm.words import spans_hash, word_spans
 
-SINGLES, GROUPS, CONTEXT, WIDTH = 191, 64, 8, 16
+SINGLES, GROUPS, CONTEXT, WIDTH = 191, 64, 6, 16
 OUTPUTS = SINGLES + GROUPS + 1  # the last stands before a text's first token
 START = OUTPUTS - 1
 SMOOTH = 0.1
 #: The most frequent words, whose counts every task holds; the rest are looked up by a join.
 HEAD = 1 << 18
-BATCH, NOISE, RATE, SEED = 1024, 64, 0.15, 7
+BATCH, NOISE, RATE, SEED = 2048, 64, 0.15, 7
 END_HASH = np.uint64(0x5BD1E995A3C59AC3)
 
 
@@ -205,21 +205,24 @@ class Trainer:
     def step(self, ids: np.ndarray, context: np.ndarray) -> None:
         m, n = self.model, len(ids)
         c = context.astype(np.int64)
-        r = m.in_[c]  # (batch, place, width)
-        q = np.einsum("bpw,pw->bw", r, m.place)
+        through = m.in_[None] * m.place[:, None]  # (place, output, width)
+        q = through[0][c[:, 0]]
+        for i in range(1, CONTEXT):
+            q += through[i][c[:, i]]
         noise = self.rng.choice(START, NOISE, p=self.noise_p)
-        own = np.einsum("bw,bw->b", q, m.out[ids]) + m.bias[ids] - self.log_noise[ids]
-        other = q @ m.out[noise].T + m.bias[noise] - self.log_noise[noise]
+        out = m.out[ids]
+        own = np.einsum("bw,bw->b", q, out) + m.bias[ids] - self.log_noise[ids]
+        other = q @ m.out[noise].T + (m.bias[noise] - self.log_noise[noise])
         g_own = 1 / (1 + np.exp(-own)) - 1
         g_other = 1 / (1 + np.exp(-other))
-        dq = g_own[:, None] * m.out[ids] + g_other @ m.out[noise]
+        dq = g_own[:, None] * out + g_other @ m.out[noise]
         g_out, g_bias = _add_rows(ids, g_own[:, None] * q, OUTPUTS), np.bincount(ids, g_own, OUTPUTS)
         np.add.at(g_out, noise, g_other.T @ q)
         np.add.at(g_bias, noise, g_other.sum(0))
-        g_in = np.zeros((OUTPUTS, WIDTH))
-        g_place = np.einsum("bw,bpw->pw", dq, r)
-        for i in range(CONTEXT):
-            g_in += _add_rows(c[:, i], dq * m.place[i], OUTPUTS)
+        # what each place's context ids get, once for both of their parameters
+        by_place = np.stack([_add_rows(c[:, i], dq, OUTPUTS) for i in range(CONTEXT)])
+        g_in = np.einsum("pow,pw->ow", by_place, m.place)
+        g_place = np.einsum("pow,ow->pw", by_place, m.in_)
         for x, s, g in zip(m.parts(), self.squares, (g_in, g_place, g_out, g_bias), strict=True):
             g = (g / n).astype(np.float32) * 32
             s += g * g
