@@ -27,7 +27,7 @@ from cairn.llm.common import shared_dir, stage
 MAGIC, END_ID = b"CVB1", 2
 FILE_BYTES, BLOCK_BYTES = 8 << 20, 2 << 20
 #: Words whose ids a worker remembers; when full it forgets them all.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 
 _CODES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8)  # lengths less one of the four ids of a control byte
 _PLACES = np.arange(4) < np.arange(1, 5)[:, None]  # which of four bytes a rank of each length uses
