@@ -21,10 +21,17 @@ def by_palette(df: DataFrame, palette: DataFrame, label: str = "label") -> DataF
     return out.fillna(0, [c for c in palette.columns if c != label])
 
 
-def bucket_ranges(buckets: DataFrame, order: str = "bucket_id", size: str = "size") -> DataFrame:
-    """buckets with first and last, the half-open range of rows that each holds, laid end to end in order."""
-    upto = F.sum(size).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return buckets.withColumn("last", upto).withColumn("first", F.col("last") - F.col(size))
+def bucket_ranges(buckets: DataFrame, order: str = "bucket_id", size: str = "size", stretch: int = 65_536) -> DataFrame:
+    """buckets with first and last, the half-open range of rows that each holds, laid end to end by their numbers.
+
+    Sums run within stretches of numbers, then over the stretches' sums: no task sees all buckets.
+    """
+    own = buckets.withColumn("_stretch", F.expr(f"{order} div {stretch}"))
+    sums = own.groupBy("_stretch").agg(F.sum(size).alias("_n"))
+    sums = sums.select("_stretch", (F.sum("_n").over(W.orderBy("_stretch")) - F.col("_n")).alias("_before"))
+    within = F.sum(size).over(W.partitionBy("_stretch").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    out = own.withColumn("last", within).join(sums, "_stretch").withColumn("last", F.col("last") + F.col("_before"))
+    return out.withColumn("first", F.col("last") - F.col(size)).drop("_stretch", "_before")
 
 
 def in_buckets(df: DataFrame, ranges: DataFrame, row: str = "row_id", width: int = 4096) -> DataFrame:

@@ -247,9 +247,10 @@ def half_decode(s):
     return b.select("row_id", r6(numeric.half("b"), "v"))
 
 
-@query()
+@query("""WITH RECURSIVE g(i, s) AS (SELECT 0::BIGINT, (1103515245::HUGEINT * 42 + 12345) % 2147483648 UNION ALL SELECT i + 1, (1103515245::HUGEINT * s + 12345) % 2147483648 FROM g WHERE i < 1999)
+  SELECT i, round(CAST(s AS DOUBLE) / 2147483647, 6) + 0 AS value FROM g""")
 def lcg_values(spark, sf_dir):
-    return numeric.lcg_table(spark, 10_000).select("i", r6("value", "value"))
+    return numeric.lcg_table(spark, 2000).select("i", r6("value", "value"))
 
 
 @query("SELECT row_id, round(ln(scale), 6) + 0 AS a, round(CASE WHEN scale > 0 THEN ln(scale) ELSE -10 END, 6) + 0 AS b, round(CAST(row_id % 256 AS DOUBLE) / 16 - 10, 6) + 0 AS c, round((CAST(row_id % 256 AS DOUBLE) - 128) / 128, 6) + 0 AS d FROM (SELECT row_id, exp(scale_0) AS scale FROM splats)")
@@ -298,7 +299,10 @@ def summary_histogram16(s):
     return summary.histogram(s, _STATS)
 
 
-@query()
+@query(" UNION ALL ".join(f"""SELECT 1 AS version, (SELECT count(*) FROM splats) AS row_count, '{c}' AS name,
+  string_agg(substr('▁▂▃▄▅▆▇█', CAST(ceil(coalesce(n, 0) * 7 / most) AS INTEGER) + 1, 1), '' ORDER BY k) AS histogram FROM range(16) t(k) LEFT JOIN (
+  SELECT b, count(*) AS n FROM (SELECT CAST(least(15, floor(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) * 16)) AS BIGINT) AS b FROM splats) GROUP BY b) ON b = k,
+  (SELECT max(n)::DOUBLE AS most FROM (SELECT count(*) AS n FROM (SELECT CAST(least(15, floor(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) * 16)) AS BIGINT) AS b FROM splats) GROUP BY b))""" for c in _STATS))
 def summary_bars(s):
     return summary.summary(s, _STATS).select("version", "row_count", "name", "histogram")
 
@@ -567,7 +571,7 @@ def crc32_text(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.crc32(F.encode("text", "utf-8")).alias("crc"))
 
 
-@query()
+@query("SELECT CAST(row_id % 2 AS VARCHAR) AS file, count(*) AS n FROM splats WHERE row_id < 2000 GROUP BY 1")
 def splat_file_stream(spark, sf_dir):
     """The .splat files of a folder through the stream, written and read again."""
     from cairn.sources import registry
