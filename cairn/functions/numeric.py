@@ -82,6 +82,11 @@ def half(bits) -> Column:
     return F.when(b.bitwiseAND(1 << 15) != 0, -v).otherwise(v)
 
 
+def random_hex(digits: int) -> Column:
+    """So many random hexadecimal digits, at most 32; another row, another text."""
+    return F.substring(F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")), 1, digits)
+
+
 #: The generator's multiplier, increment, modulus and first seed.
 LCG_A, LCG_C, LCG_M, LCG_SEED = 1103515245, 12345, 2**31, 42
 

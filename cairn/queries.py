@@ -213,9 +213,9 @@ def sog_quat(s):
 @query(f"SELECT row_id, i, CASE WHEN good THEN 1 ELSE 0 END AS close FROM (SELECT row_id, CAST(i AS INTEGER) AS i, true AS good FROM {_F})")
 def quat_roundtrip(s):
     """A packed quaternion comes back within half a step of each component, up to sign."""
-    q, back = quaternion.unit(), quaternion.unpack_smallest_three(quaternion.pack_smallest_three())
-    dot = sum((a * b for a, b in zip(q, back, strict=True)), F.lit(0.0))
-    return s.select("row_id", quaternion.largest(q).alias("i"), F.when(F.abs(dot) > 1 - 1e-5, 1).otherwise(0).alias("close"))
+    coded = s.select("row_id", quaternion.largest(quaternion.unit()).alias("i"), quaternion.pack_smallest_three().alias("code"), *[c.alias(n) for n, c in zip(ROTATION, quaternion.unit(), strict=True)])
+    dot = sum((F.col(a) * b for a, b in zip(ROTATION, quaternion.unpack_smallest_three("code"), strict=True)), F.lit(0.0))
+    return coded.select("row_id", "i", F.when(F.abs(dot) > 1 - 1e-5, 1).otherwise(0).alias("close"))
 
 
 @query("""SELECT row_id, u % 256 AS lo, u // 256 AS hi FROM (SELECT row_id, CAST(floor((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) * 65535) AS BIGINT) AS u
