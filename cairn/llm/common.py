@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.storage import shared_path as shared_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a run of anything but these; a class for Java's and Python's regular expressions.
 SPACE = r"\x20\x09-\x0D"
@@ -21,23 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The cluster names that folder in spark.checkpoint.dir. Only a local master, as in tests, may leave it unset:
-    its tasks share the driver's disk, and a temporary folder serves that goes when the interpreter ends.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="cairn-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", f"file://{base}")
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}"
-
-
 def stage(df: DataFrame, spark: SparkSession | None = None, codec: str = "snappy") -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage ends here, and no later loss repeats the work."""
     spark = spark or df.sparkSession

@@ -184,4 +184,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", apart: int = BITS_APART) -> DataFrame:
     """docs without near duplicates: of each component the document with the smallest id stays, once. Columns are those of docs; a row with a null id goes if its component has another. Rows that repeat an id are one document, of which one row stays."""
     keep = near_groups(docs, id_col, text_col, apart).select(F.col("component_id").alias(id_col)).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep[id_col]), "left_semi").dropDuplicates([id_col])
+    kept = docs.join(keep, docs[id_col].eqNullSafe(keep[id_col]), "left_semi")
+    unique = docs.groupBy(id_col).count().where("count > 1").isEmpty()
+    return kept if unique else kept.dropDuplicates([id_col])

@@ -112,8 +112,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         found = [example(t or b"", y) for b in batches for t, y in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True)]
         yield pa.record_batch([pa.array([ftrl(found).astype("<f4").tobytes()], pa.binary())], names=["weights"])
 
-    # at most `rows` rows meet in one task
-    one = texts.select("t", "label", F.xxhash64("id").alias("h")).coalesce(1).sortWithinPartitions("h", "t").select("t", "label")
+    # at most `rows` rows meet in one task; the documents are read and joined by all
+    one = texts.select("t", "label", F.xxhash64("id").alias("h")).repartition(1).sortWithinPartitions("h", "t").select("t", "label")
     found = [r[0] for r in one.mapInArrow(run, "weights binary").collect()]
     return np.frombuffer(bytes(found[0]), "<f4") if found else np.zeros((1 << BITS) + 1, np.float32)
 
