@@ -114,3 +114,8 @@ def test_euler():
 
 def test_crc(spark):
     assert spark.range(1).select(F.crc32(F.encode(F.lit("123456789"), "utf-8"))).first()[0] == 0xCBF43926
+
+
+def test_random_hex(spark):
+    got = [r[0] for r in spark.range(50).select(numeric.random_hex(8)).collect()]
+    assert len(set(got)) == 50 and all(len(g) == 8 and int(g, 16) >= 0 for g in got)
