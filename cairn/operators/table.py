@@ -28,6 +28,11 @@ def with_row_id(df: DataFrame, order: list | None = None, name: str = ROW_ID) ->
     return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_before", "_at")
 
 
+def few(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df, to be broadcast if it has no more than so many rows (tens of bytes each); with more of them a join by shuffle is no longer skewed."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def clone(df: DataFrame, names: list[str]) -> DataFrame:
     """The named columns; an error names those that are missing."""
     if gone := [n for n in names if n not in df.columns]:
