@@ -215,6 +215,7 @@ def test_hierarchy(spark, task_rows):
 def test_large_node_medians(spark):
     r = np.random.default_rng(1)
     v = np.round(r.normal(size=3000), 1)
+    v[:1200] = 0.5
     df = spark.createDataFrame([(i, float(x), 1, 3000) for i, x in enumerate(v)], "row_id long, v double, node long, n long")
     want = sorted((x, i) for i, x in enumerate(v))[1500]
     for few in (10, 10**6):
