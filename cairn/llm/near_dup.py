@@ -6,6 +6,9 @@ hold no link, and the whole pair of groups is dropped; bits that an upper pair h
 the differences accumulate on the way down. The upper levels are small tables, joined parent by parent. The lowest
 pairs that survive are blocks of BLOCK fingerprints, compared in numpy by groups of LEAF, then one by one. A pair of
 blocks returns the edges of a spanning forest, not its links.
+
+similar_groups links by the share of word shingles instead, which so few bits can't tell: pairs that agree in a band of MinHash values are
+candidates, and each is then compared by its whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -20,12 +23,19 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import lean, stage
 from cairn.llm.components import components, union
+from cairn.llm.token_files import slices
+from cairn.llm.words import mix, shingle_hashes
 
 SHINGLE, BITS_APART, SEED = 3, 3, 42
 BLOCK, LEAF, FANOUT = 32768, 32, 8
 #: Pairs of fingerprints for one task, before any are pruned; rows of one file of an upper level.
 TASK_PAIRS, NODES = BLOCK * BLOCK // 4, 100_000
 _SPREAD = 2_000_000  # distances worked out at once
+#: Of similar_groups: words of a shingle, least similarity, bands of MinHash values and values in each. A pair at 0.8 is a candidate with probability 0.9996.
+WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 20, 5
+#: A candidate's sets are compared if so many of all MinHash values agree; of a pair at 0.8 fewer do in one of a million cases.
+AGREE = 60
+_FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def simhash(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -172,7 +182,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     own = stage(fingerprints(docs, id_col, text_col))
     distinct = stage(own.groupBy("fp").agg(F.min("id").alias("root")))
-    reached = components(fingerprint_links(distinct.select("fp"), apart)).withColumnRenamed("node", "fp")
+    return _named(own, distinct, fingerprint_links(distinct.select("fp"), apart))
+
+
+def _named(own: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) per row (id, fp) of own; distinct has each fp with its smallest id as root, links connect fps."""
+    reached = components(links).withColumnRenamed("node", "fp")
     names = distinct.join(reached, "fp").groupBy("least").agg(F.min("root").alias("name"))
     named = distinct.join(reached.join(names, "least").select("fp", "name"), "fp", "left")
     named = stage(named.select("fp", F.coalesce("name", "root").alias("component_id")))
@@ -181,9 +196,99 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return own.join(named, ["fp", "h"]).select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", apart: int = BITS_APART) -> DataFrame:
-    """docs without near duplicates: of each component the document with the smallest id stays, once. Columns are those of docs; a row with a null id goes if its component has another. Rows that repeat an id are one document, of which one row stays."""
-    keep = near_groups(docs, id_col, text_col, apart).select(F.col("component_id").alias(id_col)).distinct()
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """(id, fp, n, bands, values, shingles) per row: the text's n distinct shingles, sorted, 8 bytes each, their hash fp, a key for each band of MinHash values, and a byte of each value."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1, 512, 1 << 20):
+            sets = [np.unique(h) for h in shingle_hashes([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()], words)]
+            sizes = np.array([len(h) for h in sets], np.int64)
+            flat = np.concatenate([h if len(h) else np.zeros(1, np.uint64) for h in sets])
+            starts = np.concatenate(([0], np.cumsum(np.maximum(sizes, 1))[:-1]))
+            keys, values = np.zeros((len(sets), BANDS), np.uint64), np.zeros((len(sets), len(_FACTORS)), np.uint8)
+            for k, factor in enumerate(_FACTORS):
+                least = mix(np.minimum.reduceat(flat * factor, starts))
+                keys[:, k // ROWS] = mix(keys[:, k // ROWS] + least + np.uint64(k))
+                values[:, k] = least >> np.uint64(56)
+            fp = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64)
+            bands = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, keys.ravel().view(np.int64))
+            yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64)), pa.array(sizes), bands, pa.array([v.tobytes() for v in values], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["id", "fp", "n", "bands", "values", "shingles"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long, n long, bands array<long>, values binary, shingles binary")
+
+
+def similar_links(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(u, v): edges that connect the distinct sets of staged shingle_sets as links do between sets that share a band and at least `similar` of their shingles.
+
+    A set is first compared with the least of all buckets' least sets that it meets, then with those of other components, and last come all
+    pairs of a bucket that are still in different components. Of pairs, MinHash values are compared before whole sets.
+    """
+    sets = own.groupBy("fp").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).where("n > 0")
+    keyed = stage(sets.select("fp", "n", F.explode("bands").alias("key")))
+    hubs = keyed.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1").select("key", "hub")
+    buckets = stage(keyed.join(hubs, "key"))
+    alike = lambda n, m: F.least(n, m) >= F.lit(similar) * F.greatest(n, m)  # noqa: E731  fewer can't be that similar
+
+    def both(test):
+        @lean
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = [test(p, q) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+                yield pa.record_batch([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    def agree(p: bytes, q: bytes) -> bool:
+        return int((np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)).sum()) >= AGREE
+
+    def share(p: bytes, q: bytes) -> bool:
+        common = len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True))
+        return common >= similar * ((len(p) + len(q)) // 8 - common)
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        pairs = stage(pairs)
+        for column, test in (("values", agree), ("shingles", share)):
+            needed = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+            held = own.select("fp", column).join(needed, "fp", "left_semi").groupBy("fp").agg(F.first(column).alias("s"))
+            a, b = (held.select(F.col("fp").alias(x), F.col("s").alias(f"s_{x}")) for x in "uv")
+            pairs = stage(pairs.join(a, "u").join(b, "v").select("u", "v", "s_u", "s_v").mapInArrow(both(test), "u long, v long"))
+        return pairs
+
+    met = stage(buckets.where((F.col("fp") != F.col("hub.fp")) & alike(F.col("n"), F.col("hub.n"))).select(F.col("hub.fp").alias("u"), F.col("fp").alias("v")).distinct())
+    least_met = met.groupBy("v").agg(F.min("u").alias("u"))
+    links = compared(least_met.select("u", "v"))
+    names = stage(components(links))
+    of = lambda x: names.select(F.col("node").alias(x), F.col("least").alias(f"c_{x}"))
+    apart = met.join(least_met.withColumnRenamed("u", "least"), "v").where("u > least").join(of("u"), "u", "left").join(of("v"), "v", "left")
+    links = links.unionByName(compared(apart.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v")))
+    names = stage(components(links))
+    placed = stage(buckets.join(names.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", F.col("hub.fp").alias("hub"), F.coalesce("least", "fp").alias("c")))
+    mixed = placed.join(placed.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p < q").select("key"), "key", "left_semi").where("fp <> hub")
+    a, b = (mixed.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "c"))) for x in "ab")
+    more = a.join(b, "key").where((F.col("fp_a") < F.col("fp_b")) & (F.col("c_a") != F.col("c_b")) & alike(F.col("n_a"), F.col("n_b")))
+    return links.unionByName(compared(more.select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v")).distinct()))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
+    """As near_groups, but rows are linked whose sets of shingles of so many words share at least `similar` of their union; texts without words are alike. fp is the hash of the set."""
+    own = stage(shingle_sets(docs, id_col, text_col, words))
+    distinct = stage(own.groupBy("fp").agg(F.min("id").alias("root")))
+    return _named(own.select("id", "fp"), distinct, similar_links(own, similar))
+
+
+def _first_rows(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    keep = groups.select(F.col("component_id").alias(id_col)).distinct()
     kept = docs.join(keep, docs[id_col].eqNullSafe(keep[id_col]), "left_semi")
     unique = docs.groupBy(id_col).count().where("count > 1").isEmpty()
     return kept if unique else kept.dropDuplicates([id_col])
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", apart: int = BITS_APART) -> DataFrame:
+    """docs without near duplicates: of each component the document with the smallest id stays, once. Columns are those of docs; a row with a null id goes if its component has another. Rows that repeat an id are one document, of which one row stays."""
+    return _first_rows(docs, near_groups(docs, id_col, text_col, apart), id_col)
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
+    """As drop_near, by the components of similar_groups."""
+    return _first_rows(docs, similar_groups(docs, id_col, text_col, words, similar), id_col)

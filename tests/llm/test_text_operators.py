@@ -97,6 +97,26 @@ def test_near_groups(odd, empty):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted({n for n in name.values() if n is not None})
 
 
+def test_similar_texts_go(spark):
+    import corpus_pipeline
+
+    r = np.random.default_rng(3)
+    texts, pairs = {}, []
+    for k in range(40):  # copies with some words changed, at most a fifth of all shingles
+        words = [f"w{x}" for x in r.integers(0, 5000, 200)]
+        copy = list(words)
+        for at in r.choice(200, 1 + k % 4, replace=False):
+            copy[at] = "changed"
+        texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join(copy)
+        a, b = ({tuple(w[i : i + 5]) for i in range(196)} for w in (words, copy))
+        pairs.append(len(a & b) / len(a | b))
+    texts |= {100: "", 101: None, 102: "one two", 103: "One  two"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {x.doc_id for x in corpus_pipeline.dedup_near(spark, docs, "").collect()}
+    want = {2 * k for k in range(40)} | {2 * k + 1 for k, j in enumerate(pairs) if j < 0.8} | {100, 102}
+    assert kept == want and sum(0.8 <= j < 0.96 for j in pairs) > 30
+
+
 @pytest.mark.parametrize("block", [16, 200, 5000])
 def test_gray_index_links_all(spark, block, monkeypatch):
     r = np.random.default_rng(block)
