@@ -337,6 +337,11 @@ def test_lm(odd, empty, monkeypatch):
     assert neural_lm.lm_scores(empty).collect() == []
 
 
+def test_lm_context_is_eight_places():
+    ids = np.arange(10)
+    assert neural_lm.contexts(ids, np.array([0, 10]))[9].tolist() == [8, 7, 6, 5, 4, 3, 2, 1] and neural_lm.BATCH == 1024
+
+
 def test_lm_probabilities_sum_to_one():
     m = neural_lm.Model.start(np.arange(neural_lm.OUTPUTS))
     context = np.full((1, neural_lm.CONTEXT), 3, np.int16)
