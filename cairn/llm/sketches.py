@@ -65,10 +65,14 @@ class Sketch:
         shared, a, b = self._common(other)
         return shared / (a + b - shared) if a + b else float(not len(self.hashes) and not len(other.hashes))
 
-    def contained(self, other: Sketch) -> float:
-        """Estimated share of this document's shingles that the other has; 1 if it has none."""
+    def contained(self, other: Sketch) -> float | None:
+        """Estimated share of this document's shingles that the other has; 1 if it has none, None if no hash of it lies below the common limit.
+
+        Against a long document that limit is FRACTION of the range: n distinct shingles all lie above with probability (7/8)^n, 7 % at 20 and
+        below 0.1 % from 52 on. Shorter texts may be unknown.
+        """
         shared, a, _ = self._common(other)
-        return shared / a if a else float(not len(self.hashes))
+        return shared / a if a else None if len(self.hashes) else 1.0
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:

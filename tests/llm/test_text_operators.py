@@ -97,6 +97,14 @@ def test_near_groups(odd, empty):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted({n for n in name.values() if n is not None})
 
 
+def test_containment_of_short_text_is_unknown():
+    long = np.random.default_rng(1).integers(0, 2**64, 8000, dtype=np.uint64)
+    L = sketches.Sketch.of(long)
+    high, low = long[long >= 2**61][:5], long[long < 2**61][:5]
+    assert sketches.Sketch.of(high).contained(L) is None and sketches.Sketch.of(low).contained(L) == 1
+    assert sketches.Sketch.of(long[:0]).contained(L) == 1
+
+
 def test_similar_texts_go(spark):
     import corpus_pipeline
 
