@@ -95,7 +95,7 @@ def transform_trs(s):
 @query()
 def rotate_harmonics(s):
     rest = {f"f_rest_{k}": F.sin(F.col("x") + k) for k in range(45)}
-    return rows(transform.transform(s.limit(1000).withColumns(rest), rotation=transform.euler_quaternion((30, 45, 60))), [f"f_rest_{k}" for k in (0, 2, 7, 14, 44)])
+    return rows(transform.transform(s.withColumns(rest), rotation=transform.euler_quaternion((30, 45, 60))), [f"f_rest_{k}" for k in (0, 2, 7, 14, 44)])
 
 
 @query(f"SELECT row_id, {_R6(['x', 'y', 'z'])} FROM (SELECT row_id, 2 * (x + 1) AS x, 2 * y AS y, 2 * z AS z FROM splats WHERE opacity > 0 AND lod <> -1) WHERE x * x + y * y + z * z <= 2500")
@@ -449,7 +449,7 @@ def kmeans_nd_step(spark, sf_dir):
 
 @query()
 def kmeans_codebook(s):
-    centers, codes = clustering.codebook(s.where("row_id < 6000"), SCALE, 5)
+    centers, codes = clustering.codebook(s, SCALE, 5)
     return codes.groupBy(F.col("scale_0").alias("label")).agg(F.count("*").alias("n"))
 
 
