@@ -4,11 +4,13 @@ Distinct fingerprints are sorted by Gray rank, so neighbours share most of their
 order with its masked pattern: the bits that all its fingerprints share. Two nodes whose patterns differ in more than the allowed bits
 hold no link, and the whole pair of groups is dropped; bits that an upper pair has compared are not compared again,
 the differences accumulate on the way down. The upper levels are small tables, joined parent by parent. The lowest
-pairs that survive are blocks of BLOCK fingerprints, compared in numpy by groups of LEAF, then one by one. A pair of
-blocks returns the edges of a spanning forest, not its links.
+pairs that survive are blocks of BLOCK fingerprints. A task descends further, through nodes of LEVELS fingerprints, and compares what is left
+one by one. A pair of blocks returns the edges of a spanning forest, not its links. How much a level can prune depends on how many bits
+its nodes share, about the logarithm of all nodes: below some 2**18 fingerprints the upper levels drop little, and prune_report tells how much.
 
 similar_groups links by the share of word shingles instead, which so few bits can't tell: pairs that agree in a band of MinHash values are
-candidates, and each is then compared by its whole sets of shingles.
+candidates, and each is then compared by its whole sets of shingles. Of a bucket, pairs of blocks of sets move and are compared in numpy,
+and edges of a forest come back; never its pairs.
 """
 
 from __future__ import annotations
@@ -21,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import lean, stage
+from cairn.llm.common import fresh, lean, stage
 from cairn.llm.components import components, union
 from cairn.llm.token_files import slices
 from cairn.llm.words import mix, shingle_hashes
 
 SHINGLE, BITS_APART, SEED = 3, 3, 42
-BLOCK, LEAF, FANOUT = 32768, 32, 8
+BLOCK, FANOUT = 32768, 8
+#: Fingerprints in the nodes that a task descends through; each is a multiple of the next.
+LEVELS = (2048, 256, 32)
 #: Pairs of fingerprints for one task, before any are pruned; rows of one file of an upper level.
 TASK_PAIRS, NODES = BLOCK * BLOCK // 4, 100_000
 _SPREAD = 2_000_000  # distances worked out at once
@@ -35,6 +39,8 @@ _SPREAD = 2_000_000  # distances worked out at once
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 20, 5
 #: A candidate's sets are compared if so many of all MinHash values agree; of a pair at 0.8 fewer do in one of a million cases.
 AGREE = 60
+#: Sets, and shingles of theirs, in a block of a bucket; a longer set is a block of its own length.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -57,15 +63,23 @@ def simhash(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) per row: fp is the fingerprint's 64 bits as a long."""
+    """(id, th, fp) per row: th is a hash of the text, which tells rows apart that repeat an id, fp the fingerprint's 64 bits as a long."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((simhash(x.as_buffer().to_pybytes() if x.is_valid else None) for x in b.column(1)), np.uint64, b.num_rows)
-            yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            fp = np.fromiter((simhash(x.as_buffer().to_pybytes() if x.is_valid else None) for x in b.column(2)), np.uint64, b.num_rows)
+            yield pa.record_batch([*b.columns[:2], pa.array(fp.view(np.int64))], names=["id", "th", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long")
+    return _id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, th long, fp long")
+
+
+def _text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), _text_hash(text_col).alias("th"), F.col(text_col).alias("t"))
 
 
 def gray_rank(fp: str):
@@ -128,40 +142,66 @@ def near_blocks(levels: list[DataFrame], apart: int = BITS_APART) -> DataFrame:
     return pairs.select("a", "b", "work")
 
 
-def block_forest(a: np.ndarray, b: np.ndarray, same: bool, apart: int = BITS_APART, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (from, to) of a forest that spans the links between two blocks in Gray order, or within one."""
+def block_forest(a: np.ndarray, b: np.ndarray, same: bool, apart: int = BITS_APART, levels: tuple = LEVELS, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (from, to) of a forest that spans the links between two blocks in Gray order, or within one. counts gets, by level, how many pairs of nodes were looked at and how many were left."""
     x = a if same else np.concatenate((a, b))
     parent, base = np.arange(len(x)), 0 if same else len(a)
-
-    def groups(y):
-        at = np.minimum(np.arange(-(-len(y) // leaf) * leaf), len(y) - 1).reshape(-1, leaf)
-        every, some = np.bitwise_and.reduce(y[at], axis=1), np.bitwise_or.reduce(y[at], axis=1)
-        return at, every, every | ~some
-
-    (at_a, val_a, mask_a), (at_b, val_b, mask_b) = groups(a), groups(b)
-    step = max(1, _SPREAD // len(at_b))
-    for g in range(0, len(at_a), step):
-        bound = np.bitwise_count((val_a[g : g + step, None] ^ val_b) & mask_a[g : g + step, None] & mask_b)
-        left, right = np.nonzero(bound <= apart)
-        left += g
-        if same:
-            left, right = left[left <= right], right[left <= right]
-        for k in range(0, len(left), n := max(1, _SPREAD // leaf**2)):
-            i, j = at_a[left[k : k + n]], at_b[right[k : k + n]]
-            p, q, r = np.nonzero(np.bitwise_count(a[i][:, :, None] ^ b[j][:, None, :]) <= apart)
-            union(parent, i[p, q], j[p, r] + base)
+    nodes = [[_nodes(y, n) for n in levels] for y in (a, b)]
+
+    def descend(k: int, left: np.ndarray, right: np.ndarray, far: np.ndarray, seen: np.ndarray) -> None:
+        """Pairs of nodes of level k, how many bits of them differ as far as looked at, and which bits those were."""
+        (every_a, mask_a), (every_b, mask_b) = (side[k] for side in nodes)
+        both = mask_a[left] & mask_b[right]
+        far = far + np.bitwise_count((every_a[left] ^ every_b[right]) & both & ~seen)
+        stay = far <= apart
+        if counts is not None:
+            counts[k] += len(left), stay.sum()
+        left, right, far, both = left[stay], right[stay], far[stay], both[stay]
+        last = k + 1 == len(levels)
+        own = levels[k] if last else levels[k] // levels[k + 1]
+        step = max(1, _SPREAD // own**2)
+        for at in range(0, len(left), step):
+            i = left[at : at + step, None] * own + np.arange(own)
+            j = right[at : at + step, None] * own + np.arange(own)
+            if last:  # a node's last place is taken again where the block ends
+                i, j = np.minimum(i, len(a) - 1), np.minimum(j, len(b) - 1)
+                p, q, r = np.nonzero(np.bitwise_count(a[i][:, :, None] ^ b[j][:, None, :]) <= apart)
+                union(parent, i[p, q], j[p, r] + base)
+                continue
+            i, j = (np.broadcast_to(v, (len(i), own, own)).ravel() for v in (i[:, :, None], j[:, None, :]))
+            keep = (i < len(nodes[0][k + 1][0])) & (j < len(nodes[1][k + 1][0]))
+            if same:
+                keep &= i <= j
+            deeper = (np.repeat(v[at : at + step], own * own)[keep] for v in (far, both))
+            descend(k + 1, i[keep], j[keep], *deeper)
+
+    if len(a) and len(b):
+        i, j = (v.ravel() for v in np.meshgrid(np.arange(len(nodes[0][0][0])), np.arange(len(nodes[1][0][0])), indexing="ij"))
+        keep = i <= j if same else np.ones(len(i), bool)
+        descend(0, i[keep], j[keep], np.zeros(keep.sum(), np.int64), np.zeros(keep.sum(), np.uint64))
     far = np.nonzero(parent != np.arange(len(x)))[0]
     return x[far], x[parent[far]]
 
 
-def fingerprint_links(fps: DataFrame, apart: int = BITS_APART) -> DataFrame:
-    """(u, v): edges that connect the distinct fingerprints `fp` as links of at most `apart` bits do; at most one a fingerprint and pair of blocks."""
+def _nodes(y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pattern of each run of n fingerprints: values and mask."""
+    starts = np.arange(0, len(y), n)
+    every, some = (f.reduceat(y, starts) if len(y) else y for f in (np.bitwise_and, np.bitwise_or))
+    return every, every | ~some
+
+
+def _block_pairs(fps: DataFrame, apart: int) -> DataFrame:
+    """(a, b, fps_a, fps_b): the pairs of blocks that the upper levels leave, dealt by the work that they are."""
     blocks = index_blocks(fps)
     pairs = stage(near_blocks(index_levels(blocks), apart))
     number, work = pairs.agg(F.count("*"), F.sum("work")).first()
     tasks = max(1, min(number, int((work or 0) // TASK_PAIRS)))
     a, b = (blocks.select(F.col("node").alias(x), F.col("fps").alias(f"fps_{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "fps_a", "fps_b").repartition(tasks)
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "fps_a", "fps_b").repartition(tasks)
+
+
+def fingerprint_links(fps: DataFrame, apart: int = BITS_APART) -> DataFrame:
+    """(u, v): edges that connect the distinct fingerprints `fp` as links of at most `apart` bits do; at most one a fingerprint and pair of blocks."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +210,21 @@ def fingerprint_links(fps: DataFrame, apart: int = BITS_APART) -> DataFrame:
                 u, v = block_forest(np.frombuffer(row["fps_a"], "<u8"), np.frombuffer(row["fps_b"], "<u8"), row["a"] == row["b"], apart)
                 yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    return both.mapInArrow(run, "u long, v long")
+    return _block_pairs(fps, apart).mapInArrow(run, "u long, v long")
+
+
+def prune_report(fps: DataFrame, apart: int = BITS_APART) -> DataFrame:
+    """(size, looked, left) per level within blocks: pairs of nodes of `size` fingerprints that were looked at, and those not pruned."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(LEVELS), 2), np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                block_forest(np.frombuffer(row["fps_a"], "<u8"), np.frombuffer(row["fps_b"], "<u8"), row["a"] == row["b"], apart, counts=counts)
+        yield pa.record_batch([pa.array(LEVELS, pa.int64()), pa.array(counts[:, 0]), pa.array(counts[:, 1])], names=["size", "looked", "left"])
+
+    found = _block_pairs(fps, apart).mapInArrow(run, "size long, looked long, left long")
+    return found.groupBy("size").agg(F.sum("looked").alias("looked"), F.sum("left").alias("left"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", apart: int = BITS_APART) -> DataFrame:
@@ -181,28 +235,36 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while another id is there. An empty table gives an empty result.
     """
     own = stage(fingerprints(docs, id_col, text_col))
-    distinct = stage(own.groupBy("fp").agg(F.min("id").alias("root")))
-    return _named(own, distinct, fingerprint_links(distinct.select("fp"), apart))
+    distinct = _distinct(own)
+    return _members(own, _roots(distinct, fingerprint_links(distinct.select("fp"), apart)))
+
 
+def _distinct(own: DataFrame) -> DataFrame:
+    """(fp, root): the first row of each fp, by id (nulls last) and hash of the text."""
+    return stage(own.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("root")))
 
-def _named(own: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) per row (id, fp) of own; distinct has each fp with its smallest id as root, links connect fps."""
+
+def _roots(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, root) with the first row of the whole component instead; links connect fps."""
     reached = components(links).withColumnRenamed("node", "fp")
     names = distinct.join(reached, "fp").groupBy("least").agg(F.min("root").alias("name"))
     named = distinct.join(reached.join(names, "least").select("fp", "name"), "fp", "left")
-    named = stage(named.select("fp", F.coalesce("name", "root").alias("component_id")))
+    return stage(named.select("fp", F.coalesce("name", "root").alias("root")))
+
+
+def _members(own: DataFrame, roots: DataFrame) -> DataFrame:
     # hashed besides: a fingerprint that a third of all rows share may then be split
-    own, named = (x.withColumn("h", F.xxhash64("fp")) for x in (own, named))
-    return own.join(named, ["fp", "h"]).select(F.col("id").alias("doc_id"), "fp", "component_id")
+    own, roots = (x.withColumn("h", F.xxhash64("fp")) for x in (own, roots))
+    return own.join(roots, ["fp", "h"]).select(F.col("id").alias("doc_id"), "fp", F.col("root.id").alias("component_id"))
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, fp, n, bands, values, shingles) per row: the text's n distinct shingles, sorted, 8 bytes each, their hash fp, a key for each band of MinHash values, and a byte of each value."""
+    """(id, th, fp, n, bands, values, shingles) per row: the text's n distinct shingles, sorted, 8 bytes each, their hash fp, a key for each band of MinHash values, and a byte of each value."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1, 512, 1 << 20):
-            sets = [np.unique(h) for h in shingle_hashes([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()], words)]
+        for b in slices(batches, 2, 512, 1 << 20):
+            sets = [np.unique(h) for h in shingle_hashes([t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()], words)]
             sizes = np.array([len(h) for h in sets], np.int64)
             flat = np.concatenate([h if len(h) else np.zeros(1, np.uint64) for h in sets])
             starts = np.concatenate(([0], np.cumsum(np.maximum(sizes, 1))[:-1]))
@@ -213,16 +275,17 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 values[:, k] = least >> np.uint64(56)
             fp = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64)
             bands = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, keys.ravel().view(np.int64))
-            yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64)), pa.array(sizes), bands, pa.array([v.tobytes() for v in values], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["id", "fp", "n", "bands", "values", "shingles"])
+            cols = [*b.columns[:2], pa.array(fp.view(np.int64)), pa.array(sizes), bands, pa.array([v.tobytes() for v in values], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())]
+            yield pa.record_batch(cols, names=["id", "th", "fp", "n", "bands", "values", "shingles"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long, n long, bands array<long>, values binary, shingles binary")
+    return _id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, th long, fp long, n long, bands array<long>, values binary, shingles binary")
 
 
 def similar_links(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(u, v): edges that connect the distinct sets of staged shingle_sets as links do between sets that share a band and at least `similar` of their shingles.
 
     A set is first compared with the least of all buckets' least sets that it meets, then with those of other components, and last come all
-    pairs of a bucket that are still in different components. Of pairs, MinHash values are compared before whole sets.
+    pairs of a bucket that are still in different components, by blocks of the bucket. Of pairs, MinHash values are compared before whole sets.
     """
     sets = own.groupBy("fp").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).where("n > 0")
     keyed = stage(sets.select("fp", "n", F.explode("bands").alias("key")))
@@ -264,31 +327,111 @@ def similar_links(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
     links = links.unionByName(compared(apart.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v")))
     names = stage(components(links))
     placed = stage(buckets.join(names.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", F.col("hub.fp").alias("hub"), F.coalesce("least", "fp").alias("c")))
-    mixed = placed.join(placed.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p < q").select("key"), "key", "left_semi").where("fp <> hub")
-    a, b = (mixed.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "c"))) for x in "ab")
-    more = a.join(b, "key").where((F.col("fp_a") < F.col("fp_b")) & (F.col("c_a") != F.col("c_b")) & alike(F.col("n_a"), F.col("n_b")))
-    return links.unionByName(compared(more.select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v")).distinct()))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q"), F.count("*").alias("many"), F.sum("n").alias("all")).where("p < q")
+    blocks = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("many") / BLOCK_SETS, F.col("all") / BLOCK_SHINGLES))).cast("int")
+    mixed = stage(mixed.select("key", blocks.alias("blocks")))
+    return links.unionByName(stage(_bucket_links(own, placed.where("fp <> hub").join(mixed, "key"), mixed, similar)))
+
+
+def _bucket_links(own: DataFrame, members: DataFrame, buckets: DataFrame, similar: float) -> DataFrame:
+    """(u, v): edges that connect what the links of each bucket connect. members: (key, fp, c, blocks), c the component as known; buckets: (key, blocks).
+
+    The members of a bucket are dealt to blocks by hash; each pair of blocks is one row, so a bucket of m sets moves about m / BLOCK_SETS times.
+    """
+    sets = own.groupBy("fp").agg(F.first("shingles").alias("shingles"), F.first("values").alias("values"))
+    sets = sets.join(members.select("fp").distinct(), "fp", "left_semi")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).join(sets, "fp")
+    packed = stage(dealt.groupBy("key", "block").agg(F.collect_list(F.struct("fp", "c", "values", "shingles")).alias("sets")))
+    pairs = buckets.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"), "blocks").select("key", "a", F.explode(F.sequence("a", F.col("blocks") - 1)).alias("b"))
+    a = packed.select("key", F.col("block").alias("a"), F.col("sets").alias("left"))
+    b = packed.select("key", F.col("block").alias("b"), F.col("sets").alias("right"))
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                u, v = set_forest(row["left"], row["right"] if row["a"] < row["b"] else None, similar)
+                yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    both = pairs.join(a, ["key", "a"]).join(b, ["key", "b"]).select("a", "b", "left", F.when(F.col("a") < F.col("b"), F.col("right")).alias("right"))
+    return both.mapInArrow(run, "u long, v long")
+
+
+def set_forest(left: list[dict], right: list[dict] | None, similar: float = SIMILAR) -> tuple[list[int], list[int]]:
+    """Edges of a forest that spans the links between two blocks of sets, or within one (right None), of those that aren't in one component c already."""
+    every = left + (right or [])
+    cut, n = len(left) if right else 0, len(every)
+    _, parent = np.unique(np.array([x["c"] for x in every], np.int64), return_inverse=True)
+    first = np.full(n, n)
+    np.minimum.at(first, parent, np.arange(n))
+    parent, known = first[parent], first[parent]  # a set points to the first set of its component
+    signs = np.frombuffer(b"".join(x["values"] for x in every), np.uint8).reshape(n, -1)
+    sizes = np.array([len(x["shingles"]) // 8 for x in every])
+    rows = range(cut) if right else range(n - 1)
+    chosen = []
+    for i in rows:
+        others = np.arange(max(cut, i + 1), n)
+        others = others[known[others] != known[i]]
+        small, large = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
+        others = others[small >= similar * large]  # fewer can't be that similar
+        others = others[(signs[others] == signs[i]).sum(1) >= AGREE]
+        if len(others):
+            chosen.append((i, others))
+    if not chosen:
+        return [], []
+    used = np.unique(np.concatenate([np.append(o, i) for i, o in chosen]))
+    _, ids = np.unique(np.concatenate([np.frombuffer(every[k]["shingles"], np.uint64) for k in used.tolist()]), return_inverse=True)
+    ends = np.cumsum(sizes[used])
+    spans = {k: ids[z - s : z] for k, z, s in zip(used.tolist(), ends.tolist(), sizes[used].tolist(), strict=True)}
+    has = np.zeros(int(ids.max()) + 1, bool)
+    for i, others in chosen:
+        others = others[parent[others] != parent[i]]  # linked meanwhile
+        if not len(others):
+            continue
+        has[spans[i]] = True
+        flat = np.concatenate([spans[k] for k in others.tolist()])
+        common = np.add.reduceat(has[flat], np.concatenate(([0], np.cumsum(sizes[others])[:-1])), dtype=np.int64)
+        has[spans[i]] = False
+        linked = others[common >= similar * (sizes[i] + sizes[others] - common)]
+        if len(linked):
+            union(parent, np.full(len(linked), i), linked)
+    far = np.nonzero(parent != known)[0]
+    return [every[k]["fp"] for k in far.tolist()], [every[k]["fp"] for k in parent[far].tolist()]
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
     """As near_groups, but rows are linked whose sets of shingles of so many words share at least `similar` of their union; texts without words are alike. fp is the hash of the set."""
+    own, roots = _similar_roots(docs, id_col, text_col, words, similar)
+    return _members(own, roots)
+
+
+def _similar_roots(docs: DataFrame, id_col: str, text_col: str, words: int, similar: float) -> tuple[DataFrame, DataFrame]:
     own = stage(shingle_sets(docs, id_col, text_col, words))
-    distinct = stage(own.groupBy("fp").agg(F.min("id").alias("root")))
-    return _named(own.select("id", "fp"), distinct, similar_links(own, similar))
+    return own.select("id", "th", "fp"), _roots(_distinct(own), similar_links(own, similar))
 
 
-def _first_rows(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
-    keep = groups.select(F.col("component_id").alias(id_col)).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep[id_col]), "left_semi")
-    unique = docs.groupBy(id_col).count().where("count > 1").isEmpty()
-    return kept if unique else kept.dropDuplicates([id_col])
+def _first_rows(docs: DataFrame, own: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that are the first of their component, told by id and hash of the text; of rows equal in both one stays."""
+    i, h, x, y = fresh(docs, "root_id", "root_th", "gone_id", "gone_th")
+    h_own, roots = own.withColumn("h", F.xxhash64("fp")), roots.withColumn("h", F.xxhash64("fp"))
+    first = F.col("id").eqNullSafe(F.col("root.id")) & (F.col("th") == F.col("root.th"))
+    gone = stage(h_own.join(roots, ["fp", "h"]).where(~first).select(F.col("id").alias(x), F.col("th").alias(y)).distinct())
+    marked = docs.withColumns({i: F.col(id_col).cast("long"), h: _text_hash(text_col)})
+    kept = marked.join(gone, marked[i].eqNullSafe(gone[x]) & (marked[h] == gone[y]), "left_anti")
+    unique = own.groupBy("id", "th").count().where("count > 1").isEmpty()
+    return (kept if unique else kept.dropDuplicates([i, h])).drop(i, h)
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", apart: int = BITS_APART) -> DataFrame:
-    """docs without near duplicates: of each component the document with the smallest id stays, once. Columns are those of docs; a row with a null id goes if its component has another. Rows that repeat an id are one document, of which one row stays."""
-    return _first_rows(docs, near_groups(docs, id_col, text_col, apart), id_col)
+    """docs without near duplicates: of each component the row with the smallest id stays, a null id after all others.
+
+    Columns are those of docs. Rows that repeat an id are documents of their own, told by their texts; rows that repeat id and text are one document, of which one row stays.
+    """
+    own = stage(fingerprints(docs, id_col, text_col))
+    distinct = _distinct(own)
+    return _first_rows(docs, own, _roots(distinct, fingerprint_links(distinct.select("fp"), apart)), id_col, text_col)
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
     """As drop_near, by the components of similar_groups."""
-    return _first_rows(docs, similar_groups(docs, id_col, text_col, words, similar), id_col)
+    return _first_rows(docs, *_similar_roots(docs, id_col, text_col, words, similar), id_col, text_col)

@@ -125,6 +125,63 @@ def test_similar_texts_go(spark):
     assert kept == want and sum(0.8 <= j < 0.96 for j in pairs) > 30
 
 
+def test_near_rows_that_repeat_an_id(spark):
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abcdefgh") * 3 + str(r.randrange(999)) for _ in range(60)) for _ in range(3)]
+    docs = spark.createDataFrame([(4, texts[0]), (5, texts[1]), (5, texts[2]), (5, texts[2]), (6, texts[1]), (None, texts[0]), (None, "only here")], "doc_id long, text string")
+    for drop in (near_dup.drop_near, near_dup.drop_similar):
+        assert sorted(map(repr, map(tuple, drop(docs).collect()))) == sorted(map(repr, [(4, texts[0]), (5, texts[1]), (5, texts[2]), (None, "only here")]))
+
+
+def test_set_forest():
+    r = np.random.default_rng(5)
+    sets, groups = [], 30
+    for g in range(groups):  # in a group each set shares 0.75 to 0.95 with the first
+        base = r.integers(0, 2**63, 120).astype(np.uint64)
+        for k in range(8):
+            own = base.copy()
+            own[: 2 * k] = r.integers(0, 2**63, 2 * k).astype(np.uint64)
+            sets.append(np.unique(own))
+    signs = [np.array([near_dup.mix(s * f).min() >> np.uint64(56) for f in near_dup._FACTORS], np.uint8) for s in sets]
+    rows = [{"fp": k, "c": -k, "values": v.tobytes(), "shingles": s.tobytes()} for k, (s, v) in enumerate(zip(sets, signs, strict=True))]
+    alike = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    for left, right in ((rows, None), (rows[::2], rows[1::2])):
+        every, cut = left + (right or []), len(left) if right else 0
+        want, got = np.arange(len(every)), np.arange(len(every))
+        pairs = [(i, j) for i in range(cut or len(every)) for j in range(max(cut, i + 1), len(every)) if alike(sets[every[i]["fp"]], sets[every[j]["fp"]])]
+        components.union(want, *np.array(pairs).T)
+        at = {x["fp"]: k for k, x in enumerate(every)}
+        u, v = near_dup.set_forest(left, right)
+        components.union(got, np.array([at[x] for x in u]), np.array([at[x] for x in v]))
+        assert got.tolist() == want.tolist() and len(u) < len(every) and len(pairs) > len(u)
+
+
+def test_large_bucket_moves_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_SETS", 8)
+    r = random.Random(2)
+    base, texts = [f"w{k}" for k in range(150)], []
+    for k in range(60):  # all share about 0.7 with each other, some 0.9
+        own = [x if r.random() > 0.012 else f"z{k}{x}" for x in base]
+        texts.append(" ".join(own))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(146)} for t in texts]
+    want = list(range(60))
+    for _ in range(60):
+        for i in range(60):
+            for j in range(60):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    want[i] = want[j] = min(want[i], want[j])
+    got = near_dup.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == dict(enumerate(want)) and 3 < len(set(want)) < 60
+
+
+def test_prune_report(spark):
+    fps = spark.range(40000).selectExpr("xxhash64(id) fp")
+    got = {x["size"]: x for x in near_dup.prune_report(fps).collect()}
+    assert set(got) == set(near_dup.LEVELS) and all(x.left <= x.looked for x in got.values())
+    n = 40000 / near_dup.LEVELS[-1]
+    assert got[near_dup.LEVELS[-1]].left < n * n / 2 / 3 and got[near_dup.LEVELS[-1]].looked < 0.8 * n * n / 2
+
+
 @pytest.mark.parametrize("block", [16, 200, 5000])
 def test_gray_index_links_all(spark, block, monkeypatch):
     r = np.random.default_rng(block)
