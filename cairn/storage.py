@@ -23,6 +23,18 @@ def shared_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One file at path, of any file system that Spark knows."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        for at in range(0, len(data), 1 << 24):
+            out.write(bytearray(data[at : at + (1 << 24)]))
+    finally:
+        out.close()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df as a written table: its plan is cut, and no lost executor makes it anew."""
     path = shared_path(df.sparkSession)
