@@ -1,6 +1,6 @@
 """Byte-level BPE through a lexicon of frequent words: a minimal acyclic automaton that numbers its words, with the words' ids beside it.
 
-A word is what lies between ASCII white space, with the one space before it; pieces of the tokenizer never span two words. The corpus is
+A word is what lies between white space, with the one space before it; pieces of the tokenizer never span two words. The corpus is
 counted once. Its most frequent words go into an automaton that shares prefixes and suffixes; a transition adds to the word's number how
 many words it passes by, so the number leads to the word's ids. The automaton is a double array, one file that
 every worker maps into memory; all words of a slice walk it side by side. Words it doesn't have are merged exactly.
@@ -10,11 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import io
 import json
 import os
 import re
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +23,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import lean, stage
+from cairn.llm.common import lean, shared_dir, stage, write_bytes
+from cairn.llm.letters import Pieces
 from cairn.llm.token_files import byte_alphabet, slices
 
 #: Words in the lexicon; most of them a worker counts or remembers before it lets go of them.
@@ -35,6 +35,7 @@ LONG_PIECE, _NO_RANK = 48, 1 << 40
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 _WORDS = re.compile(rb" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]")
+#: The white space of more than one byte, in UTF-8.
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
@@ -44,8 +45,6 @@ class Merges:
     _held: dict = {}
 
     def __init__(self, path: str):
-        import regex
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letter = byte_alphabet()
@@ -63,7 +62,7 @@ class Merges:
         for t, i in self.special.items():
             self.bytes[i] = t
         self.decimal = [b"%d" % i for i in range(len(self.bytes))]
-        self.pieces = regex.compile(_PIECES)
+        self.pieces = Pieces(_PIECES)
         longest = sorted(map(re.escape, self.special), key=len, reverse=True)
         self.split = re.compile(b"(" + b"|".join(longest) + b")") if longest else None
         self.known: dict[bytes, bytes] = {}
@@ -180,7 +179,7 @@ class Merges:
         cut, new = {}, {}
         for w in words:
             if w not in self.known:
-                cut[w] = own = [w] if w.isalpha() or w[:1] == b" " and w[1:].isalpha() else [p.encode() for p in self.pieces.findall(w.decode())]
+                cut[w] = own = [w] if w.isalpha() or w[:1] == b" " and w[1:].isalpha() else [p.encode() for p in self.pieces(w.decode())]
                 for p in own:
                     if p not in self.known_pieces:
                         new[p] = None
@@ -194,15 +193,9 @@ class Merges:
     def word(self, word: bytes) -> np.ndarray:
         return np.frombuffer(self.words([word])[0], "<u4")
 
-    def odd(self, text: bytes) -> bool:
-        """Whether words can't be told by ASCII white space alone."""
-        return bool(self.split and self.split.search(text)) or not text.isascii() and bool(_WIDE_SPACE.search(text))
-
-    def whole(self, text: bytes) -> np.ndarray:
-        """The ids of any text, by the pattern alone."""
-        parts = self.split.split(text) if self.split else [text]
-        ids = [[self.special[p]] if k % 2 else [i for x in self.pieces.findall(p.decode()) for i in self.merge(x.encode())] for k, p in enumerate(parts)]
-        return np.array([i for x in ids for i in x], np.uint32)
+    def segments(self, text: bytes) -> list[bytes]:
+        """The text cut at special tokens: each second part is one."""
+        return self.split.split(text) if any(map(text.__contains__, self.special)) else [text]
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -214,7 +207,8 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         out = lambda: pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
         for b in slices(batches, 0):
             for t in b.column(0).cast(pa.binary()).to_pylist():
-                held.update(_WORDS.findall(t or b""))
+                t = t or b""
+                held.update(_WORDS.findall(t if t.isascii() else _WIDE_SPACE.sub(b"\n", t)))
             if len(held) > HELD_WORDS:
                 yield out()
                 held.clear()
@@ -299,9 +293,11 @@ class Lexicon:
         arrays = {"base": base, "final": np.array([f for f, _ in states], np.int32), "owner": owner, "target": target, "skip": skip, "starts": starts, "ids": np.concatenate([np.zeros(0, np.uint32), *outputs]).astype(np.int32)}
         return cls(arrays | {"root": root})
 
-    def save(self, path: str) -> None:
-        parts = [getattr(self, f) for f in self.FIELDS]
-        np.save(path, np.concatenate([np.array([self.root, *map(len, parts)], np.int32), *parts]))
+    def dump(self) -> bytes:
+        """The content of a file that map() reads."""
+        parts, out = [getattr(self, f) for f in self.FIELDS], io.BytesIO()
+        np.save(out, np.concatenate([np.array([self.root, *map(len, parts)], np.int32), *parts]))
+        return out.getvalue()
 
     @classmethod
     def map(cls, path: str) -> Lexicon:
@@ -332,9 +328,17 @@ class Lexicon:
 
 
 def word_spans(text: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of all words of documents that lie end to end, white space included: the same that _WORDS finds in each."""
+    """Starts and ends of all words of texts that lie end to end, white space included.
+
+    Of white space before a word the last character goes by itself, a space with the word; what comes before it is a word too, and
+    so is all white space at a text's end. Where no white space is wide that is what _WORDS finds.
+    """
     n = len(text)
     white = (text == 32) | (text - np.uint8(9) < 5)
+    wide = _wide(text)
+    for k, at in wide.items():
+        for i in range(k):
+            white[at + i] = True
     edge = np.zeros(n + 1, bool)
     edge[doc_ends] = True
     edge[0] = True
@@ -351,6 +355,9 @@ def word_spans(text: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.n
     led = np.searchsorted(words, inner[space] + 1)
     word_starts[led] -= 1
     cut = ends[inner] - 1
+    if wide:  # to the first byte of the last character
+        for _ in range(2):
+            cut -= text[cut] & 0xC0 == 0x80
     head, tail = cut > starts[inner], ~space
     s = np.concatenate([starts[inner][head], cut[tail], word_starts, starts[last]])
     e = np.concatenate([cut[head], ends[inner][tail], ends[words], ends[last]])
@@ -358,17 +365,32 @@ def word_spans(text: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.n
     return s[order], e[order]
 
 
+def _wide(text: np.ndarray) -> dict[int, np.ndarray]:
+    """Where white space of two and three bytes begins, by its length; empty if there is none."""
+    lead = np.nonzero((text == 0xC2) | (text == 0xE1) | (text == 0xE2) | (text == 0xE3))[0]
+    if not len(lead):
+        return {}
+    one, two, three = (np.append(text, np.zeros(2, np.uint8))[lead + i] for i in range(3))
+    is_two = (one == 0xC2) & ((two == 0x85) | (two == 0xA0))
+    general = (one == 0xE2) & (two == 0x80) & ((three - np.uint8(0x80) < 11) | (three == 0xA8) | (three == 0xA9) | (three == 0xAF))
+    is_three = general | (one == 0xE1) & (two == 0x9A) & (three == 0x80) | (one == 0xE2) & (two == 0x81) & (three == 0x9F) | (one == 0xE3) & (two == 0x80) & (three == 0x80)
+    return {k: lead[m] for k, m in ((2, is_two), (3, is_three)) if m.any()}
+
+
 _LEXICONS: dict[str, Lexicon] = {}
 
 
 def encode_slice(texts: list[bytes], rules: Merges, lexicon: Lexicon) -> list[np.ndarray]:
     """Each text's ids."""
-    out: list = [rules.whole(t) if rules.odd(t) else None for t in texts]
-    plain = [k for k, x in enumerate(out) if x is None]
-    joined = b"".join(texts[k] for k in plain)
-    doc_ends = np.cumsum([len(texts[k]) for k in plain]) if plain else np.zeros(0, np.int64)
+    parts = [rules.segments(t) for t in texts]
+    if any(len(p) > 1 for p in parts):  # texts between special tokens are texts of their own
+        inner = iter(encode_slice([x for p in parts for x in p[::2]], rules, lexicon))
+        special = lambda x: np.array([rules.special[x]], np.uint32)
+        return [np.concatenate([special(x) if k % 2 else next(inner) for k, x in enumerate(p)]) for p in parts]
+    joined = b"".join(texts)
+    doc_ends = np.cumsum([len(t) for t in texts]) if texts else np.zeros(0, np.int64)
     if not joined:
-        return [np.zeros(0, np.uint32) if x is None else x for x in out]
+        return [np.zeros(0, np.uint32)] * len(texts)
     buf = np.frombuffer(joined, np.uint8)
     starts, ends = word_spans(buf, doc_ends)
     number = lexicon.numbers(buf, starts, ends)
@@ -385,9 +407,7 @@ def encode_slice(texts: list[bytes], rules: Merges, lexicon: Lexicon) -> list[np
     flat = ids[np.repeat(first - (upto - size), size) + np.arange(upto[-1])]
     cuts = np.searchsorted(starts, doc_ends)  # words before each document's end
     to = np.concatenate([[0], upto])[cuts]
-    for k, a, b in zip(plain, [0, *to[:-1].tolist()], to.tolist(), strict=True):
-        out[k] = flat[a:b].astype(np.uint32)
-    return out
+    return [flat[a:b].astype(np.uint32) for a, b in zip([0, *to[:-1].tolist()], to.tolist(), strict=True)]
 
 
 def train_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", words: int = LEXICON_WORDS) -> str:
@@ -395,12 +415,12 @@ def train_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", words
     # a word seen once is not frequent, and half of all words are such
     found = frequent_words(stage(word_counts(docs, text_col).where("n > 1")), words)
     rules = Merges.of(tokenizer)
-    found = [w for w in found if not rules.odd(w)]
+    found = [w for w in found if len(rules.segments(w)) == 1]
     lexicon = Lexicon.build(found, [np.frombuffer(x, "<u4") for x in rules.words(found)])
-    folder = tempfile.mkdtemp(prefix="cairn-")
-    path = f"{folder}/lexicon-{uuid.uuid4().hex}.npy"
-    lexicon.save(path)
-    docs.sparkSession.sparkContext.addFile(path)
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}.npy"
+    write_bytes(spark, path, lexicon.dump())
+    spark.sparkContext.addFile(path)  # executors fetch it from the shared folder, those that come later too
     return os.path.basename(path)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.storage import shared_path as shared_dir
+from cairn.storage import write_bytes  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a run of anything but these; a class for Java's and Python's regular expressions.
@@ -36,6 +37,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
 
 
+def arrow_schema(schema):
+    """The Arrow schema that a grouped Arrow function must return for a Spark schema or its DDL; what it is given may have large types instead."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened until df has no such column; Spark compares names without case."""
     have = {c.lower() for c in df.columns}

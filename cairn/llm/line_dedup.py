@@ -1,10 +1,10 @@
 """Lines that repeat across documents are dropped, except in the first document, through a sharded minimal perfect hash.
 
-The lines that at least two documents hold are dealt to shards by their hash. A shard is three flat arrays (fingerprint, count of
+All distinct line hashes are dealt to shards. A shard is three flat arrays (fingerprint, count of
 holders, first holder) behind a minimal perfect hash of its lines: levels of bits, where a line that meets no other at its place of
 a level takes that place's rank, and all others go on to the next level. A line that isn't in the shard
 also gets a rank, and the fingerprint there gives it away. Blocks of documents send each distinct line's hash once to the
-line's shard and get back the first holders; the lines themselves are never joined or moved apart from their document.
+line's shard; the count there decides, and the first holders come back. The lines themselves are never joined or moved apart from their document.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cairn.llm.common import fresh, give_back, lean, stage
+from cairn.llm.common import arrow_schema, fresh, give_back, lean, stage
 
 MIN_CHARS = 10
 WHITE = b" \t\n\x0b\x0c\r"
-#: Hashes in a shard; documents in a block, more only beyond MOST_BLOCKS blocks.
-SHARD_LINES, BLOCK_DOCS, MOST_BLOCKS = 1 << 18, 512, 1_000_000
+#: Hashes in a shard; documents and bytes of text in a block, about; bytes in a partition of the last shuffle.
+SHARD_LINES, BLOCK_DOCS, BLOCK_BYTES, PART_BYTES = 1 << 18, 512, 4 << 20, 64 << 20
 _GAMMA, _LEVELS = 2, 48
 _blocks = itertools.count()  # that this worker has cut
 NO_ID = -(2**63)
@@ -43,8 +43,8 @@ def _halves(digests: bytes) -> tuple[pa.Array, pa.Array]:
     return pa.array(both[:, 0]), pa.array(both[:, 1])
 
 
-def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h1, h2, id): a row per document and distinct line that counts."""
+def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, blocks: int = 1) -> DataFrame:
+    """(h1, h2, id, block): a row per document and distinct line that counts."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,14 +52,15 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 keys, reps = [], []
-                for text in b.column(1).cast(pa.binary()).to_pylist():
+                for text in b.column(2).cast(pa.binary()).to_pylist():
                     own = {k for x in (text or b"").split(b"\n") if (k := line_key(x, min_chars))}
                     keys += own
                     reps.append(len(own))
-                ids = np.repeat(np.asarray(b.column(0)), reps)
-                yield pa.record_batch([*_halves(b"".join(keys)), pa.array(ids, pa.int64())], names=["h1", "h2", "id"])
+                ids, block = (pa.array(np.repeat(np.asarray(b.column(k)), reps), pa.int64()) for k in (0, 1))
+                yield pa.record_batch([*_halves(b"".join(keys)), ids, block], names=["h1", "h2", "id", "block"])
 
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "h1 long, h2 long, id long")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("t"))
+    return rows.select("id", F.pmod(F.xxhash64("id", F.xxhash64("t")), F.lit(blocks)).cast("long").alias("block"), "t").mapInArrow(run, "h1 long, h2 long, id long, block long")
 
 
 def _places(h: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -117,8 +118,10 @@ class PerfectHash:
         return cls(np.frombuffer(data, "<i8", n, 24), np.frombuffer(data, "<u8", w, 24 + 8 * n), np.frombuffer(data, "<i8", w, 24 + 8 * (n + w)), np.frombuffer(data, "<u8", r, 24 + 8 * (n + 2 * w)))
 
 
-def build_index(repeated: DataFrame) -> DataFrame:
-    """(shard, hash, fingerprint, holders, first) a shard, as flat arrays; repeated: (shard, h1, h2, n, lo), a row per line. Lines that agree in h1 share a place."""
+def build_index(lines: DataFrame) -> DataFrame:
+    """(shard, hash, starts, fingerprint, holders, first) a shard, as flat arrays; lines: (shard, h1, h2, n, lo), a row per distinct line, n how many documents hold it. Lines that agree in h1 share a place."""
+    schema = "shard long, hash binary, starts binary, fingerprint binary, holders binary, first binary"
+    target = arrow_schema(schema)
 
     def run(t: pa.Table) -> pa.Table:
         h1, h2, n, lo = (np.asarray(t.column(c).combine_chunks()) for c in ("h1", "h2", "n", "lo"))
@@ -128,19 +131,19 @@ def build_index(repeated: DataFrame) -> DataFrame:
         # two lines with equal h1 (1 in 2**64) stand side by side: starts has each place's first entry
         starts = np.searchsorted(at[order], np.arange(at.max() + 2))
         arrays = {"hash": ph.dump(), "starts": starts.astype("<i4").tobytes(), "fingerprint": h2[order].astype("<i8").tobytes(), "holders": np.minimum(n[order], 2**32 - 1).astype("<u4").tobytes(), "first": lo[order].astype("<i8").tobytes()}
-        return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int64())} | {k: pa.array([v], pa.binary()) for k, v in arrays.items()})
+        return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int64())} | {k: pa.array([v], pa.binary()) for k, v in arrays.items()}).cast(target)
 
-    return repeated.groupBy("shard").applyInArrow(run, "shard long, hash binary, starts binary, fingerprint binary, holders binary, first binary")
+    return lines.groupBy("shard").applyInArrow(run, schema)
 
 
 def probe(index: DataFrame, asked: DataFrame) -> DataFrame:
-    """(block, h1, h2, first, holders) for the asked (shard, h1, h2, block) whose line the index has."""
+    """(block, h1, h2, first) for the asked (shard, h1, h2, block) whose line the index counts in two documents or more."""
 
     def run(t: pa.Table, shard: pa.Table) -> pa.Table:
         h1, h2 = (np.asarray(t.column(c).combine_chunks()) for c in ("h1", "h2"))
         found, place = np.zeros(0, np.int64), np.zeros(0, np.int64)
         get = lambda c, kind: np.frombuffer(shard.column(c)[0].as_py(), kind)
-        first = holders = np.zeros(0, np.int64)
+        first = np.zeros(0, np.int64)
         if shard.num_rows and t.num_rows:
             starts, prints, first, holders = get("starts", "<i4"), get("fingerprint", "<i8"), get("first", "<i8"), get("holders", "<u4")
             at = PerfectHash.load(shard.column("hash")[0].as_py()).index(h1.view(np.uint64))
@@ -148,12 +151,12 @@ def probe(index: DataFrame, asked: DataFrame) -> DataFrame:
             lo, hi = starts[at[known]], starts[at[known] + 1]
             for k in range(int((hi - lo).max(initial=0))):
                 here = lo + k < hi
-                same = prints[(lo + k)[here]] == h2[known[here]]
+                same = (prints[(lo + k)[here]] == h2[known[here]]) & (holders[(lo + k)[here]] > 1)
                 found, place = np.append(found, known[here][same]), np.append(place, (lo + k)[here][same])
         block = np.asarray(t.column("block").combine_chunks()) if t.num_rows else found
-        return pa.table({"block": pa.array(block[found], pa.int64()), "h1": pa.array(h1[found], pa.int64()), "h2": pa.array(h2[found], pa.int64()), "first": pa.array(first[place], pa.int64()), "holders": pa.array(holders[place].astype(np.int64))})
+        return pa.table({"block": pa.array(block[found], pa.int64()), "h1": pa.array(h1[found], pa.int64()), "h2": pa.array(h2[found], pa.int64()), "first": pa.array(first[place], pa.int64())})
 
-    return asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(run, "block long, h1 long, h2 long, first long, holders long")
+    return asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(run, "block long, h1 long, h2 long, first long")
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -164,19 +167,20 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     they are. Rows that repeat an id count as one document; a null id counts as smaller than any. Other columns pass through.
     """
     n_lines, n_dropped, block, key = fresh(docs, "n_lines", "n_dropped", "block", "key")
-    rows = docs.count()
-    per_block = max(BLOCK_DOCS, -(-rows // MOST_BLOCKS))
-    blocks = max(1, -(-rows // per_block))
-    in_block = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks))
-    held = line_rows(docs, id_col, text_col, min_chars).withColumnRenamed("id", key).withColumn("block", in_block)
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(text_col))).first()
+    blocks = max(1, -(-rows // BLOCK_DOCS), -(-(size or 0) // BLOCK_BYTES))
+    # rows that share an id are dealt by their text besides, so that an id, or none, that many have makes no block of its own
+    in_block = F.pmod(F.xxhash64(F.col(key), F.xxhash64(text_col)), F.lit(blocks))
+    held = line_rows(docs, id_col, text_col, min_chars, blocks).withColumnRenamed("id", key)
     held = stage(held.groupBy("h1", "h2", "block").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")))
     shards = max(1, -(-held.count() // SHARD_LINES))
     shard = F.pmod("h1", F.lit(shards)).cast("long").alias("shard")
-    lines = held.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-    index = stage(build_index(lines.select(shard, "h1", "h2", "n", "lo")))
-    answers = stage(probe(index, held.select(shard, "h1", "h2", "block")).select("block", "h1", "h2", "first"))
+    lines = held.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    index = stage(build_index(lines.select(shard, "h1", "h2", F.when(F.col("lo") < F.col("hi"), F.greatest(F.lit(2), "n")).otherwise(F.lit(1)).alias("n"), "lo")))
+    answers = stage(probe(index, held.select(shard, "h1", "h2", "block")))
 
     out_schema = StructType(docs.schema.fields[:]).add(n_lines, "long").add(n_dropped, "long")
+    target = arrow_schema(out_schema)
     ids, text_at, width = docs.columns.index(id_col), docs.columns.index(text_col), len(docs.columns)
 
     def run(t: pa.Table, known: pa.Table) -> pa.Table:
@@ -192,11 +196,12 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if next(_blocks) % 8 == 7:
             give_back()
         cols = [t.column(i) for i in range(width)]
-        cols[text_at] = pa.array(texts, pa.binary()).cast(pa.string())
-        return pa.table([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=out_schema.names)
+        cols[text_at] = pa.array(texts, pa.large_binary()).cast(pa.large_string())
+        return pa.table([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=out_schema.names).cast(target)
 
     dealt = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn(block, in_block).drop(key)
-    return dealt.groupBy(block).cogroup(answers.groupBy("block")).applyInArrow(run, out_schema)
+    parts = max(1, min(blocks, -(-(size or 0) // PART_BYTES)), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) if (size or 0) > PART_BYTES else 1)
+    return dealt.repartition(parts, block).groupBy(block).cogroup(answers.groupBy("block")).applyInArrow(run, out_schema)
 
 
 ORACLE = r"""

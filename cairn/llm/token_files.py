@@ -17,12 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.llm.common import shared_dir, stage
+from cairn.llm.letters import Pieces
 
 MAGIC, END_ID = b"CVB1", 2
 FILE_BYTES, BLOCK_BYTES = 8 << 20, 2 << 20
@@ -82,7 +82,7 @@ class WordEncoder(dict):
         normalizers = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         known = normalizers == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and splits[0]["invert"] and not splits[1]["use_regex"]
-        self.find = regex.compile(splits[0]["pattern"]["Regex"]).findall if known else None
+        self.find = Pieces(splits[0]["pattern"]["Regex"]) if known else None
         self.letters = dict(enumerate(byte_alphabet()))
 
     @classmethod
@@ -96,11 +96,11 @@ class WordEncoder(dict):
             out = self._whole(run)
         else:
             text = run.decode()
-            # up to U+024F nothing composes, and lower case doesn't depend on the neighbours
-            text = text.lower() if max(text) < "\u0250" else self.tokenizer.normalizer.normalize_str(text)
-            if text.isalpha():
+            # up to U+024F nothing composes, lower case doesn't depend on the neighbours, and all agree on what a letter is
+            text = text.lower() if (low := max(text) < Pieces.FIRST) else self.tokenizer.normalizer.normalize_str(text)
+            if low and text.isalpha():
                 out = self._piece(text)
-            elif text[-1] in ".,;:!?" and text[:-1].isalpha():
+            elif low and text[-1] in ".,;:!?" and text[:-1].isalpha():
                 out = self._piece(text[:-1]) + self._piece(text[-1])
             else:
                 out = b"".join(map(self._piece, self.find(text)))
@@ -128,7 +128,7 @@ class WordEncoder(dict):
 def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most so many rows and, but for a longer single one, about so many bytes of a text column."""
     for b in batches:
-        ends = np.frombuffer(b.column(column).buffers()[1], np.int32, b.num_rows + 1, b.column(column).offset * 4) if b.num_rows else []
+        ends = _ends(b.column(column)) if b.num_rows else []
         at = 0
         while at < b.num_rows:
             to = int(np.searchsorted(ends[at + 1 :], ends[at] + size, side="right")) + at
@@ -137,9 +137,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 512, size
             at = to
 
 
+def _ends(column: pa.Array) -> np.ndarray:
+    """Where the texts or bytes of a column begin, and the last ends; large Arrow types have offsets of 8 bytes."""
+    kind = np.dtype(np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32)
+    return np.frombuffer(column.buffers()[1], kind, len(column) + 1, column.offset * kind.itemsize)
+
+
 def values(column: pa.Array, kind: str) -> np.ndarray:
     """All bytes of a binary column without nulls as one array."""
-    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    ends = _ends(column)
     return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind)
 
 

@@ -377,16 +377,88 @@ def test_lexicon_and_merges():
     parts = ["a", "b", " ", "  ", "\n", "\t", "'s", "é", " ", "　", "the", "22", ".", "<|endoftext|>", "\x1c", "\x85", "日本", "🙂", "\r\n"]
     texts = ["".join(r.choice(parts) for _ in range(r.randrange(40))) for _ in range(500)] + ["a" * 3000, "%#@!" * 300]
     raw = [x.encode() for x in texts]
-    words = sorted({w for x in raw for w in bpe_lexicon._WORDS.findall(x) if not rules.odd(w)})[::2]
+    words = sorted({w for x in raw for w in bpe_lexicon._WORDS.findall(x) if len(rules.segments(w)) == 1 and not bpe_lexicon._WIDE_SPACE.search(w)})[::2]
     lexicon = bpe_lexicon.Lexicon.build(words, [rules.word(w) for w in words])
     joined, ends = b"".join(words), np.cumsum([len(w) for w in words])
     assert lexicon.numbers(np.frombuffer(joined, np.uint8), ends - [len(w) for w in words], ends).tolist() == list(range(len(words)))
     got = bpe_lexicon.encode_slice(raw, rules, lexicon)
     assert [g.tolist() for g in got] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
-    some = [w for w in words if len(w) <= bpe_lexicon.LONG_PIECE and len(rules.pieces.findall(w.decode())) == 1]
+    some = [w for w in words if len(w) <= bpe_lexicon.LONG_PIECE and len(rules.pieces(w.decode())) == 1]
     assert [np.frombuffer(x, "<u4").tolist() for x in rules.merge_all(some)] == [rules.merge(w) for w in some]
 
 
+EVERY = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_code_point(name):
+    from tokenizers import Tokenizer
+
+    path = tokenizer(name)
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    r = random.Random(11)
+    # each in a word, beside a digit, beside a sign, and among random others
+    step = 7 if name.startswith("byte") else 1
+    texts = [f"a{c}b 1{c}! {c} {r.choice(EVERY)}{c}{r.choice(EVERY)}" for c in EVERY[:0x3000] + EVERY[0x3000::step] if c not in "\n"]
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    raw = [x.encode() for x in texts]
+    if name.startswith("byte"):
+        rules, empty = bpe_lexicon.Merges(path), bpe_lexicon.Lexicon.build([], [])
+        got = [x.tolist() for k in range(0, len(raw), 4096) for x in bpe_lexicon.encode_slice(raw[k : k + 4096], rules, empty)]
+    else:
+        e = token_files.WordEncoder(path)
+        got = [np.frombuffer(x, f"<u{np.dtype(e.kind).itemsize}").tolist() for k in range(0, len(raw), 4096) for x in e.ids(raw[k : k + 4096])]
+    assert [x for x, g, w in zip(texts, got, want, strict=True) if g != w][:20] == []
+
+
+def test_letters_agree_below_first():
+    from cairn.llm import letters
+
+    low = "".join(c for c in EVERY if c < letters.Pieces.FIRST)
+    import regex
+
+    for kind in letters.KINDS:
+        own = {c for a, b in letters.ranges(kind) for c in range(a, b + 1)}
+        assert {c for c in low if ord(c) in own} == set(regex.findall(kind, low))
+    assert {c for c in low if c.isalpha()} == set(regex.findall(r"\p{L}", low))
+
+
+def test_wide_spaces_and_special_tokens():
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    t, rules, r = Tokenizer.from_file(path), bpe_lexicon.Merges.of(path), random.Random(9)
+    parts = ["a", "bc", " ", "\n", "\u00a0", "\u3000", "\u2003", "\u1680", "\u205f", "\x85", "é", "\u200b", "<|endoftext|>", "日", "1"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(20000)]
+    raw = [x.encode() for x in texts]
+    words = sorted({b"a", b" a", b"bc", b" bc", b"\n", b" ", "é".encode()})
+    lexicon = bpe_lexicon.Lexicon.build(words, [rules.word(w) for w in words])
+    assert [g.tolist() for g in bpe_lexicon.encode_slice(raw, rules, lexicon)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_wide_spaces_leave_the_lexicon_in_use(monkeypatch):
+    path = tokenizer("byte_bpe_50k.json")
+    rules = bpe_lexicon.Merges.of(path)
+    words = sorted({b"word", b" word", "\u00a0".encode()})
+    lexicon = bpe_lexicon.Lexicon.build(words, [rules.word(w) for w in words])
+    monkeypatch.setattr(bpe_lexicon.Merges, "words", lambda self, new: [] if not new else pytest.fail(f"merged {new}"))
+    assert len(bpe_lexicon.encode_slice(["word\u00a0word word word".encode()], rules, lexicon)[0]) > 3
+
+
+def test_large_arrow_types(spark, odd):
+    path, old = tokenizer("word_bpe_49k.json"), spark.conf.get("spark.sql.execution.arrow.useLargeVarTypes")
+    make = (lambda d: token_files.token_digests(d, path), lambda d: bpe_lexicon.encode_digests(d, tokenizer("byte_bpe_50k.json")), line_dedup.drop_lines, sketches.edit_report, near_dup.near_groups, near_dup.drop_similar, neural_lm.lm_scores)
+    want = [Counter(map(repr, f(odd).collect())) for f in make]
+    spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", "true")
+    try:
+        for f, w in zip(make, want, strict=True):
+            assert Counter(map(repr, f(odd).collect())) == w
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", old)
+
+
 def test_lm(odd, empty, monkeypatch):
     rows = odd_rows()
     tokens = [[w.encode() for w in WORD.findall(low(r[1] or ""))] + [None] for r in rows]
