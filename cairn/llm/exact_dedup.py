@@ -1,10 +1,10 @@
 """Exact duplicates by content-defined chunk recipes, in DataFrame operations alone.
 
 A text is cut where its own content says so: after the first line or sentence end beyond MIN_CHUNK code points, or at
-MAX_CHUNK. Each distinct chunk gets one identifier, its first occurrence, and a text becomes its recipe, the ordered
-list of identifiers. Texts are equal when their recipes are; what moves between machines are digests of chunks and
-short lists, never the texts. A chunk's identifier is verified by length, a 64-bit hash and a SHA-256; the SHA-256 of the whole
-text then confirms each group.
+MAX_CHUNK. That is no rolling hash, but as one does it finds its cuts again after an insertion, at the next end that both texts share. Each distinct chunk gets one identifier, its first occurrence, and a text becomes its recipe, the ordered
+list of identifiers. Texts are equal when their recipes are, and nothing else decides; what moves between machines are digests of chunks and
+short lists, never the texts. A chunk's identifier is verified by length, a 64-bit hash and a SHA-256. The SHA-256 of the whole
+text is carried for the result, and a group whose texts differ in it would end the query.
 """
 
 from __future__ import annotations
@@ -53,6 +53,13 @@ def recipes(rows: DataFrame) -> DataFrame:
     return lists.select("uid", "id", "sha", F.transform("r", lambda x: F.struct(x["first_uid"].alias("u"), x["first_pos"].alias("p"))).alias("recipe"))
 
 
+def same_recipes(lists: DataFrame) -> DataFrame:
+    """(key, recipe, keep, group_size, sha) per distinct recipe of staged lists (uid, id, sha, recipe, key), key a hash of recipe; texts of one recipe must have one SHA-256."""
+    groups = lists.groupBy("key", "recipe").agg(F.max(F.struct("id", "uid")).alias("keep"), F.count("*").alias("group_size"), F.min("sha").alias("sha"), F.max("sha").alias("last"))
+    verified = F.when(F.col("sha") == F.col("last"), F.col("sha")).otherwise(F.raise_error(F.lit("texts of one recipe have different SHA-256")).cast("binary"))
+    return groups.select("key", "recipe", "keep", "group_size", verified.alias("sha"))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -62,10 +69,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = stage(chunk_rows(docs, id_col, text_col))
     lists = stage(recipes(rows).withColumn("key", F.xxhash64("recipe")))
-    groups = lists.groupBy("key", "recipe", "sha").agg(F.max(F.struct("id", "uid")).alias("keep"), F.count("*").alias("group_size"))
-    out = lists.select("uid", "id", "sha", "key").join(groups.select("key", "sha", "keep", "group_size"), ["key", "sha"])
+    # written: both sides of the join are dealt anew, so Spark may split a group that a third of all rows are in
+    groups = stage(same_recipes(lists)).select("key", F.col("recipe").alias("same"), "keep", "group_size", F.col("sha").alias("verified"))
+    out = lists.select("uid", "id", "recipe", "key").join(groups, ["key"]).where(F.col("recipe") == F.col("same"))
     return out.select(
-        F.col("id").alias("doc_id"), F.col("keep.id").alias("keep_id"), "group_size", (F.col("keep.uid") == F.col("uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
+        F.col("id").alias("doc_id"), F.col("keep.id").alias("keep_id"), "group_size", (F.col("keep.uid") == F.col("uid")).alias("kept"), F.lower(F.hex("verified")).alias("text_sha256")
     )
 
 

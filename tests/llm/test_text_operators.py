@@ -60,6 +60,23 @@ def test_exact_groups(odd, empty):
     assert exact_dedup.exact_groups(empty).collect() == []
 
 
+def test_recipes_alone_decide(spark):
+    rows = [(1, 10, b"s", [(1, 0), (1, 1)]), (2, 11, b"s", [(1, 1), (1, 0)]), (3, 12, b"s", [(1, 0), (1, 1)]), (4, 13, b"e", [])]
+    lists = spark.createDataFrame(rows, "uid long, id long, sha binary, recipe array<struct<u:long,p:int>>").selectExpr("*", "1L key")
+    assert sorted((r["keep"].id, r.group_size) for r in exact_dedup.same_recipes(lists).collect()) == [(11, 1), (12, 2), (13, 1)]
+    with pytest.raises(Exception, match="different SHA-256"):
+        exact_dedup.same_recipes(lists.selectExpr("uid", "id", "CAST(string(uid) AS BINARY) sha", "recipe", "key")).collect()
+
+
+def test_line_index_is_over_all_lines(spark):
+    lines = spark.createDataFrame([(0, k * 7919, k, 1 + k % 3, k) for k in range(500)], "shard long, h1 long, h2 long, n long, lo long")
+    index = line_dedup.build_index(lines).collect()
+    assert len(index) == 1 and len(index[0].holders) == 4 * 500
+    asked = lines.selectExpr("shard", "h1", "h2 + IF(h1 % 2 = 0, 0, 1) h2", "5L block").unionByName(spark.createDataFrame([(0, 5, 5, 5)], "shard long, h1 long, h2 long, block long"))
+    got = line_dedup.probe(line_dedup.build_index(lines), asked).collect()
+    assert sorted(r["first"] for r in got) == [k for k in range(500) if k % 3 and k % 2 == 0]
+
+
 def test_chunks_are_the_text(odd):
     from pyspark.sql import functions as F
 
