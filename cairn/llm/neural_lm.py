@@ -1,10 +1,11 @@
 """A log-bilinear language model, trained in numpy by noise-contrastive estimation, and exact counts beneath it.
 
-The model's outputs are the SINGLES most frequent tokens, the end among them, and GROUPS groups of all other words by their last
-two bytes. The CONTEXT outputs before a token, each through its place's own diagonal, sum to a predicted vector; its products
-with all output vectors, normalised, are the outputs' probabilities. A word takes its group's probability times its smoothed share of the
-group's count. Counts cover every training text. Every training token is a target: each task learns from its own texts, the
-tasks' parameters are averaged by tokens.
+The model's words are all that training texts hold MIN_COUNT times or more, up to MODEL_WORDS of the most frequent, and the end. Each has an input
+and an output vector. The CONTEXT tokens before a token, each through its place's own diagonal, sum to a predicted vector. A probability has
+two steps, so that normalising takes about the square root of the words: over the most frequent words, one class for each run of words of like
+frequency, and GROUPS groups of all other words by their last two bytes; then over the words of the class. Only a word of a group
+takes its smoothed share of the group's count. Counts cover every training text. Every training token is a target once: in a few rounds
+each task continues from the model so far on its own texts, and the tasks' parameters are averaged by tokens.
 """
 
 from __future__ import annotations
@@ -17,17 +18,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import stage
+from cairn.llm.common import arrow_schema, lean, stage
 from cairn.llm.token_files import slices
 from cairn.llm.words import spans_hash, word_spans
 
-SINGLES, GROUPS, CONTEXT, WIDTH = 191, 64, 8, 16
-OUTPUTS = SINGLES + GROUPS + 1  # the last stands before a text's first token
-START = OUTPUTS - 1
+MODEL_WORDS, MIN_COUNT, SINGLES, CLASSES, GROUPS = 1 << 14, 32, 48, 96, 48
+CONTEXT, WIDTH = 8, 16
 SMOOTH = 0.1
 #: The most frequent words, whose counts every task holds; the rest are looked up by a join.
 HEAD = 1 << 18
-BATCH, NOISE, RATE, SEED = 1024, 64, 0.15, 7
+#: A batch is RUNS runs of neighbouring tokens.
+BATCH, RUNS, NOISE, CLASS_NOISE, RATE, SEED = 1024, 16, 64, 6, 0.25, 7
+#: Rounds of training take texts up to these shares of all, by hash; every text is in one.
+ROUNDS = (0.2, 1.0)
+#: Distinct tokens that a counting task holds before it passes them on.
+HELD_COUNTS = 1_000_000
+#: Numbers of a model's piece, as models are averaged.
+PIECE = 1 << 16
 END_HASH = np.uint64(0x5BD1E995A3C59AC3)
 
 
@@ -37,7 +44,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = spans_hash(joined, starts, ends) if len(starts) else np.zeros(0, np.uint64)
     last = joined[ends - 1].astype(np.int64) if len(starts) else np.zeros(0, np.int64)
     before = np.where(ends - starts > 1, joined[ends - 2], 0).astype(np.int64) if len(starts) else last
-    group = SINGLES + (last * 31 + before * 17 + (before >> 3)) % GROUPS
+    group = (last * 31 + before * 17 + (before >> 3)) % GROUPS
     at = upto[1:]  # an end goes in after each text's words
     return np.insert(h, at, END_HASH), np.insert(group, at, 0), upto + np.arange(len(upto))
 
@@ -72,15 +79,57 @@ class Table:
         return out
 
 
+@dataclass
+class Words:
+    """The model's words by rank, 0 the most frequent, then its groups, then START, which stands before a text's first token.
+
+    The first `singles` words are outputs of their own; the others are in runs of `run`, each run an output; the groups are the last outputs.
+    """
+
+    words: int
+    singles: int
+    run: int
+
+    @classmethod
+    def of(cls, words: int) -> Words:
+        singles = min(words, SINGLES)
+        return cls(words, singles, max(1, -(-(words - singles) // CLASSES)))
+
+    @property
+    def start(self) -> int:
+        return self.words + GROUPS
+
+    @property
+    def classes(self) -> int:
+        return -(-(self.words - self.singles) // self.run)
+
+    @property
+    def outputs(self) -> int:
+        return self.singles + self.classes + GROUPS
+
+    def output(self, ids: np.ndarray) -> np.ndarray:
+        """The output of each word or group."""
+        inner = self.singles + (ids - self.singles) // self.run
+        return np.where(ids < self.singles, ids, np.where(ids < self.words, inner, ids - self.words + self.singles + self.classes))
+
+    def span(self, c):
+        """First word of class c, and the first after it."""
+        lo = self.singles + c * self.run
+        return lo, np.minimum(lo + self.run, self.words)
+
+
 @dataclass
 class Counts:
-    """What the training texts hold: tokens, distinct tokens, the head's counts and outputs by hash, and all outputs' counts and smoothed sizes."""
+    """What the training texts hold: tokens, distinct tokens, the head's words by hash with their counts and ids, and counts of ids and smoothed sizes of groups."""
 
     total: int
     distinct: int
+    words: Words
+    model: Table
     head: Table
-    single: Table
-    outputs: np.ndarray
+    head_n: np.ndarray
+    head_id: np.ndarray
+    n: np.ndarray
     sizes: np.ndarray
 
 
@@ -91,15 +140,39 @@ def training(id_col: str):
 def token_counts(texts: DataFrame) -> DataFrame:
     """(h, g, n) per distinct token of the column t of texts: its hash, group and count."""
 
+    def add(parts: list) -> list:
+        """Counts (h, g, n) of several slices as those of one."""
+        h, g, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0]
+        return [h[first], g[order][first], np.add.reduceat(n[order], first)]
+
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, row = [], 0
         for b in slices(batches, 0, 2048, 4 << 20):
             h, g, _ = tokens([t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()])
             u, first, n = np.unique(h, return_index=True, return_counts=True)
-            yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(g[first].astype(np.int16)), pa.array(n)], names=["h", "g", "n"])
+            held.append([u, g[first].astype(np.int16), n])
+            row += len(u)
+            if row > HELD_COUNTS:
+                held = [add(held)]
+                row = len(held[0][0])
+                if row > HELD_COUNTS // 2:
+                    yield _count_batch(held.pop())
+                    row = 0
+        if held:
+            yield _count_batch(add(held))
 
     return texts.select("t").mapInArrow(run, "h long, g short, n long").groupBy("h").agg(F.first("g").alias("g"), F.sum("n").alias("n"))
 
 
+def _count_batch(part: list) -> pa.RecordBatch:
+    h, g, n = part
+    return pa.record_batch([pa.array(h.view(np.int64)), pa.array(g), pa.array(n)], names=["h", "g", "n"])
+
+
 def gather(counts: DataFrame) -> Counts:
     """The bounded part of staged token_counts: at most HEAD rows and a row a group come to the driver."""
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
@@ -113,152 +186,242 @@ def gather(counts: DataFrame) -> Counts:
     if held > HEAD:
         frequent = frequent.orderBy(F.desc("n"), "h").limit(HEAD)
     rows = frequent.select("h", "g", "n").toArrow()
-    h, n = (np.asarray(rows.column(c).combine_chunks()) for c in ("h", "n"))
+    h, g, n = (np.asarray(rows.column(c).combine_chunks()) for c in ("h", "g", "n"))
     h = h.view(np.uint64)
-    order = np.lexsort((h, -n))[:SINGLES]
-    if END_HASH not in h[order] and END_HASH in h:
-        order = np.append(order[: SINGLES - 1], np.nonzero(h == END_HASH)[0])
-    outputs = np.zeros(OUTPUTS, np.int64)
-    sizes = np.zeros(OUTPUTS)
-    for g, all_n, words in counts.groupBy("g").agg(F.sum("n"), F.count("*")).collect():
-        outputs[g], sizes[g] = all_n, all_n + SMOOTH * words
-    groups = np.asarray(rows.column("g").combine_chunks())
-    for k, i in enumerate(order.tolist()):
-        outputs[groups[i]] -= n[i]
-        sizes[groups[i]] -= n[i] + SMOOTH
-    outputs[: len(order)], sizes[: len(order)] = n[order], n[order] + SMOOTH
-    sizes[SINGLES:] = np.maximum(sizes[SINGLES:], 0) + SMOOTH  # room for a word that no training text has
-    return Counts(int(total or 0), int(distinct), Table(h, n), Table(h[order], np.arange(len(order))), outputs, np.maximum(sizes, SMOOTH))
-
-
-def output_ids(h: np.ndarray, group: np.ndarray, single: Table) -> np.ndarray:
-    ids = single.get(h, -1)
-    return np.where(ids >= 0, ids, np.where(group == 0, SINGLES, group))
+    order = np.lexsort((h, -n))
+    h, g, n = h[order], g[order], n[order]
+    words = Words.of(int(min(MODEL_WORDS, (n >= MIN_COUNT).sum())))
+    used = np.zeros(words.start, np.int64)
+    sizes = np.zeros(GROUPS)
+    for k, all_n, many in counts.groupBy("g").agg(F.sum("n"), F.count("*")).collect():
+        used[words.words + k], sizes[k] = all_n, all_n + SMOOTH * many
+    top = slice(0, words.words)
+    np.subtract.at(used, words.words + g[top], n[top])
+    np.subtract.at(sizes, g[top], n[top] + SMOOTH)
+    used[top] = n[top]
+    ids = np.where(np.arange(len(h)) < words.words, np.arange(len(h)), -1)
+    sizes = np.maximum(sizes, 0) + SMOOTH  # room for a word that no training text has
+    return Counts(int(total or 0), int(distinct), words, Table(h[top], ids[top]), Table(h, np.arange(len(h))), np.append(n, 0), np.append(ids, -1), used, sizes)
 
 
 class Model:
-    """in_: input vectors, place: a diagonal for each place of the context, out and bias by output; all float32."""
+    """in_: input vectors, place: a diagonal for each place of the context, out and bias by output, own and own_bias by word; all float32.
 
-    def __init__(self, in_, place, out, bias):
-        self.in_, self.place, self.out, self.bias = in_, place, out, bias
+    squares: what AdaGrad has seen, a number for each row of each.
+    """
 
-    @classmethod
-    def start(cls, outputs: np.ndarray) -> Model:
-        r = np.random.default_rng(SEED)
-        share = np.log((outputs + 1) / (outputs + 1).sum())
-        return cls(*(r.normal(0, 0.3, (OUTPUTS, WIDTH)).astype(np.float32), np.full((CONTEXT, WIDTH), 0.3, np.float32), r.normal(0, 0.1, (OUTPUTS, WIDTH)).astype(np.float32), share.astype(np.float32)))
+    def __init__(self, words: Words, parts: list[np.ndarray], squares: list[np.ndarray]):
+        self.words, self.parts, self.squares = words, parts, squares
+        self.in_, self.place, self.out, self.bias, self.own, self.own_bias = parts
 
-    def parts(self):
-        return [self.in_, self.place, self.out, self.bias]
+    @staticmethod
+    def shapes(words: Words) -> list[tuple]:
+        return [(words.start + 1, WIDTH), (CONTEXT, WIDTH), (words.outputs, WIDTH), (words.outputs,), (words.words, WIDTH), (words.words,)]
+
+    @classmethod
+    def start(cls, words: Words, n: np.ndarray) -> Model:
+        r, shapes = np.random.default_rng(SEED), cls.shapes(words)
+        by_output = np.bincount(words.output(np.arange(words.start)), n + 1.0, words.outputs)
+        parts = [r.normal(0, 0.3, shapes[0]), np.full(shapes[1], 0.3), r.normal(0, 0.1, shapes[2]), np.log(by_output / by_output.sum()), r.normal(0, 0.1, shapes[4]), np.zeros(shapes[5])]
+        own = n[: words.words] + 1.0
+        for c in range(words.classes):
+            lo, hi = words.span(c)
+            parts[5][lo:hi] = np.log(own[lo:hi] / own[lo:hi].sum())
+        return cls(words, [x.astype(np.float32) for x in parts], [np.full(s[0], 0.05, np.float32) for s in shapes])
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.parts()])
+        return np.concatenate([x.ravel() for x in (*self.parts, *self.squares)])
 
     @classmethod
-    def of(cls, flat: np.ndarray) -> Model:
-        shapes, parts, at = [(OUTPUTS, WIDTH), (CONTEXT, WIDTH), (OUTPUTS, WIDTH), (OUTPUTS,)], [], 0
-        for s in shapes:
+    def of(cls, words: Words, flat: np.ndarray) -> Model:
+        parts, at = [], 0
+        shapes = cls.shapes(words)
+        for s in [*shapes, *((s[0],) for s in shapes)]:
             n = int(np.prod(s))
-            parts.append(np.ascontiguousarray(flat[at : at + n], np.float32).reshape(s))
+            parts.append(np.array(flat[at : at + n], np.float32).reshape(s))
             at += n
-        return cls(*parts)
-
-    def log_probabilities(self, ids: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """The natural logarithm of each id's probability after its context, over all outputs but the one before texts."""
-        through = self.in_[None] * self.place[:, None]  # (place, output, width)
-        out, result = self.out[:START].T.copy(), np.empty(len(ids), np.float64)
-        for a in range(0, len(ids), 8192):
-            c, k = context[a : a + 8192], ids[a : a + 8192]
-            q = through[0][c[:, 0]]
-            for i in range(1, CONTEXT):
-                q += through[i][c[:, i]]
-            s = q @ out
-            s += self.bias[:START]
-            own = s[np.arange(len(k)), k]
-            top = s.max(1)
-            s -= top[:, None]
-            np.exp(s, out=s)
-            result[a : a + 8192] = own - top - np.log(s.sum(1))
+        return cls(words, parts[:6], parts[6:])
+
+    def predicted(self, vectors: np.ndarray) -> np.ndarray:
+        """The predicted vector at each row of input vectors but the first CONTEXT."""
+        n = len(vectors) - CONTEXT
+        q, more = vectors[CONTEXT - 1 : CONTEXT - 1 + n] * self.place[0], np.empty((n, WIDTH), np.float32)
+        for i in range(1, CONTEXT):
+            q += np.multiply(vectors[CONTEXT - 1 - i : CONTEXT - 1 - i + n], self.place[i], out=more)
+        return q
+
+    def log_probabilities(self, stream: np.ndarray) -> np.ndarray:
+        """The natural logarithm of the probability of each word or group of a stream() after its context; over all of them it sums to 1. At START it means nothing."""
+        w, ids = self.words, np.minimum(stream[CONTEXT:], self.words.start - 1)
+        result, q = np.empty(len(ids), np.float64), np.empty((len(ids), WIDTH), np.float32)
+        out, output = np.ascontiguousarray(self.out.T), w.output(ids)
+        for a in range(0, len(ids), 2048):
+            q[a : a + 2048] = self.predicted(self.in_.take(stream[a : a + 2048 + CONTEXT], 0))
+            result[a : a + 2048] = _log_softmax(q[a : a + 2048] @ out + self.bias, output[a : a + 2048])
+        inner = np.nonzero((ids >= w.singles) & (ids < w.words))[0]
+        c = (ids[inner] - w.singles) // w.run
+        order = np.argsort(c.astype(np.int16), kind="stable")
+        inner, c = inner[order], c[order]
+        ends = np.searchsorted(c, np.arange(w.classes + 1))
+        for k in range(w.classes):
+            lo, hi = w.span(k)
+            own = self.own[lo:hi].T.copy()
+            for a in range(ends[k], ends[k + 1], 4096):
+                at = inner[a : min(a + 4096, ends[k + 1])]
+                result[at] += _log_softmax(q[at] @ own + self.own_bias[lo:hi], ids[at] - lo)
         return result
 
 
-def contexts(ids: np.ndarray, upto: np.ndarray) -> np.ndarray:
-    """The CONTEXT ids before each token within its text, START before the first."""
-    n, place = len(ids), np.arange(len(ids)) - np.repeat(upto[:-1], np.diff(upto))
-    out = np.full((n, CONTEXT), START, np.int16)
-    for i in range(CONTEXT):
-        has = np.nonzero(place > i)[0]
-        out[has, i] = ids[has - 1 - i]
-    return out
+def _log_softmax(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """log softmax of each row of s at one column; s is used up."""
+    own = s[np.arange(len(at)), at].astype(np.float64)
+    with np.errstate(over="ignore"):
+        total = np.exp(s).sum(1)
+    if not np.isfinite(total).all() or not (total > 0).all():
+        top = s.max(1)
+        return own - top - np.log(np.exp(s - top[:, None]).sum(1))
+    return own - np.log(total)
+
+
+def token_ids(h: np.ndarray, group: np.ndarray, words: Words, model: Table) -> np.ndarray:
+    ids = model.get(h, -1)
+    return np.where(ids >= 0, ids, words.words + group)
+
+
+def stream(ids: np.ndarray, upto: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' ids in a row with CONTEXT times `start` before each text, so that a token's context is what stands before it; and the place of each token, less CONTEXT."""
+    n = len(upto) - 1
+    at = np.arange(len(ids)) + CONTEXT * np.repeat(np.arange(n), np.diff(upto))
+    out = np.full(len(ids) + CONTEXT * n, start, np.int32)
+    out[at + CONTEXT] = ids
+    return out, at
+
+
+def batches_of(row: np.ndarray, start: int, seed: int) -> Iterator[np.ndarray]:
+    """The row's tokens in batches of RUNS runs in random order, a run a line with the CONTEXT tokens before it; the last is filled with start."""
+    n = BATCH // RUNS
+    many = max(1, -(-(len(row) - CONTEXT) // n))
+    row = np.concatenate([row, np.full(CONTEXT + many * n - len(row), start, np.int32)])
+    lines = np.lib.stride_tricks.sliding_window_view(row, n + CONTEXT)[::n]
+    order = np.random.default_rng(seed).permutation(many)
+    for a in range(0, many, RUNS):
+        yield lines[order[a : a + RUNS]]
 
 
 class Trainer:
-    """AdaGrad steps on the noise-contrastive objective: a token against NOISE draws that a batch shares."""
+    """AdaGrad steps on the noise-contrastive objective: an output against NOISE draws that a batch shares, a word of a class against CLASS_NOISE of its class."""
 
-    def __init__(self, counts: np.ndarray):
-        self.model, self.rng = Model.start(counts), np.random.default_rng(SEED)
-        self.squares = [np.full(x.shape, 0.05, np.float32) for x in self.model.parts()]
-        p = np.maximum(counts[:START], 0.5)
+    def __init__(self, model: Model, n: np.ndarray, seed: int = SEED):
+        self.model, self.rng = model, np.random.default_rng(seed)
+        w = model.words
+        p = np.bincount(w.output(np.arange(w.start)), np.maximum(n, 0.5), w.outputs)
         self.noise_p = p / p.sum()
         self.log_noise = np.log(NOISE * self.noise_p).astype(np.float32)
 
-    def step(self, ids: np.ndarray, context: np.ndarray) -> None:
-        m, n = self.model, len(ids)
-        c = context.astype(np.int64)
-        through = m.in_[None] * m.place[:, None]  # (place, output, width)
-        q = through[0][c[:, 0]]
-        for i in range(1, CONTEXT):
-            q += through[i][c[:, i]]
-        noise = self.rng.choice(START, NOISE, p=self.noise_p)
-        out = m.out[ids]
-        own = np.einsum("bw,bw->b", q, out) + m.bias[ids] - self.log_noise[ids]
-        other = q @ m.out[noise].T + (m.bias[noise] - self.log_noise[noise])
-        g_own = 1 / (1 + np.exp(-own)) - 1
-        g_other = 1 / (1 + np.exp(-other))
-        dq = g_own[:, None] * out + g_other @ m.out[noise]
-        g_out, g_bias = _add_rows(ids, g_own[:, None] * q, OUTPUTS), np.bincount(ids, g_own, OUTPUTS)
-        np.add.at(g_out, noise, g_other.T @ q)
-        np.add.at(g_bias, noise, g_other.sum(0))
-        # what each place's context ids get, once for both of their parameters
-        by_place = np.stack([_add_rows(c[:, i], dq, OUTPUTS) for i in range(CONTEXT)])
-        g_in = np.einsum("pow,pw->ow", by_place, m.place)
-        g_place = np.einsum("pow,ow->pw", by_place, m.in_)
-        for x, s, g in zip(m.parts(), self.squares, (g_in, g_place, g_out, g_bias), strict=True):
-            g = (g / n).astype(np.float32) * 32
-            s += g * g
-            x -= RATE * g / np.sqrt(s)
-
-
-def _add_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    width = rows.shape[1]
-    return np.bincount((at[:, None] * width + np.arange(width)).ravel(), rows.ravel(), n * width).reshape(n, width)
+    def step(self, lines: np.ndarray) -> None:
+        """One batch, as batches_of() cuts it; where START stands there is nothing to learn."""
+        m, w = self.model, self.model.words
+        row = lines.ravel()
+        x = m.in_.take(row, 0)
+        # the runs stand in one row; at the places between two there is no target
+        there = np.nonzero((np.arange(len(row)) % lines.shape[1] >= CONTEXT) & (row != w.start))[0]
+        ids, there = row[there], there - CONTEXT
+        q = m.predicted(x).take(there, 0)
+        at = w.output(ids)
+        noise = self.rng.choice(w.outputs, NOISE, p=self.noise_p)
+        out, drawn = m.out.take(at, 0), m.out[noise]
+        g_own = _sigmoid(np.einsum("bw,bw->b", q, out) + m.bias[at] - self.log_noise[at]) - 1
+        g_other = _sigmoid(q @ drawn.T + (m.bias[noise] - self.log_noise[noise]))
+        dq = g_own[:, None] * out + g_other @ drawn
+        rows = np.concatenate([g_own[:, None] * q, g_other.T @ q])
+        self._move(2, np.concatenate([at, noise]), rows)
+        self._move(3, np.concatenate([at, noise]), np.concatenate([g_own, g_other.sum(0)]))
+        inner = np.nonzero((ids >= w.singles) & (ids < w.words))[0]
+        if len(inner):
+            own, qi = ids[inner], q.take(inner, 0)
+            lo, hi = w.span((own - w.singles) // w.run)
+            size = (hi - lo).astype(np.float32)
+            draws = lo[:, None] + (self.rng.random((len(inner), CLASS_NOISE), np.float32) * size[:, None]).astype(np.int64)
+            both = np.concatenate([own[:, None], np.minimum(draws, hi[:, None] - 1)], 1)
+            vectors = m.own.take(both, 0)
+            s = np.einsum("bw,bkw->bk", qi, vectors) + m.own_bias[both] - np.log(CLASS_NOISE / size)[:, None]
+            g = _sigmoid(s)
+            g[:, 0] -= 1
+            dq[inner] += np.einsum("bk,bkw->bw", g, vectors)
+            self._move(4, both.ravel(), (g[:, :, None] * qi[:, None]).reshape(-1, WIDTH))
+            self._move(5, both.ravel(), g.ravel())
+        n = len(row) - CONTEXT
+        back, more = np.zeros((n, WIDTH), np.float32), np.empty((n, WIDTH), np.float32)
+        back[there] = dq
+        g_in, g_place = np.zeros_like(x), np.empty_like(m.place)
+        for i in range(CONTEXT):
+            a = CONTEXT - 1 - i
+            g_in[a : a + n] += np.multiply(back, m.place[i], out=more)
+            g_place[i] = np.einsum("nw,nw->w", back, x[a : a + n])
+        self._move(0, row, g_in)
+        self._move(1, np.arange(CONTEXT), g_place)
+
+    def _move(self, k: int, at: np.ndarray, rows: np.ndarray) -> None:
+        """A step of part k against the sum of the rows that each of its rows gets."""
+        at = at.astype(np.uint16) if len(self.model.parts[k]) <= 1 << 16 else at  # those are sorted by radix
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.nonzero(np.concatenate([[True], at[1:] != at[:-1]]))[0]
+        g = np.add.reduceat(rows.take(order, 0), first) * np.float32(32 / BATCH)
+        at = at[first]
+        x, s = self.model.parts[k], self.model.squares[k]
+        s[at] += (g * g).mean(1) if g.ndim > 1 else g * g
+        rate = RATE / np.sqrt(s[at])
+        x[at] -= (rate[:, None] if g.ndim > 1 else rate) * g
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
 
 
 def train(texts: DataFrame, counts: Counts) -> Model:
-    """The tasks' models, each of its own texts (column t), averaged by how many tokens they have seen. A model's length of numbers comes to the driver."""
-    single, outputs = counts.single, counts.outputs
-
+    """The model after all ROUNDS over texts (column t). In each the tasks' models are averaged by how many tokens they have seen, piece by piece; a model's length of numbers comes to the driver."""
+    words, table, n = counts.words, counts.model, counts.n
+    model = Model.start(words, n)
+    if not counts.total:
+        return model
+    share = F.pmod(F.xxhash64(F.coalesce("t", F.lit(""))), F.lit(1000))
+    before = 0
+    for upto_share in ROUNDS:
+        part = texts.where((share >= before) & (share < int(1000 * upto_share))).select("t")
+        before = int(1000 * upto_share)
+        model = _round(part, model.flat(), words, table, n)
+    return model
+
+
+def _round(texts: DataFrame, flat: np.ndarray, words: Words, table: Table, n: np.ndarray) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, seen = Trainer(outputs), 0
+        trainer, seen = Trainer(Model.of(words, flat), n), 0
         for b in slices(batches, 0, 2048, 2 << 20):
             h, g, upto = tokens([t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()])
-            ids = output_ids(h, g, single)
-            context = contexts(ids, upto)
-            order = np.random.default_rng(seen).permutation(len(ids))
-            for a in range(0, len(ids), BATCH):
-                trainer.step(ids[order[a : a + BATCH]], context[order[a : a + BATCH]])
-            seen += len(ids)
+            for lines in batches_of(stream(token_ids(h, g, words, table), upto, words.start)[0], words.start, seen):
+                trainer.step(lines)
+            seen += len(h)
         if seen:
-            yield pa.record_batch([pa.array([trainer.model.flat().astype(np.float64) * seen], pa.list_(pa.float64())), pa.array([float(seen)])], names=["x", "n"])
-
-    parts = texts.select("t").mapInArrow(run, "x array<double>, n double").select("n", F.posexplode("x").alias("k", "x"))
-    rows = parts.groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
-    if not rows:
-        return Model.start(outputs)
-    flat = np.zeros(len(rows))
-    for k, x in rows:
-        flat[k] = x
-    return Model.of(flat)
+            now = trainer.model.flat()
+            parts = [now[a : a + PIECE].astype("<f4").tobytes() for a in range(0, len(now), PIECE)]
+            yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([float(seen)] * len(parts)), pa.array(parts, pa.binary())], names=["k", "n", "x"])
+
+    def mean(pieces: pa.Table) -> pa.Table:
+        total, weight = 0.0, 0.0
+        for batch in pieces.to_batches(16):
+            for w, x in zip(batch.column("n").to_pylist(), batch.column("x").to_pylist(), strict=True):
+                total, weight = total + w * np.frombuffer(x, "<f4").astype(np.float64), weight + w
+        return pa.table({"k": pieces.column("k").slice(0, 1), "n": pa.array([weight]), "x": pa.array([(total / weight).astype("<f4").tobytes()], pa.binary())}).cast(schema)
+
+    ddl = "k int, n double, x binary"
+    schema = arrow_schema(ddl)
+    models = texts.mapInArrow(run, ddl)
+    # first over salted parts, so that no task holds a piece of every model
+    salted = models.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
+    some = salted.groupBy("k", "salt").applyInArrow(lambda t: mean(t.select(["k", "n", "x"])), ddl)
+    rows = some.groupBy("k").applyInArrow(mean, ddl).select("k", "x").collect()
+    return Model.of(words, np.concatenate([np.frombuffer(bytes(x), "<f4") for _, x in sorted(rows)]) if rows else flat)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,20 +435,25 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     words = stage(token_counts(learn))
     counts = gather(words)
     model = train(learn, counts)
-    head, single, log_sizes = counts.head, counts.single, np.log10(counts.sizes)
-    alone = np.arange(OUTPUTS) < SINGLES
+    given, head, head_n, head_id, log_sizes = counts.words, counts.head, counts.head_n, counts.head_id, np.log10(counts.sizes)
+    flat = model.flat()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model.of(given, flat)
         for b in slices(batches, 2, 1024, 1 << 20):
             h, g, upto = tokens([t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()])
-            ids, n = output_ids(h, g, single), head.get(h, 0)
-            context = model.log_probabilities(ids, contexts(ids, upto)) / np.log(10) - np.where(alone[ids], 0.0, log_sizes[ids])
+            at = head.get(h, -1)  # -1 is also where the appended count 0 and id -1 are
+            ids, n = head_id[at], head_n[at]
+            grouped = ids < 0
+            ids = np.where(grouped, given.words + g, ids)
+            row, place = stream(ids, upto, given.start)
+            context = model.log_probabilities(row)[place] / np.log(10) - np.where(grouped, log_sizes[g], 0.0)
             own = np.log10(n + SMOOTH)
             sums = lambda x: np.add.reduceat(x, upto[:-1])  # noqa: E731  every text has its end
             tail = n == 0
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sums(tail.astype(np.int64)))]).astype(np.int32), h[tail].view(np.int64))
             base = sums(np.where(tail, 0.0, own))
-            score = sums(context + np.where(tail | alone[ids], 0.0, own))
+            score = sums(context + np.where(grouped & ~tail, own, 0.0))
             cols = [*b.columns[:2], pa.array(np.diff(upto)), pa.array(sums((~tail).astype(np.int64))), pa.array(base), pa.array(score), lists]
             yield pa.record_batch(cols, names=["uid", "id", "n_tokens", "n_known", "base", "score", "tail"])
 

@@ -483,30 +483,118 @@ def test_lm(odd, empty, monkeypatch):
     c = Counter(w for x, h in zip(tokens, held, strict=True) if not h for w in x)
     n, v = sum(c.values()), len(c)
     want = sorted((str(r[0]), h, len(x), sum(c[w] > 0 for w in x), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x), 6)) for r, x, h in zip(rows, tokens, held, strict=True))
-    for head in (neural_lm.HEAD, 4):
+    for head, least in ((neural_lm.HEAD, neural_lm.MIN_COUNT), (4, 2), (4, 10**9)):
         monkeypatch.setattr(neural_lm, "HEAD", head)
+        monkeypatch.setattr(neural_lm, "MIN_COUNT", least)
         got = neural_lm.lm_scores(odd).collect()
         assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
         assert all(r.score < 0 for r in got)
     assert neural_lm.lm_scores(empty).collect() == []
 
 
-def test_lm_context_is_eight_places():
-    ids = np.arange(10)
-    assert neural_lm.contexts(ids, np.array([0, 10]))[9].tolist() == [8, 7, 6, 5, 4, 3, 2, 1] and neural_lm.BATCH == 1024
-
-
-def test_lm_probabilities_sum_to_one():
-    m = neural_lm.Model.start(np.arange(neural_lm.OUTPUTS))
-    context = np.full((1, neural_lm.CONTEXT), 3, np.int16)
-    ids = np.arange(neural_lm.START)
-    assert np.exp(m.log_probabilities(ids, np.repeat(context, len(ids), 0))).sum() == pytest.approx(1, abs=1e-5)
+def test_lm_stream_and_batches():
+    row, place = neural_lm.stream(np.array([5, 6, 7, 8]), np.array([0, 3, 4]), 99)
+    s = [99] * 8
+    assert row.tolist() == [*s, 5, 6, 7, *s, 8] and (row[place + 8]).tolist() == [5, 6, 7, 8]
+    assert neural_lm.CONTEXT == 8 and neural_lm.BATCH == 1024
+    ids = np.arange(3000, dtype=np.int32)
+    row, _ = neural_lm.stream(ids, np.array([0, 3000]), 9999)
+    seen = []
+    for lines in neural_lm.batches_of(row, 9999, 1):
+        for line in lines.tolist():
+            for k in range(8, len(line)):
+                if line[k] != 9999:
+                    seen.append(line[k])
+                    assert line[k - 8 : k] == [9999 if line[k] - 8 + j < 0 else line[k] - 8 + j for j in range(8)]
+    assert sorted(seen) == ids.tolist()
+
+
+def slow_probability(m, context):
+    """By the definition, a word at a time."""
+    w = m.words
+    q = sum(m.place[i].astype(float) * m.in_[c] for i, c in enumerate(context))
+    e = [math.exp(q @ m.out[o] + m.bias[o]) for o in range(w.outputs)]
+    first = [x / sum(e) for x in e]
+    out = {}
+    for k in range(w.start):
+        if k < w.singles:
+            out[k] = first[k]
+        elif k >= w.words:
+            out[k] = first[w.singles + w.classes + k - w.words]
+        else:
+            c = (k - w.singles) // w.run
+            own = [j for j in range(w.singles, w.words) if (j - w.singles) // w.run == c]
+            e = {j: math.exp(q @ m.own[j] + m.own_bias[j]) for j in own}
+            out[k] = first[w.singles + c] * e[k] / sum(e.values())
+    return out
+
+
+def trained_lm(words=300):
+    r = np.random.default_rng(2)
+    w = neural_lm.Words.of(words)
+    n = np.concatenate([np.sort(r.integers(30, 4000, words))[::-1], r.integers(0, 90, neural_lm.GROUPS)])
+    t = neural_lm.Trainer(neural_lm.Model.start(w, n), n)
+    ids = r.choice(w.start, 40000, p=n / n.sum())
+    ids[1::2] = (ids[::2] * 7 + 3) % words  # each second follows from the one before
+    row, place = neural_lm.stream(ids, np.array([0, 9, 9, 40000]), w.start)
+    for lines in neural_lm.batches_of(row, w.start, 0):
+        t.step(lines)
+    return t.model, row, place, ids
+
+
+def test_lm_probabilities_by_definition():
+    m, row, place, ids = trained_lm()
+    got = m.log_probabilities(row)[place]
+    for k in (0, 1, 8, 9, 20, 500, 39999):
+        want = slow_probability(m, row[place[k] : place[k] + 8][::-1].tolist())
+        assert sum(want.values()) == pytest.approx(1, abs=1e-6)
+        assert got[k] == pytest.approx(math.log(want[ids[k]]), abs=1e-4)
+    # what training found
+    assert got[1001::2].mean() > got[1000::2].mean() + 0.5
+    again = neural_lm.Model.of(m.words, m.flat())
+    assert np.array_equal(again.log_probabilities(row), m.log_probabilities(row))
+
+
+def test_lm_scores_by_definition(spark, odd, monkeypatch):
+    """A text's score: of each token the probability of its word, or of its group times its smoothed share of the group's count."""
+    monkeypatch.setattr(neural_lm, "MIN_COUNT", 3)
+    learn = odd.where(neural_lm.training("doc_id")).selectExpr("text t")
+    counts = neural_lm.gather(neural_lm.stage(neural_lm.token_counts(learn)))
+    model = neural_lm.train(learn, counts)
+    assert counts.words.words > 8
+    monkeypatch.setattr(neural_lm, "train", lambda *_: model)
+    got = {r.doc_id: r.score for r in neural_lm.lm_scores(odd).collect()}
+    rows = [r for r in odd_rows() if r[0] in (2, 5, 7, 16)]
+    every = Counter(w for r in odd_rows() if r[0] is None or zlib.crc32(str(r[0]).encode()) % 10 for w in [*WORD.findall(low(r[1] or "")), None])
+    hashes = {}
+    for w in every | Counter(w for r in rows for w in WORD.findall(low(r[1] or ""))):
+        h, g, _ = neural_lm.tokens([w.encode()] if w else [b""])
+        hashes[w] = h[0], int(g[0])
+    known = {w: int(counts.model.get(np.array([h]), -1)[0]) for w, (h, _) in hashes.items()}
+    assert {w for w, i in known.items() if i >= 0} <= set(every)
+    for r in rows:
+        total, context = 0.0, [counts.words.start] * 8
+        for w in [*WORD.findall(low(r[1] or "")), None]:
+            p, g = slow_probability(model, context), hashes[w][1]
+            share = 1.0
+            if known[w] < 0:
+                share = (every[w] + 0.1) / (0.1 + sum(n + 0.1 for x, n in every.items() if known[x] < 0 and hashes[x][1] == g))
+            k = known[w] if known[w] >= 0 else counts.words.words + g
+            total += math.log10(p[k] * share)
+            context = [k, *context[:7]]
+        assert got[r[0]] == pytest.approx(total, abs=1e-3)
 
 
 def test_lm_beats_unigrams(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    held = neural_lm.lm_scores(docs).where("held_out").selectExpr("sum(score) s", "sum(base_score) b", "avg(CAST(score > base_score AS INT)) better").first()
-    assert held.s > held.b and held.better > 0.9
+    held = neural_lm.lm_scores(docs).where("held_out").selectExpr("sum(score) s", "sum(base_score) b", "sum(n_tokens) n", "avg(CAST(score > base_score AS INT)) better").first()
+    assert (held.s - held.b) / held.n > 0.25 and held.better > 0.9
+
+
+def test_lm_words_follow_the_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("text t")
+    few, all_ = (neural_lm.gather(neural_lm.stage(neural_lm.token_counts(d))).words.words for d in (docs.limit(100), docs))
+    assert 191 < few < all_
 
 
 def test_quality(spark, odd, empty):
