@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -10,8 +11,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_folders: set[str] = set()
+
+
 def shared_path(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; a local master that leaves it unset gets a temporary folder of its own."""
+    """A new path under spark.checkpoint.dir, in a folder of this application that goes when Python ends in good order.
+
+    A local master that leaves the setting unset gets a temporary folder. Results are read from these tables, so they must outlast any query;
+    release() drops them earlier. What a killed application leaves stands under its id.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -20,7 +28,20 @@ def shared_path(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         base = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(release, spark, folder)
+    return f"{folder}/table-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession, folder: str | None = None) -> None:
+    """Deletes all tables that this application has written for itself; no DataFrame made before may be used afterwards."""
+    for f in [folder] if folder else list(_folders):
+        with contextlib.suppress(Exception):  # the session has ended
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _folders.discard(f)
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
