@@ -638,7 +638,7 @@ def test_features_by_definition():
         assert len(names) == b - a
         for name, x in zip(names, at[a:b].tolist(), strict=True):
             assert number.setdefault(name, x) == x  # one place each
-    assert len(set(number.values())) > 0.98 * len(number)  # few share one
+    assert len(set(number.values())) > 0.96 * len(number)  # few share one
 
 
 def test_ftrl_by_definition():
