@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 
@@ -20,11 +21,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of an Arrow batch that a task hands to Python while stage() writes: each is there four times or so, growing buffers included.
+BATCH_BYTES = "8m"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = BATCH_BYTES):
+    """Arrow batches of at most so many bytes for what runs inside; Spark's own bound is 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, spark: SparkSession | None = None, codec: str = "snappy") -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage ends here, and no later loss repeats the work."""
     spark = spark or df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", codec).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
