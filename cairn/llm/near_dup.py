@@ -27,6 +27,7 @@ from cairn.llm.common import fresh, lean, stage
 from cairn.llm.components import components, union
 from cairn.llm.token_files import slices
 from cairn.llm.words import mix, shingle_hashes
+from cairn.operators.table import few
 
 SHINGLE, BITS_APART, SEED = 3, 3, 42
 BLOCK, FANOUT = 32768, 8
@@ -312,7 +313,7 @@ def similar_links(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
     def compared(pairs: DataFrame) -> DataFrame:
         pairs = stage(pairs)
         for column, test in (("values", agree), ("shingles", share)):
-            needed = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+            needed = few(stage(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()))
             held = own.select("fp", column).join(needed, "fp", "left_semi").groupBy("fp").agg(F.first(column).alias("s"))
             a, b = (held.select(F.col("fp").alias(x), F.col("s").alias(f"s_{x}")) for x in "uv")
             pairs = stage(pairs.join(a, "u").join(b, "v").select("u", "v", "s_u", "s_v").mapInArrow(both(test), "u long, v long"))
@@ -338,8 +339,8 @@ def _bucket_links(own: DataFrame, members: DataFrame, buckets: DataFrame, simila
 
     The members of a bucket are dealt to blocks by hash; each pair of blocks is one row, so a bucket of m sets moves about m / BLOCK_SETS times.
     """
-    sets = own.groupBy("fp").agg(F.first("shingles").alias("shingles"), F.first("values").alias("values"))
-    sets = sets.join(members.select("fp").distinct(), "fp", "left_semi")
+    needed = few(stage(members.select("fp").distinct()))
+    sets = own.select("fp", "values", "shingles").join(needed, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles"), F.first("values").alias("values"))
     dealt = members.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).join(sets, "fp")
     packed = stage(dealt.groupBy("key", "block").agg(F.collect_list(F.struct("fp", "c", "values", "shingles")).alias("sets")))
     pairs = buckets.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"), "blocks").select("key", "a", F.explode(F.sequence("a", F.col("blocks") - 1)).alias("b"))
