@@ -28,7 +28,7 @@ from cairn.llm.letters import Pieces
 from cairn.llm.token_files import byte_alphabet, slices
 
 #: Words in the lexicon; most of them a worker counts or remembers before it lets go of them.
-LEXICON_WORDS, HELD_WORDS = 1 << 16, 150_000
+LEXICON_WORDS, HELD_WORDS = 1 << 16, 120_000
 #: Longer pieces are merged one by one, through a heap.
 LONG_PIECE, _NO_RANK = 48, 1 << 40
 #: The tokenizer's white space (Unicode's), and its pattern for pieces.
@@ -434,7 +434,7 @@ def _encoded(docs: DataFrame, columns: list, schema: str, text_col: str, tokeniz
             _LEXICONS.clear()
             _LEXICONS[name] = Lexicon.map(SparkFiles.get(name))
         lexicon = _LEXICONS[name]
-        for b in slices(batches, b_text, 512, 2 << 20):
+        for b in slices(batches, b_text, 512, 1 << 20):
             texts = [t or b"" for t in b.column(b_text).cast(pa.binary()).to_pylist()]
             ids = encode_slice(texts, rules, lexicon)
             n = pa.array([len(x) for x in ids], pa.int64())

@@ -21,20 +21,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Bytes of an Arrow batch that a task hands to Python while stage() writes: each is there four times or so, growing buffers included.
-BATCH_BYTES = "8m"
+#: While stage() writes: bytes of an Arrow batch that a task hands to Python, of which growing buffers make several times as many, and rows that a
+#: scan decodes at once, whose texts lie in one array that doubles as it grows.
+SMALL = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.parquet.columnarReaderBatchSize": "256"}
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, size: str = BATCH_BYTES):
-    """Arrow batches of at most so many bytes for what runs inside; Spark's own bound is 64 MB."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, size)
+def small_batches(spark: SparkSession):
+    """SMALL holds for what runs inside; rows of this kind of table are kilobytes long."""
+    before = {k: spark.conf.get(k, None) for k in SMALL}
+    for k, v in SMALL.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stage(df: DataFrame, spark: SparkSession | None = None, codec: str = "snappy") -> DataFrame:

@@ -292,6 +292,10 @@ def similar_links(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
     keyed = stage(sets.select("fp", "n", F.explode("bands").alias("key")))
     hubs = keyed.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1").select("key", "hub")
     buckets = stage(keyed.join(hubs, "key"))
+    # of all sets only those that share a bucket are read again
+    shared = few(buckets.select("fp").distinct())
+    held = own.select("fp", "values", "shingles").join(shared, "fp", "left_semi").groupBy("fp").agg(F.first("values").alias("values"), F.first("shingles").alias("shingles"))
+    held = stage(held)
     alike = lambda n, m: F.least(n, m) >= F.lit(similar) * F.greatest(n, m)  # noqa: E731  fewer can't be that similar
 
     def both(test):
@@ -313,9 +317,9 @@ def similar_links(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
     def compared(pairs: DataFrame) -> DataFrame:
         pairs = stage(pairs)
         for column, test in (("values", agree), ("shingles", share)):
-            needed = few(stage(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()))
-            held = own.select("fp", column).join(needed, "fp", "left_semi").groupBy("fp").agg(F.first(column).alias("s"))
-            a, b = (held.select(F.col("fp").alias(x), F.col("s").alias(f"s_{x}")) for x in "uv")
+            needed = few(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct())
+            some = held.select("fp", F.col(column).alias("s")).join(needed, "fp", "left_semi")
+            a, b = (some.select(F.col("fp").alias(x), F.col("s").alias(f"s_{x}")) for x in "uv")
             pairs = stage(pairs.join(a, "u").join(b, "v").select("u", "v", "s_u", "s_v").mapInArrow(both(test), "u long, v long"))
         return pairs
 
@@ -331,17 +335,15 @@ def similar_links(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
     mixed = placed.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q"), F.count("*").alias("many"), F.sum("n").alias("all")).where("p < q")
     blocks = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("many") / BLOCK_SETS, F.col("all") / BLOCK_SHINGLES))).cast("int")
     mixed = stage(mixed.select("key", blocks.alias("blocks")))
-    return links.unionByName(stage(_bucket_links(own, placed.where("fp <> hub").join(mixed, "key"), mixed, similar)))
+    return links.unionByName(stage(_bucket_links(held, placed.where("fp <> hub").join(mixed, "key"), mixed, similar)))
 
 
-def _bucket_links(own: DataFrame, members: DataFrame, buckets: DataFrame, similar: float) -> DataFrame:
-    """(u, v): edges that connect what the links of each bucket connect. members: (key, fp, c, blocks), c the component as known; buckets: (key, blocks).
+def _bucket_links(held: DataFrame, members: DataFrame, buckets: DataFrame, similar: float) -> DataFrame:
+    """(u, v): edges that connect what the links of each bucket connect. held: (fp, values, shingles); members: (key, fp, c, blocks), c the component as known; buckets: (key, blocks).
 
     The members of a bucket are dealt to blocks by hash; each pair of blocks is one row, so a bucket of m sets moves about m / BLOCK_SETS times.
     """
-    needed = few(stage(members.select("fp").distinct()))
-    sets = own.select("fp", "values", "shingles").join(needed, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles"), F.first("values").alias("values"))
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).join(sets, "fp")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).join(held, "fp")
     packed = stage(dealt.groupBy("key", "block").agg(F.collect_list(F.struct("fp", "c", "values", "shingles")).alias("sets")))
     pairs = buckets.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"), "blocks").select("key", "a", F.explode(F.sequence("a", F.col("blocks") - 1)).alias("b"))
     a = packed.select("key", F.col("block").alias("a"), F.col("sets").alias("left"))
