@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.operators.table import few
+
+
+#: A palette's usual bound; 65536 rows of 45 numbers are 24 MB.
+PALETTE_ROWS = 1 << 16
+
 
 def by_codebook(df: DataFrame, labels: list[str], codebook: list[float]) -> DataFrame:
     """The label columns replaced by the codebook's values; the codebook has at most 65536 of them."""
@@ -16,8 +22,8 @@ def by_codebook(df: DataFrame, labels: list[str], codebook: list[float]) -> Data
 
 
 def by_palette(df: DataFrame, palette: DataFrame, label: str = "label") -> DataFrame:
-    """df with the palette's other columns; a label that it lacks gives zeros. A palette has at most 65536 rows, so it is broadcast."""
-    out = df.join(F.broadcast(palette), label, "left")
+    """df with the palette's other columns; a label that it lacks gives zeros. A palette of at most PALETTE_ROWS rows is broadcast, a longer one joined by shuffle."""
+    out = df.join(few(palette, PALETTE_ROWS), label, "left")
     return out.fillna(0, [c for c in palette.columns if c != label])
 
 

@@ -42,11 +42,11 @@ def clone(df: DataFrame, names: list[str]) -> DataFrame:
 
 def add_column(df: DataFrame, name: str, values: DataFrame, key: str = ROW_ID) -> DataFrame:
     """df with the column `name` of values, matched by key; every row must have its value, and none may be over."""
-    both = df.join(values.select(key, F.col(name), F.lit(True).alias("_has")), key, "full")
-    odd = both.where(F.col("_has").isNull() | F.coalesce(*(F.col(c) for c in df.columns if c != key), F.lit(None)).isNull()) if len(df.columns) > 1 else both.where("_has IS NULL")
-    if not odd.isEmpty():
+    ours, theirs = "_ours", "_theirs"
+    both = df.withColumn(ours, F.lit(True)).join(values.select(key, F.col(name), F.lit(True).alias(theirs)), key, "full")
+    if not both.where(F.col(ours).isNull() | F.col(theirs).isNull()).isEmpty():
         raise ValueError(f"the new column {name} has not as many rows as the table")
-    return both.drop("_has")
+    return both.drop(ours, theirs)
 
 
 def drop_columns(df: DataFrame, *names: str) -> DataFrame:

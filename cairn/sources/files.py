@@ -29,6 +29,15 @@ def read_header(path: str, limit: int) -> bytes:
     return read_range(path, 0, min(limit, size_of(path)))
 
 
+def read_member(path: str, name: str) -> bytes:
+    """One member of a ZIP archive; of the rest only the directory is read."""
+    import zipfile
+
+    store, at = _store(path)
+    with store.open_input_file(at) as f, zipfile.ZipFile(f) as z:
+        return z.read(name)
+
+
 def list_files(path: str, suffix: str = "") -> list[str]:
     """The file itself, or a folder's files by name."""
     from pyarrow import fs

@@ -161,7 +161,7 @@ def test_nearest(spark, monkeypatch):
     Q, C = (spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], f"{n} long, {n}v array<double>") for n, x in (("q", q), ("c", c)))
     d = ((q[:, None] - c) ** 2).sum(2)
     for lot in (65536, 16):
-        monkeypatch.setattr(neighbors, "PASS_POINTS", lot)
+        monkeypatch.setattr(neighbors, "LOT_POINTS", lot)
         got = {x.q: (x.c, x.distance2) for x in neighbors.nearest(Q, C, "q", "c", F.col("qv"), F.col("cv")).collect()}
         assert all(got[i][0] == d[i].argmin() and got[i][1] == pytest.approx(d[i].min()) for i in range(40))
     odd = {x.q: x.c for x in neighbors.nearest(Q, C, "q", "c", F.col("qv"), F.col("cv"), F.col("c") % 2 == 1).collect()}
@@ -287,3 +287,58 @@ def test_actions(spark):
     p = data[:, :3] + [1, 2, 3]
     keep = [i for i in range(0, 200, 2) if (np.abs(p[i]) <= 5).all()]
     assert sorted(r.row_id for r in out.collect()) == keep and out.first().lod == 2 and plan.params == {"a": "b"} and bands_of(out.columns) == 0
+
+
+def _nearest_by_hand(queries, candidates):
+    out = []
+    for qid, v in queries:
+        best = (math.inf, 0, -1)
+        for cid, w in candidates:
+            if w is not None and all(x is not None and math.isfinite(x) for x in w) and all(map(math.isfinite, v)):
+                d = sum((a - b) ** 2 for a, b in zip(v, w, strict=True))
+                best = min(best, (d, cid is None, cid if cid is not None else 0), key=lambda t: (round(t[0], 9), t[1], t[2]))
+        out.append((qid, None if best[1] else best[2], round(best[0], 6)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("lot", [4, 16384])
+def test_nearest_with_repeated_and_null_ids(spark, monkeypatch, lot):
+    monkeypatch.setattr(neighbors, "LOT_POINTS", lot)
+    monkeypatch.setattr(neighbors, "BLOCK_QUERIES", 3)
+    r = np.random.default_rng(lot)
+    points = [(int(i) if i % 11 else None, list(map(float, v))) for i, v in zip(r.integers(0, 40, 300), r.integers(-6, 6, (300, 3)), strict=True)]
+    points += [(5, [math.nan, 0.0, 0.0]), (6, [0.0, math.inf, 0.0])]
+    asked = [(k % 50, list(map(float, v))) for k, v in enumerate(r.normal(0, 5, (120, 3)))] + [(1, points[0][1]), (99, [math.nan, 0.0, 0.0])]
+    q, c = spark.createDataFrame(asked, "q long, v array<double>"), spark.createDataFrame(points, "c long, w array<double>")
+    got = neighbors.nearest(q, c, "q", "c", F.col("v"), F.col("w")).collect()
+    assert sorted(((x.q, x.c, round(x.distance2, 6)) for x in got), key=repr) == _nearest_by_hand(asked, points)
+    none = neighbors.nearest(q, c, "q", "c", F.col("v"), F.col("w"), F.lit(False)).collect()
+    assert len(none) == len(asked) and {(x.c, x.distance2) for x in none} == {(-1, math.inf)}
+
+
+def test_nearest_of_far_points_is_exact():
+    r = np.random.default_rng(1)
+    points = 1e6 + r.normal(size=(500, 4))
+    x = 1e6 + r.normal(size=(200, 4))
+    at, d = neighbors.nearest_of(x, points)
+    want = ((x[:, None] - points[None]) ** 2).sum(2)
+    assert at.tolist() == want.argmin(1).tolist() and np.allclose(d, want.min(1))
+    assert neighbors.nearest_of(np.zeros((1, 2)), np.array([[1.0, 0], [0, 1.0], [-1.0, 0]]))[0].tolist() == [0]
+
+
+def test_add_column_of_nulls(spark):
+    df = spark.createDataFrame([(0, None), (1, 2.0)], "row_id long, x double")
+    values = spark.createDataFrame([(0, 5.0), (1, None)], "row_id long, y double")
+    assert sorted(map(tuple, table.add_column(df, "y", values).collect())) == [(0, None, 5.0), (1, 2.0, None)]
+    for other in (values.limit(1), values.union(spark.createDataFrame([(2, 1.0)], "row_id long, y double"))):
+        with pytest.raises(ValueError, match="not as many rows"):
+            table.add_column(df, "y", other)
+
+
+def test_empty_cluster_gets_a_point(spark):
+    points = spark.createDataFrame([(k, [float(k // 10) * 100 + k % 10]) for k in range(30)], "id long, v array<double>")
+    start = np.array([[0.0], [1e9], [2e9]])
+    assert sorted(clustering.kmeans(points, start, 10)[0][:, 0])[-2:] == [1e9, 2e9]
+    got, labels = clustering.kmeans(points, start, 10, seed=1)
+    assert got.max() < 300 and labels.select("label").distinct().count() == 3
+    assert np.array_equal(got, clustering.kmeans(points.repartition(5), start, 10, seed=1)[0])
