@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -62,15 +61,15 @@ def row_get(s):
     return rows(table.get_row(s, 17), POSITION)
 
 
-@query("SELECT row_id, CASE WHEN row_id = 17 THEN 2.5 ELSE round(x, 6) + 0 END::DOUBLE AS x FROM splats WHERE row_id < 40")
+@query("SELECT row_id, CASE WHEN row_id = 17 THEN 2.5 ELSE round(x, 6) + 0 END::DOUBLE AS x FROM splats")
 def row_set(s):
-    return table.set_row(s, 17, {"x": 2.5}).where("row_id < 40").select("row_id", r6("x", "x"))
+    return table.set_row(s, 17, {"x": 2.5}).select("row_id", r6("x", "x"))
 
 
-@query("SELECT pos, row_id, round(x, 6) + 0 AS x FROM (SELECT range AS pos, (range * 7919) % (SELECT count(*) FROM splats) AS r FROM range(2000)) JOIN splats ON r = row_id")
+@query("SELECT pos, row_id, round(x, 6) + 0 AS x FROM (SELECT range AS pos, (range * 7919) % (SELECT count(*) FROM splats) AS r FROM (SELECT row_id AS range FROM splats)) JOIN splats ON r = row_id")
 def gather_permute(s):
     n = s.count()
-    positions = s.sparkSession.range(2000).select(F.col("id").alias("pos"), ((F.col("id") * 7919) % n).alias("row"))
+    positions = s.sparkSession.range(n).select(F.col("id").alias("pos"), ((F.col("id") * 7919) % n).alias("row"))
     return table.gather(s, positions).select("pos", "row_id", r6("x", "x"))
 
 
@@ -92,10 +91,20 @@ def transform_trs(s):
     return rows(transform.transform(s, *_TRS), [*POSITION, *ROTATION, "scale_0"])
 
 
-@query()
+_SIN = lambda k: f"sin(x + {k}e0)"
+_A, _B, _C = (f"radians({v}e0)" for v in (30, 45, 60))
+
+
+@query(f"""SELECT row_id, round(-(sin({_C}) * px + cos({_C}) * qy), 6) + 0 AS f_rest_0, round(pz, 6) + 0 AS f_rest_1, round(-(cos({_C}) * px - sin({_C}) * qy), 6) + 0 AS f_rest_2, round(e2, 6) + 0 AS e2, round(e3, 6) + 0 AS e3 FROM (
+  SELECT row_id, cos({_B}) * vx + sin({_B}) * qz AS px, qy, -sin({_B}) * vx + cos({_B}) * qz AS pz, e2, e3 FROM (
+  SELECT row_id, vx, cos({_A}) * vy - sin({_A}) * vz AS qy, sin({_A}) * vy + cos({_A}) * vz AS qz, e2, e3 FROM (
+  SELECT row_id, -{_SIN(2)} AS vx, -{_SIN(0)} AS vy, {_SIN(1)} AS vz, {" + ".join(f"{_SIN(k)} * {_SIN(k)}" for k in range(3, 8))} AS e2, {" + ".join(f"{_SIN(k)} * {_SIN(k)}" for k in range(8, 15))} AS e3 FROM splats)))""")
 def rotate_harmonics(s):
+    """The first band of a channel turns as the vector (-f_rest_2, -f_rest_0, f_rest_1) does; of the others the length stays."""
     rest = {f"f_rest_{k}": F.sin(F.col("x") + k) for k in range(45)}
-    return rows(transform.transform(s.withColumns(rest), rotation=transform.euler_quaternion((30, 45, 60))), [f"f_rest_{k}" for k in (0, 2, 7, 14, 44)])
+    out = transform.transform(s.withColumns(rest), rotation=transform.euler_quaternion((30, 45, 60)))
+    length = lambda a, b: r6(sum((F.col(f"f_rest_{k}") ** 2 for k in range(a + 1, b)), F.col(f"f_rest_{a}") ** 2))
+    return out.select("row_id", *[r6(f"f_rest_{k}", f"f_rest_{k}") for k in range(3)], length(3, 8).alias("e2"), length(8, 15).alias("e3"))
 
 
 @query(f"SELECT row_id, {_R6(['x', 'y', 'z'])} FROM (SELECT row_id, 2 * (x + 1) AS x, 2 * y AS y, 2 * z AS z FROM splats WHERE opacity > 0 AND lod <> -1) WHERE x * x + y * y + z * z <= 2500")
@@ -379,26 +388,30 @@ def morton_refined(s):
 # joins
 
 
-@query("""SELECT vec_id, arg_min(cid, (d, cid)) AS cid, round(min(d), 6) + 0 AS d FROM (SELECT a.vec_id, b.vec_id AS cid,
-  list_sum([(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) FOR i IN range(1, 65)]) AS d FROM embeddings a, embeddings b WHERE b.vec_id < 16) GROUP BY vec_id""")
-def knn_nearest(spark, sf_dir):
+_BACK = "list_sum([(a.embedding[i]::DOUBLE - b.embedding[65 - i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[65 - i]::DOUBLE) FOR i IN range(1, 65)])"
+
+
+def _mirrored(spark, sf_dir, where=None):
+    """All embeddings against all embeddings read backwards: the nearest isn't the vector itself."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    out = neighbors.nearest(e, e.where("vec_id < 16").withColumnRenamed("vec_id", "cid"), "vec_id", "cid", F.col("embedding"), F.col("embedding"))
+    out = neighbors.nearest(e, e.withColumnRenamed("vec_id", "cid"), "vec_id", "cid", F.col("embedding"), F.reverse("embedding"), where)
     return out.select("vec_id", "cid", r6("distance2", "d"))
 
 
-@query("""SELECT vec_id, arg_min(cid, (d, cid)) AS cid, round(min(d), 6) + 0 AS d FROM (SELECT a.vec_id, b.vec_id AS cid,
-  list_sum([(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) FOR i IN range(1, 65)]) AS d FROM embeddings a, embeddings b WHERE b.vec_id < 64 AND b.label = 3) GROUP BY vec_id""")
+@query(f"SELECT vec_id, arg_min(cid, (d, cid)) AS cid, round(min(d), 6) + 0 AS d FROM (SELECT a.vec_id, b.vec_id AS cid, {_BACK} AS d FROM embeddings a, embeddings b) GROUP BY vec_id")
+def knn_nearest(spark, sf_dir):
+    return _mirrored(spark, sf_dir)
+
+
+@query(f"SELECT vec_id, arg_min(cid, (d, cid)) AS cid, round(min(d), 6) + 0 AS d FROM (SELECT a.vec_id, b.vec_id AS cid, {_BACK} AS d FROM embeddings a, embeddings b WHERE b.label = 3) GROUP BY vec_id")
 def knn_filtered(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    out = neighbors.nearest(e, e.where("vec_id < 64").withColumnRenamed("vec_id", "cid"), "vec_id", "cid", F.col("embedding"), F.col("embedding"), F.col("label") == 3)
-    return out.select("vec_id", "cid", r6("distance2", "d"))
+    return _mirrored(spark, sf_dir, F.col("label") == 3)
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, round(p_retailprice, 6) + 0 AS price FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 2000")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(p_retailprice, 6) + 0 AS price FROM lineitem JOIN part ON l_partkey = p_partkey")
 def table_join(spark, sf_dir):
     li, part = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part"))
-    return li.where("l_orderkey < 2000").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", r6("p_retailprice", "price"))
+    return li.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", r6("p_retailprice", "price"))
 
 
 @query("SELECT row_id, round(sin(CAST(row_id % 256 AS DOUBLE)), 6) + 0 AS v FROM splats")
@@ -412,9 +425,10 @@ def palette_lookup_left(s):
     return lookup.by_palette(s.select("row_id", (F.col("row_id") % 300).alias("label")), palette).select("row_id", r6("c0", "c0"))
 
 
-@query("""SELECT row_id, bucket_id FROM splats JOIN (SELECT bucket_id, size, CAST(sum(size) OVER (ORDER BY bucket_id) AS BIGINT) AS hi FROM (SELECT range AS bucket_id, 40 + (range * 37) % 61 AS size FROM range(500))) ON row_id >= hi - size AND row_id < hi""")
+@query("""SELECT row_id, bucket_id FROM splats JOIN (SELECT bucket_id, size, CAST(sum(size) OVER (ORDER BY bucket_id) AS BIGINT) AS hi FROM (SELECT row_id AS bucket_id, 40 + (row_id * 37) % 61 AS size FROM splats WHERE row_id <= (SELECT count(*) FROM splats) // 40)) ON row_id >= hi - size AND row_id < hi""")
 def bucket_range_join(s):
-    buckets = s.sparkSession.range(500).select(F.col("id").alias("bucket_id"), (40 + (F.col("id") * 37) % 61).alias("size"))
+    """Buckets of at least 40 rows, as many as all rows need."""
+    buckets = s.sparkSession.range(s.count() // 40 + 1).select(F.col("id").alias("bucket_id"), (40 + (F.col("id") * 37) % 61).alias("size"))
     return lookup.in_buckets(s.select("row_id"), lookup.bucket_ranges(buckets)).select("row_id", "bucket_id")
 
 
@@ -447,10 +461,13 @@ def kmeans_nd_step(spark, sf_dir):
     return labels.groupBy("label").agg(F.count("*").alias("n")).select("label", "n", (F.round(F.get(book, F.col("label").cast("int")), 4) + 0.0).alias("c0"))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, round({c}, 4) + 0 AS value, count(*) AS n FROM splats GROUP BY 2" for c in SCALE))
 def kmeans_codebook(s):
+    """A codebook of 256 for all three scales, whose few values each come to an entry of their own; each column's values through it."""
     centers, codes = clustering.codebook(s, SCALE, 5)
-    return codes.groupBy(F.col("scale_0").alias("label")).agg(F.count("*").alias("n"))
+    book = F.array(*[F.lit(float(v)) for v in centers])
+    each = codes.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.round(F.get(book, F.col(c).cast("int")), 4).alias("value")) for c in SCALE])).alias("e"))
+    return each.select("e.name", (F.col("e.value") + 0.0).alias("value")).groupBy("name", "value").agg(F.count("*").alias("n"))
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY c) - 1 AS BIGINT) AS label, n FROM (SELECT sin(CAST(k AS DOUBLE)) AS c, n FROM (SELECT row_id % 50 AS k, count(*) AS n FROM splats GROUP BY 1))")
@@ -477,21 +494,35 @@ def octree_level_counts(s):
     return cells.select(*[axis(b).alias(f"c{c}") for b, c in enumerate(POSITION)]).groupBy("cx", "cy", "cz").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS n, true AS small FROM splats")
+_PREFIX = lambda d: ", ".join(f"c{c} >> {8 - d} AS p{c}" for c in POSITION)
+_SIZES = " UNION ALL ".join(f"SELECT {d} AS depth, pcx, pcy, pcz, count(*) AS n FROM (SELECT {_PREFIX(d).replace('AS p', 'AS pc')} FROM cells) GROUP BY ALL" for d in range(9))
+
+
+@query(f"""SELECT * FROM (WITH cells AS MATERIALIZED (SELECT cx, cy, cz FROM ({_halved(8)})), sizes AS MATERIALIZED ({_SIZES})
+  SELECT depth, count(*) AS leaves, CAST(sum(n) AS BIGINT) AS n, CAST(max(n) AS BIGINT) AS most FROM sizes s WHERE (n <= 32 OR depth = 8) AND (depth = 0 OR EXISTS (
+  SELECT 1 FROM sizes u WHERE u.depth = s.depth - 1 AND u.pcx = s.pcx >> 1 AND u.pcy = s.pcy >> 1 AND u.pcz = s.pcz >> 1 AND u.n > 32)) GROUP BY depth)""")
 def octree_leaves(s):
-    """The leaves hold every row once, at most 32 above the last depth."""
-    nodes, own = trees.octree(s)
-    return nodes.where("leaf").agg(F.sum("n").alias("n"), F.bool_and((F.col("n") <= 32) | (F.col("depth") == 8)).alias("small"))
+    """How many leaves each depth has, and their rows. The halves' edges are compared, so no rounding moves a row."""
+    nodes, _ = trees.octree(s)
+    return nodes.where("leaf").groupBy("depth").agg(F.count("*").alias("leaves"), F.sum("n").alias("n"), F.max("n").alias("most"))
+
+
+def _split(levels: int) -> str:
+    """Rows with their node after so many halvings of all nodes of more than 256 rows."""
+    sql = "SELECT row_id, x, y, z, 1::BIGINT AS node FROM splats"
+    size = lambda c: f"(max({c}) OVER w - min({c}) OVER w)"
+    for _ in range(levels):
+        wide = f"SELECT *, count(*) OVER w AS n, CASE WHEN {size('x')} >= {size('y')} AND {size('x')} >= {size('z')} THEN x WHEN {size('y')} >= {size('z')} THEN y ELSE z END AS v FROM ({sql}) WINDOW w AS (PARTITION BY node)"
+        sql = f"SELECT row_id, x, y, z, CASE WHEN n <= 256 THEN node ELSE 2 * node + CASE WHEN row_number() OVER (PARTITION BY node ORDER BY v, row_id) <= n // 2 THEN 0 ELSE 1 END END AS node FROM ({wide})"
+    return sql
 
 
-@query("SELECT count(*) AS n, true AS small, true AS halves FROM splats")
+@query(f"SELECT node, count(*) AS n, min(row_id) AS first, CAST(sum(row_id) AS BIGINT) AS rows, round(min(x), 6) + 0 AS min_x, round(max(z), 6) + 0 AS max_z FROM ({_split(16)}) GROUP BY node")
 def bvh_leaves(s):
-    """Leaves hold every row once, at most 256 each; a node's left half is half its rows, rounded down."""
-    nodes, _ = trees.bounding_hierarchy(s)
-    leaves = nodes.where("leaf").agg(F.sum("n").alias("n"), F.bool_and(F.col("n") <= 256).alias("small"))
-    left = nodes.where("node % 2 = 0").select(F.expr("node div 2").alias("up"), F.col("n").alias("left"))
-    halves = nodes.join(left, F.col("node") == F.col("up")).agg(F.bool_and(F.col("left") == F.expr("n div 2")).alias("halves"))
-    return leaves.crossJoin(halves)
+    """Each leaf's rows, by number, least and sum of ids, and bounds."""
+    nodes, rows_ = trees.bounding_hierarchy(s)
+    own = rows_.groupBy("node").agg(F.min("row_id").alias("first"), F.sum("row_id").alias("rows"))
+    return nodes.where("leaf").join(own, "node").select("node", "n", "first", "rows", r6("min_x", "min_x"), r6("max_z", "max_z"))
 
 
 @query()
@@ -502,33 +533,23 @@ def lod_files(s):
     return s.sparkSession.createDataFrame(places, "node long, lod double, file string, offset long, n long")
 
 
-@query("SELECT n, w, h, r % w AS px, r // w AS py FROM (SELECT n, w, CAST(4 * ceil(n / w / 4) AS BIGINT) AS h FROM (SELECT n, CAST(4 * ceil(sqrt(n) / 4) AS BIGINT) AS w FROM (SELECT count(*)::DOUBLE AS n FROM splats))), (SELECT row_id AS r FROM splats WHERE row_id % 1000 = 7)")
+@query("SELECT n, w, h, r % w AS px, r // w AS py FROM (SELECT n, w, CAST(4 * ceil(n / w / 4) AS BIGINT) AS h FROM (SELECT n, CAST(4 * ceil(sqrt(n) / 4) AS BIGINT) AS w FROM (SELECT count(*)::DOUBLE AS n FROM splats))), (SELECT row_id AS r FROM splats)")
 def texture_layout(s):
     n = s.count()
     w, h = trees.texture_size(n)
-    return s.where("row_id % 1000 = 7").select(F.lit(float(n)).alias("n"), F.lit(w).cast("long").alias("w"), F.lit(h).cast("long").alias("h"), (F.col("row_id") % w).alias("px"), F.expr(f"row_id div {w}").alias("py"))
+    return s.select(F.lit(float(n)).alias("n"), F.lit(w).cast("long").alias("w"), F.lit(h).cast("long").alias("h"), (F.col("row_id") % w).alias("px"), F.expr(f"row_id div {w}").alias("py"))
 
 
 # files
 
 
-def _folder() -> str:
-    import atexit
-    import shutil
-
-    folder = tempfile.mkdtemp(prefix="cairn-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder
-
-
-def _through(s: DataFrame, name: str, columns: list[str], keep: int = 2000) -> DataFrame:
-    """The first rows of s after a trip through a file."""
+def _through(s: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """s after a trip through a file in the shared folder."""
     from cairn.sources import registry
-    from cairn.storage import materialize
+    from cairn.storage import materialize, shared_path
 
-    path = f"{_folder()}/{name}"
-    part = s.where(F.col("row_id") < keep)
-    registry.write(part.select("row_id", *[F.col(c).cast("float").alias(c) for c in columns]), path, iterations=3)
+    path = f"{shared_path(s.sparkSession)}/{name}"
+    registry.write(s.select("row_id", *[F.col(c).cast("float").alias(c) for c in columns]), path, iterations=3)
     return materialize(registry.read(s.sparkSession, path))
 
 
@@ -536,55 +557,108 @@ def _f32(columns):
     return ", ".join(f"round(CAST({c} AS FLOAT)::DOUBLE, 5) + 0 AS {c}" for c in columns)
 
 
-@query(f"SELECT row_id, {_f32([*GAUSSIAN, 'lod'])} FROM splats WHERE row_id < 2000")
+@query(f"SELECT row_id, {_f32([*GAUSSIAN, 'lod'])} FROM splats")
 def ply_roundtrip(s):
     back = _through(s, "a.ply", [*GAUSSIAN, "lod"])
     return back.select("row_id", *[(F.round(F.col(c).cast("double"), 5) + 0.0).alias(c) for c in [*GAUSSIAN, "lod"]])
 
 
-@query(f"SELECT row_id, {_f32(POSITION)} FROM splats WHERE row_id < 2000")
+_BYTE = lambda v: f"CAST(greatest(0, least(255, floor(({v}) * 255e0 + 0.5e0))) AS BIGINT)"
+_SPLAT_Q = ", ".join(f"{_BYTE(f'(CAST({c} AS FLOAT)::DOUBLE + 1) / 2')} / 255e0 * 2 - 1 AS q{k}" for k, c in enumerate(ROTATION))
+
+
+@query(f"""SELECT row_id, x, y, z, round(scale_0, 4) + 0 AS scale_0, round(scale_2, 4) + 0 AS scale_2, r, g, b, a, {", ".join(f"round(q{k} / sqrt(q0 * q0 + q1 * q1 + q2 * q2 + q3 * q3), 4) + 0 AS rot_{k}" for k in range(4))} FROM (
+  SELECT row_id, {_f32(POSITION)}, scale_0, scale_2, {", ".join(f"{_BYTE(f'CAST(f_dc_{k} AS FLOAT)::DOUBLE * 0.28209479177387814e0 + 0.5e0')} AS {c}" for k, c in enumerate("rgb"))},
+  {_BYTE('1 / (1 + exp(-CAST(opacity AS FLOAT)::DOUBLE))')} AS a, {_SPLAT_Q} FROM splats)""")
 def splat_roundtrip(s):
+    """Positions as they were, scales through exp and ln, colours and opacity as their bytes, rotations as bytes made units again."""
     back = _through(s, "a.splat", GAUSSIAN)
-    return back.select("row_id", *[(F.round(F.col(c).cast("double"), 5) + 0.0).alias(c) for c in POSITION])
+    byte = lambda c: F.round(c * 255).cast("long")
+    return back.select(
+        "row_id", *[(F.round(F.col(c).cast("double"), 5) + 0.0).alias(c) for c in POSITION], *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in ("scale_0", "scale_2")],
+        *[byte(color.dc_to_color(F.col(f"f_dc_{k}").cast("double"))).alias(c) for k, c in enumerate("rgb")], byte(numeric.sigmoid(F.col("opacity").cast("double"))).alias("a"),
+        *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in ROTATION],
+    )
+
 
+_F32S = ", ".join(f"CAST({c} AS FLOAT)::DOUBLE AS {c}" for c in GAUSSIAN)
+_PLACED = f"SELECT *, row_number() OVER (ORDER BY code, row_id) - 1 AS position FROM (SELECT row_id, {_CODE} AS code FROM ({_CELLS})) JOIN (SELECT row_id, {_F32S} FROM splats) USING (row_id)"
 
-@query("SELECT count(*) AS n, 8 AS chunks FROM splats WHERE row_id < 2000")
+
+@query(f"""SELECT CAST(position AS BIGINT) AS row_id, {_PU(_NORM('x'), 11)} * 2097152 + {_PU(_NORM('y'), 10)} * 2048 + {_PU(_NORM('z'), 11)} AS packed_position, {_PU(_NORM('scale_0'), 11)} * 2097152 + {_PU(_NORM('scale_1'), 10)} * 2048 + {_PU(_NORM('scale_2'), 11)} AS packed_scale,
+  CAST(lo_x AS FLOAT)::DOUBLE AS min_x, CAST(hi_scale_2 AS FLOAT)::DOUBLE AS max_scale_z FROM (SELECT *, {', '.join(f'min({c}) OVER k AS lo_{c}, max({c}) OVER k AS hi_{c}' for c in [*POSITION, *SCALE])} FROM ({_PLACED}) WINDOW k AS (PARTITION BY position // 256))""")
 def compressed_ply_roundtrip(s):
-    back = _through(s, "a.compressed.ply", GAUSSIAN)
-    return back.agg(F.count("*").alias("n"), F.lit(8).alias("chunks"))
+    """What a compressed PLY file holds: each vertex's packed numbers, in Morton order, and its chunk's bounds."""
+    from cairn.sources import datasources, registry
+    from cairn.storage import shared_path
+
+    spark, path = s.sparkSession, f"{shared_path(s.sparkSession)}/a.compressed.ply"
+    registry.write(s.select("row_id", *[F.col(c).cast("float").alias(c) for c in GAUSSIAN]), path)
+    datasources.register(spark)
+    scan = lambda e: spark.read.format("ply").option("element", e).load(path)
+    ends = scan("chunk").select(F.col("row_id").alias("chunk"), F.col("min_x").cast("double").alias("min_x"), F.col("max_scale_z").cast("double").alias("max_scale_z"))
+    vertices = scan("vertex").select("row_id", F.expr("row_id div 256").alias("chunk"), "packed_position", "packed_scale")
+    return vertices.join(ends, "chunk").drop("chunk")
+
 
+@query(f"SELECT count(*) AS n, CAST(sum(CASE WHEN abs(b) <= 5e1 THEN 1 ELSE 0 END) AS BIGINT) AS inside, round(min(b), 2) + 0 AS least, round(max(b), 2) + 0 AS most FROM (SELECT x AS b FROM splats)")
+def compressed_ply_decoded(s):
+    """The rows that come back of a compressed PLY file: of a chunk the least and the largest value are exact."""
+    x = _through(s, "b.compressed.ply", GAUSSIAN).select(F.col("x").cast("double").alias("b"))
+    return x.agg(F.count("*").alias("n"), F.count_if(F.abs("b") <= 50).alias("inside"), (F.round(F.min("b"), 2) + 0.0).alias("least"), (F.round(F.max("b"), 2) + 0.0).alias("most"))
 
-@query("SELECT count(*) AS n FROM splats WHERE row_id < 2000")
+
+_U16 = lambda c: f"CAST(floor((v{c} - min(v{c}) OVER ()) / (max(v{c}) OVER () - min(v{c}) OVER ()) * 65535) AS BIGINT) AS u{c}"
+
+
+@query(f"""SELECT row_id, {", ".join(_U16(c) for c in POSITION)}, round(scale_0, 4) + 0 AS scale_0, round(scale_2, 4) + 0 AS scale_2, a FROM (SELECT CAST(position AS BIGINT) AS row_id, {", ".join(f"sign({c}) * ln(1 + abs({c})) AS v{c}" for c in POSITION)},
+  scale_0, scale_2, CAST(floor(255 / (1 + exp(-opacity))) AS BIGINT) AS a FROM ({_PLACED}))""")
 def sog_roundtrip(s):
-    return _through(s, "a.sog", GAUSSIAN).agg(F.count("*").alias("n"))
+    """What comes back of a bundle of WebP planes, in Morton order: positions as their 16-bit codes, scales through the codebook, opacity as its byte."""
+    back = _through(s, "a.sog", GAUSSIAN)
+    ends = s.agg(*[f(numeric.symlog(F.col(c).cast("float").cast("double"))).alias(f"{n}_{c}") for c in POSITION for n, f in (("lo", F.min), ("hi", F.max))])
+    code = lambda c: F.round((numeric.symlog(F.col(c).cast("double")) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}")) * 65535).cast("long")
+    out = back.crossJoin(F.broadcast(ends))
+    return out.select("row_id", *[code(c).alias(f"u{c}") for c in POSITION], *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in ("scale_0", "scale_2")], F.round(numeric.sigmoid(F.col("opacity").cast("double")) * 255).cast("long").alias("a"))
 
 
-@query("SELECT row_id, printf('%.6f', x) AS x, printf('%.6f', z) AS z FROM splats WHERE row_id < 2000")
+@query("SELECT CAST(row_id AS VARCHAR) AS id, printf('%.6f', x) AS x, printf('%.6f', z) AS z, printf('%.6f', rot_0) AS rot_0 FROM splats")
 def csv_format(s):
-    from cairn.sources import sinks
+    """The cells of a CSV file, as text."""
+    from cairn.sources import registry
+    from cairn.storage import shared_path
 
-    return s.where("row_id < 2000").select("row_id", sinks.csv_cell("x", "double").alias("x"), sinks.csv_cell("z", "double").alias("z"))
+    path = f"{shared_path(s.sparkSession)}/a.csv"
+    registry.write(s.select("row_id", F.col("row_id").alias("id"), "x", "z", "rot_0"), path)
+    return s.sparkSession.read.option("header", True).schema("id string, x string, z string, rot_0 string").csv(path)
 
 
-@query()
+_CRC_STEP = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+
+
+@query(f"""SELECT doc_id, xor(list_reduce([4294967295::BIGINT] || list_transform(range(strlen(t)), lambda i: ('0x' || substr(hex(encode(t)), 2 * i::INTEGER + 1, 2))::BIGINT),
+  lambda c, b: xor(c // 256, tab[xor(c, b) % 256 + 1])), 4294967295) AS crc FROM (SELECT doc_id, doc_id || ':' || lang || ':é' AS t FROM documents),
+  (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: {_CRC_STEP})) AS tab)""")
 def crc32_text(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.crc32(F.encode("text", "utf-8")).alias("crc"))
+    t = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("lang"), F.lit("é"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.crc32(F.encode(t, "utf-8")).alias("crc"))
 
 
-@query("SELECT CAST(row_id % 2 AS VARCHAR) AS file, count(*) AS n FROM splats WHERE row_id < 2000 GROUP BY 1")
+@query("SELECT CAST(row_id % 2 AS VARCHAR) AS file, count(*) AS n, CAST(sum(x * 2) AS BIGINT) AS twice_x, round(min(y), 3) + 0 AS least, round(max(y), 3) + 0 AS most FROM splats GROUP BY 1")
 def splat_file_stream(spark, sf_dir):
     """The .splat files of a folder through the stream, written and read again."""
     from cairn.sources import registry
     from cairn.storage import shared_path
     from cairn.streaming.splats import splat_stream
 
-    folder, out = _folder(), shared_path(spark)
-    s = splats.view(spark, sf_dir).where("row_id < 2000")
+    folder, out = shared_path(spark), shared_path(spark)
+    s = splats.view(spark, sf_dir)
     for k in range(2):
         registry.write(s.where(F.col("row_id") % 2 == k).select("row_id", *[F.col(c).cast("float").alias(c) for c in GAUSSIAN]), f"{folder}/{k}.splat")
-    q = splat_stream(spark, f"file://{folder}").writeStream.format("parquet").option("checkpointLocation", f"{out}-state").option("path", out).trigger(availableNow=True).start()
+    q = splat_stream(spark, folder).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").option("path", out).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out).groupBy(F.regexp_extract("path", r"(\d)\.splat", 1).alias("file")).agg(F.count("*").alias("n"))
+    y = F.col("y").cast("double")
+    return spark.read.parquet(out).groupBy(F.regexp_extract("path", r"(\d)\.splat", 1).alias("file")).agg(F.count("*").alias("n"), F.sum(F.col("x").cast("double") * 2).cast("long").alias("twice_x"), (F.round(F.min(y), 3) + 0.0).alias("least"), (F.round(F.max(y), 3) + 0.0).alias("most"))
 
 
 _FLAG = f"""SELECT row_id, round({_VIS}, 9) AS score, CAST(least(1023, floor(greatest(0, (x - mn) * (1024.0::DOUBLE / (mx - mn))))) AS BIGINT) AS cell FROM (
