@@ -208,7 +208,9 @@ def page_report(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = shared_dir(spark)
     write_captures(pages, path)
-    found = captures(read_records(spark, path, payload=False).select("record_id", "type", "concurrent_to", "refers_to", "fields", "payload_bytes", "payload_digest"))
+    # parsed once; without payloads the records are small
+    records = stage(read_records(spark, path, payload=False).select("record_id", "type", "concurrent_to", "refers_to", "fields", "payload_bytes", "payload_digest"))
+    found = captures(records)
     page = F.expr("try_cast(metadata[0].fields['pageId'] AS BIGINT)")
     found = stage(found.select("capture_id", page.alias("page_id"), "response.type", "response.refers_to", "response.payload_bytes", "response.payload_digest"))
     revisits, responses = found.where("type = 'revisit'"), found.where("type = 'response'")
