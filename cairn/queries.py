@@ -525,12 +525,22 @@ def bvh_leaves(s):
     return nodes.where("leaf").join(own, "node").select("node", "n", "first", "rows", r6("min_x", "min_x"), r6("max_z", "max_z"))
 
 
+@query(f"""SELECT * FROM (WITH own AS MATERIALIZED (SELECT node, lod, t.x, t.y, t.z FROM ({_split(16)}) t JOIN splats USING (row_id)),
+  up AS MATERIALIZED (SELECT node >> k AS node, count(*) AS n, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS size FROM own, range(17) r(k) WHERE node >> k > 0 GROUP BY 1),
+  stop AS MATERIALIZED (SELECT node FROM up WHERE n <= 256 OR (n <= 4096 AND size <= 16)),
+  under AS MATERIALIZED (SELECT DISTINCT s.node FROM stop s, range(1, 17) r(k) WHERE s.node >> k IN (SELECT node FROM stop))
+  SELECT node >> k AS node, lod, count(*) AS n FROM own, range(17) r(k) WHERE node >> k IN (SELECT node FROM stop) AND node >> k NOT IN (SELECT node FROM under) GROUP BY ALL)""")
+def lod_units(s):
+    """The units of at most 4096 rows and 16 units of length, or leaves, and their rows by level."""
+    _, places = trees.lod_places(s, chunk_rows=4096)
+    return places.select("node", "lod", "n")
+
+
 @query()
 def lod_files(s):
-    """Each file's rows, of units of at most 4096 rows and 16 units of length."""
-    rows_, files, _ = trees.lod_plan(s, chunk_rows=4096)
-    places = [(u, float(lod), files.names[f], at, n) for (u, lod), (f, at, n) in files.places.items()]
-    return s.sparkSession.createDataFrame(places, "node long, lod double, file string, offset long, n long")
+    """Each unit's file, offset and rows: units of at most 4096 rows and 16 units of length."""
+    _, places = trees.lod_places(s, chunk_rows=4096)
+    return places.select("node", "lod", F.col("name").alias("file"), "offset", "n")
 
 
 @query("SELECT n, w, h, r % w AS px, r // w AS py FROM (SELECT n, w, CAST(4 * ceil(n / w / 4) AS BIGINT) AS h FROM (SELECT n, CAST(4 * ceil(sqrt(n) / 4) AS BIGINT) AS w FROM (SELECT count(*)::DOUBLE AS n FROM splats))), (SELECT row_id AS r FROM splats)")
@@ -679,3 +689,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 assert set(COLOR) <= set(GAUSSIAN) and _ALL
+
+import cairn.queries_formats  # noqa: E402, F401  registers its queries here

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -52,17 +53,18 @@ def list_files(path: str, suffix: str = "") -> list[str]:
 
 
 def write_file(path: str, parts: Iterator[bytes], overwrite: bool = True) -> None:
-    """The parts in order, under another name until all are there."""
+    """The parts in order, under a name of their own until all are there: two attempts at one file don't meet."""
     store, at = _store(path)
     from pyarrow import fs
 
     if not overwrite and store.get_file_info(at).type != fs.FileType.NotFound:
         raise FileExistsError(path)
     store.create_dir(os.path.dirname(at) or ".", recursive=True)
-    with store.open_output_stream(f"{at}.part") as f:
+    part = f"{at}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(part) as f:
         for p in parts:
             f.write(p)
-    store.move(f"{at}.part", at)
+    store.move(part, at)
 
 
 def blocks(df: DataFrame, column: str = "block") -> Iterator[bytes]:

@@ -271,12 +271,15 @@ def test_lod_plan(spark):
     check(tree)
 
 
-def test_files_roll_after_they_overflow():
-    got = trees.pack_lods([(2, 0.0, 60), (3, 0.0, 60), (4, 0.0, 10), (5, 0.0, 10)], 100)
-    assert [got.places[k, 0.0] for k in (4, 5, 2, 3)] == [(0, 60, 10), (0, 70, 10), (0, 0, 60), (0, 80, 60)]
-    assert got.names == ["0_0.sog"] and sorted([2, 3, 4, 5], key=trees.depth_first) == [2, 4, 5, 3]
-    more = trees.pack_lods([(2, 0.0, 101), (3, 0.0, 5)], 100)
-    assert more.names == ["0_0.sog", "0_1.sog"] and more.places[3, 0.0] == (1, 0, 5)
+def test_files_roll_after_they_overflow(spark):
+    def roll(rows):
+        counts = spark.createDataFrame([(k, 0.0, n, trees.depth_first(k)) for k, n in rows], "node long, lod double, n long, order long")
+        return {r.node: (r.file, r.offset, r.n) for r in trees.roll_files(counts, 100).collect()}
+
+    got = roll([(2, 60), (3, 60), (4, 10), (5, 10)])
+    assert [got[k] for k in (4, 5, 2, 3)] == [(0, 60, 10), (0, 70, 10), (0, 0, 60), (0, 80, 60)]
+    assert sorted([2, 3, 4, 5], key=trees.depth_first) == [2, 4, 5, 3]
+    assert roll([(2, 101), (3, 5)])[3] == (1, 0, 5)
     assert trees.texture_size(1000) == (32, 32)
 
 
