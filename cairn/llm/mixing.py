@@ -79,14 +79,14 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
 
     size counts words (null: 0); taken is how many words the mix takes of the document, repeats counted, at most max_repeat times
     its size. Each source's taken words are its target, rounded. A null source is a source, the last. Rows that repeat an
-    id are documents of their own. A text without words has taken 0, and so has all in a table without words. The same table gives the same mix.
+    id, or have none, are documents of their own, told by their texts. A text without words has taken 0, and so has all in a table without words. The same table gives the same mix.
     """
-    base = stage(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+    base = stage(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("th")))
     plan = stage(source_plan(base, weights, max_repeat, block_tokens).coalesce(1))
     small = F.broadcast if plan.count() <= BROADCAST_SOURCES else lambda x: x
     own = base.join(small(plan.select("sid", F.col("source").alias("name"))), F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
-    own = own.withColumn("mixed", F.xxhash64(F.lit(seed), "doc_id")).withColumn("shard", F.pmod("mixed", F.lit(SHARDS)))
-    laid = _running(own, "size", ["mixed", "doc_id", "uid"]).withColumn("end", F.col("before") + F.col("size")).drop("mixed")
+    own = own.withColumn("mixed", F.xxhash64(F.lit(seed), "doc_id", "th")).withColumn("shard", F.pmod("mixed", F.lit(SHARDS)))
+    laid = _running(own, "size", ["mixed", "doc_id", "uid"]).withColumn("end", F.col("before") + F.col("size")).drop("mixed", "th")
     b = block_tokens
     spans = F.when(F.col("size") > 0, F.expr(f"sequence(before div {b}, (end - 1) div {b})"))
     pieces = laid.select("*", F.explode_outer(spans).alias("block"))
@@ -95,3 +95,16 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     overlap = F.when(F.col("words").isNotNull(), F.greatest(F.lit(0), F.least("end", start + F.col("words")) - F.greatest("before", start)))
     taken = pieces.join(slots.hint("merge"), ["sid", "block"], "left").groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("sid").alias("sid"), F.first("size").alias("size"), F.sum(F.coalesce(overlap, F.lit(0))).cast("long").alias("taken"))
     return taken.join(small(plan.select("sid", "source_size", "target")), "sid").select("uid", "doc_id", "size", "source_size", "target", "taken")
+
+
+#: The targets by filling sources in the order in which they fill up, a step each: as many steps as there are sources.
+TARGETS = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS n, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight FROM d GROUP BY source),
+step(k, level) AS (
+  SELECT 0, (SELECT sum(n) / sum(weight) FROM s)
+  UNION ALL
+  SELECT k + 1, (SELECT (sum(n) - sum(CASE WHEN weight * level >= 3 * n THEN 3 * n ELSE 0 END)) / nullif(sum(CASE WHEN weight * level >= 3 * n THEN 0 ELSE weight END), 0) FROM s) FROM step WHERE k < (SELECT count(*) FROM s)
+)
+SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, round(least(3 * n, weight * (SELECT max(level) FROM step)), 3) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+"""

@@ -1,7 +1,7 @@
 """A quality classifier: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader updates.
 
-A text is a row of words: runs of letters and digits, and runs of signs. Its features are its words, its pairs of neighbours,
-and its triples of word shapes (case, digits, glued to or repeating the word before; a run of signs is its own shape), each hashed to one of 2**BITS weights. A score is one sparse dot
+A text is a row of words: runs of letters and digits, and runs of signs. Its features are its word n-grams, single words and pairs of neighbours,
+and, as an addition to those, its triples of word shapes (case, digits, glued to or repeating the word before; a run of signs is its own shape), each hashed to one of 2**BITS weights. A score is one sparse dot
 product over the features' frequencies. Labels, language, source and id are never among the features.
 """
 
@@ -101,11 +101,13 @@ def _bucket(id_col: str, of: int):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights from at most `rows` labelled documents that aren't held out; one task learns, and the driver gets 2**BITS numbers.
 
-    Of labels that disagree on a document the larger counts; null labels and ids don't. Without labelled rows every score is 1/2.
+    Of labels that disagree on a document the larger counts; null labels and ids don't. Of documents that repeat an id one is learnt from, that
+    whose text has the least hash. Without labelled rows every score is 1/2.
     """
     known = labels.where(F.col(label_col).isNotNull() & (_bucket(id_col, 5) != 0)).groupBy(id_col).agg(F.max(label_col).alias("label"))
     sample = known.select(F.col(id_col).alias("id"), "label").orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(sample), "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(sample), "id")
+    texts = texts.groupBy("id", "label").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

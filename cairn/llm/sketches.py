@@ -170,3 +170,9 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return in_descending_runs(docs, id_col, text_col).mapInArrow(run, schema)
+
+
+EDITED = """
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 3) || substr(after, 1, length(t) // 3)) AS edited_sha256 FROM (
+  SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first(t) OVER (ORDER BY doc_id DESC)) AS after FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+"""

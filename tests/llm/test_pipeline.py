@@ -4,7 +4,7 @@ import pytest
 from conftest import DATA
 
 import corpus_pipeline as P
-from cairn.llm import bpe_lexicon, line_dedup, mixing, near_dup, quality
+from cairn.llm import bpe_lexicon, line_dedup, mixing, quality
 from cairn.llm.queries import tokenizer
 
 
@@ -47,13 +47,22 @@ def test_lines(steps):
 
 def test_near(steps):
     before = rows(steps[2])
-    fps = [(r["doc_id"], near_dup.simhash((r["text"] or "").encode())) for r in before]
-    parent = {i: i for i, _ in fps}
-    for _ in range(8):
-        for i, a in fps:
-            for j, b in fps:
-                if (a ^ b).bit_count() <= 3:
-                    parent[i] = parent[j] = min(parent[i], parent[j])
+    sets = {}
+    for r in before:
+        w = (r["text"] or "").encode().lower().split()
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and 5 * len(a & b) >= 4 * len(a | b):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
     assert {r["doc_id"] for r in rows(steps[3])} == {i for i in parent if parent[i] == i}
 
 

@@ -608,6 +608,15 @@ def test_quality(spark, odd, empty):
     assert quality.keep_good(odd, labels).columns == odd.columns
 
 
+def test_quality_learns_from_one_of_repeated_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text number {k}") for k in range(500)] + [(2, "another")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "ftrl", lambda found, seen=seen: (_ for _ in ()).throw(ValueError(f"learnt {len(found)}")))
+    with pytest.raises(Exception, match="learnt [12]\\b"):
+        quality.train(docs, labels)
+
+
 def test_quality_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     held = quality.quality_report(docs, labels).where("held_out").join(labels, "doc_id").selectExpr("avg(CAST(predicted = quality AS INT)) a").first().a
