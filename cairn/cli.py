@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import logging
 import os
 import sys
@@ -47,10 +48,12 @@ def parse(argv: list[str]) -> tuple[argparse.Namespace, list[tuple[str, A.Plan]]
     p.add_argument("--lod-chunk-count", type=int, default=64, help="thousands of rows in a file")
     p.add_argument("--lod-chunk-extent", type=float, default=16.0)
     p.add_argument("--lod-select", default="", help="levels of .lcc inputs, with commas")
-    p.add_argument("--viewer-settings", default=None)
+    p.add_argument("--viewer-settings", default=None, help="a JSON file for a viewer; no output here holds one, so it is only checked")
+    p.add_argument("--gpu", default="-1", help="accepted; executors' processors do all work")
+    p.add_argument("--list-gpus", action="store_true")
     p.add_argument("--master", default=None)
     own, files, k = [], [], 0
-    options = {"--iterations", "--lod-chunk-count", "--lod-chunk-extent", "--lod-select", "--viewer-settings", "--master"}
+    options = {"--iterations", "--lod-chunk-count", "--lod-chunk-extent", "--lod-select", "--viewer-settings", "--gpu", "--master"}
     while k < len(argv):
         word = argv[k]
         name, _, value = word.partition("=")
@@ -73,6 +76,14 @@ def parse(argv: list[str]) -> tuple[argparse.Namespace, list[tuple[str, A.Plan]]
             files.append((word, A.Plan()))
         k += 1
     args = p.parse_args(own)
+    if args.viewer_settings:
+        with open(args.viewer_settings, encoding="utf-8") as f:
+            json.load(f)
+    if args.gpu != "cpu" and not args.gpu.lstrip("-").isdigit():
+        p.error("--gpu takes a number or cpu")
+    if args.list_gpus:
+        print("No GPU adapters: executors' processors do all work.")
+        raise SystemExit(0)
     if len(files) < 2:
         p.error("an input and an output are needed")
     return args, files
