@@ -5,7 +5,7 @@ and an output vector. The CONTEXT tokens before a token, each through its place'
 two steps, so that normalising takes about the square root of the words: over the most frequent words, one class for each run of words of like
 frequency, and GROUPS groups of all other words by their last two bytes; then over the words of the class. Only a word of a group
 takes its smoothed share of the group's count. Counts cover every training text. Every training token is a target once: in a few rounds
-each task continues from the model so far on its own texts, and the tasks' parameters are averaged by tokens.
+each task continues from the model so far on its own texts, TASK_TOKENS of them or more, and the tasks' parameters are averaged by tokens.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ BATCH, RUNS, NOISE, CLASS_NOISE, RATE, SEED = 1024, 16, 64, 6, 0.25, 7
 ROUNDS = (0.2, 1.0)
 #: Distinct tokens that a counting task holds before it passes them on.
 HELD_COUNTS = 1_000_000
+#: A task learns from so many tokens at least, where there are as many: fewer tasks make less of an average.
+TASK_TOKENS = 2_000_000
 #: Numbers of a model's piece, as models are averaged.
 PIECE = 1 << 16
 END_HASH = np.uint64(0x5BD1E995A3C59AC3)
@@ -389,6 +391,7 @@ def train(texts: DataFrame, counts: Counts) -> Model:
     before = 0
     for upto_share in ROUNDS:
         part = texts.where((share >= before) & (share < int(1000 * upto_share))).select("t")
+        part = part.coalesce(max(1, int(counts.total * (upto_share - before / 1000)) // TASK_TOKENS))
         before = int(1000 * upto_share)
         model = _round(part, model.flat(), words, table, n)
     return model

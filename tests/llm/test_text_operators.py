@@ -591,6 +591,12 @@ def test_lm_beats_unigrams(spark):
     assert (held.s - held.b) / held.n > 0.25 and held.better > 0.9
 
 
+def test_lm_gain_does_not_follow_the_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    gain = lambda d: neural_lm.lm_scores(d).where("held_out").selectExpr("sum(score - base_score) / sum(n_tokens) g").first().g
+    assert abs(gain(docs.repartition(16)) - gain(docs.coalesce(1))) < 0.05
+
+
 def test_lm_words_follow_the_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("text t")
     few, all_ = (neural_lm.gather(neural_lm.stage(neural_lm.token_counts(d))).words.words for d in (docs.limit(100), docs))
