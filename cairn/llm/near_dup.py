@@ -8,9 +8,10 @@ pairs that survive are blocks of BLOCK fingerprints. A task descends further, th
 one by one. A pair of blocks returns the edges of a spanning forest, not its links. How much a level can prune depends on how many bits
 its nodes share, about the logarithm of all nodes: below some 2**18 fingerprints the upper levels drop little, and prune_report tells how much.
 
-similar_groups links by the share of word shingles instead, which so few bits can't tell: pairs that agree in a band of MinHash values are
-candidates, and each is then compared by its whole sets of shingles. Of a bucket, pairs of blocks of sets move and are compared in numpy,
-and edges of a forest come back; never its pairs.
+similar_groups links by the share of word shingles instead, which 64 bits can't tell. A set of shingles has PRINTS SimHash fingerprints of PRINT_BITS
+bits there, each led by a code of its number, and all go through the same index at once: codes differ in more bits than are allowed, so it links
+equal numbers only. Sets whose fingerprints of one number are linked, by others too, share a bucket; what shares a bucket is a candidate, and whole
+sets of shingles decide. Of a bucket, pairs of blocks of sets move and are compared in numpy, and edges of a forest come back; never its pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import fresh, lean, stage
+from cairn.llm.common import fresh, lean, passing, stage
 from cairn.llm.components import components, union
 from cairn.llm.token_files import slices
 from cairn.llm.words import mix, shingle_hashes
@@ -35,14 +36,21 @@ BLOCK, FANOUT = 32768, 8
 LEVELS = (2048, 256, 32)
 #: Pairs of fingerprints for one task, before any are pruned; rows of one file of an upper level.
 TASK_PAIRS, NODES = BLOCK * BLOCK // 4, 100_000
-_SPREAD = 2_000_000  # distances worked out at once
-#: Of similar_groups: words of a shingle, least similarity, bands of MinHash values and values in each. A pair at 0.8 is a candidate with probability 0.9996.
-WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 20, 5
-#: A candidate's sets are compared if so many of all MinHash values agree; of a pair at 0.8 fewer do in one of a million cases.
-AGREE = 60
+#: Pairs of blocks that are broadcast to the blocks, some 30 bytes each.
+FEW_PAIRS = 100_000
+_SPREAD = 200_000  # distances worked out at once
+#: Of similar_groups: words of a shingle, least similarity, fingerprints of a set and bits of each. At a similarity of 0.8 a bit differs in 15 % of cases, so that
+#: 3 bits or fewer of a fingerprint differ with probability 0.152, and those of at least one with 0.9999.
+WORDS, SIMILAR, PRINTS, PRINT_BITS = 5, 0.8, 56, 38
+#: A fingerprint's number stands above its bits, each bit of it CODE times, which is more than BITS_APART; TAG bits in all.
+CODE, TAG = BITS_APART + 1, 24
+#: Tagged fingerprints in a block of the index, which is split where a number ends, so that few meet other blocks; and in the nodes of a block.
+TAGGED_BLOCK, TAGGED_LEVELS = 1 << 20, (*LEVELS, 8)
+#: A candidate's sets are compared if no more of all signature bits differ; at 0.8 that is 15 %, of unlike sets half.
+DIFFER = 0.25
 #: Sets, and shingles of theirs, in a block of a bucket; a longer set is a block of its own length.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20
-_FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(SEED).integers(0, 2**63, -(-PRINTS * PRINT_BITS // 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def simhash(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -98,8 +106,8 @@ def _pattern(x: np.ndarray) -> tuple[np.uint64, np.uint64]:
     return mask, both
 
 
-def index_blocks(fps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(node, mask, value, fps) per block of distinct fingerprints `fp`; blocks are numbered in Gray order, fps are 8 bytes each."""
+def index_blocks(fps: DataFrame, block: int = BLOCK, *, tag: int = 0) -> DataFrame:
+    """(node, mask, value, fps) per block of distinct fingerprints `fp`; blocks are numbered in Gray order, fps are 8 bytes each. No block holds fingerprints that differ in their first `tag` bits; of tagged ones some may be equal."""
     parts = max(1, -(-fps.count() // block))
 
     @lean
@@ -107,10 +115,15 @@ def index_blocks(fps: DataFrame, block: int = BLOCK) -> DataFrame:
         from pyspark import TaskContext
 
         if len(x := np.concatenate([np.zeros(0, np.uint64), *(np.asarray(b.column(0)).view(np.uint64) for b in batches)])):
-            mask, value = (pa.array(v.reshape(1).view(np.int64)) for v in _pattern(x))
-            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), mask, value, pa.array([x.astype("<u8").tobytes()], pa.binary())], names=["node", "mask", "value", "fps"])
-
-    ranked = fps.select("fp", gray_rank("fp").alias("rank")).repartitionByRange(parts, "rank").sortWithinPartitions("rank").select("fp")
+            x ^= np.uint64(1 << 63)
+            x ^= x >> np.uint64(1)  # the fingerprint of that rank
+            tags = x >> np.uint64(64 - tag) if tag else np.zeros(len(x), np.uint64)
+            first = TaskContext.get().partitionId() * (1 << tag // CODE)
+            for k, part in enumerate(np.split(x, np.nonzero(tags[1:] != tags[:-1])[0] + 1)):
+                mask, value = (pa.array(v.reshape(1).view(np.int64)) for v in _pattern(part))
+                yield pa.record_batch([pa.array([first + k], pa.int64()), mask, value, pa.array([part.astype("<u8").tobytes()], pa.binary())], names=["node", "mask", "value", "fps"])
+
+    ranked = fps.select(gray_rank("fp").alias("rank")).repartitionByRange(parts, "rank").sortWithinPartitions("rank")
     return stage(ranked.mapInArrow(run, "node long, mask long, value long, fps binary"))
 
 
@@ -191,27 +204,46 @@ def _nodes(y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return every, every | ~some
 
 
-def _block_pairs(fps: DataFrame, apart: int) -> DataFrame:
-    """(a, b, fps_a, fps_b): the pairs of blocks that the upper levels leave, dealt by the work that they are."""
-    blocks = index_blocks(fps)
+def _block_pairs(fps: DataFrame, apart: int, tag: int = 0) -> DataFrame:
+    """(a, b, fps_a, fps_b): the pairs of blocks that the upper levels leave, dealt by the work that they are. fps_b is null in a block's pair with itself."""
+    blocks = index_blocks(fps, TAGGED_BLOCK, tag=tag) if tag else index_blocks(fps)
     pairs = stage(near_blocks(index_levels(blocks), apart))
     number, work = pairs.agg(F.count("*"), F.sum("work")).first()
     tasks = max(1, min(number, int((work or 0) // TASK_PAIRS)))
-    a, b = (blocks.select(F.col("node").alias(x), F.col("fps").alias(f"fps_{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "fps_a", "fps_b").repartition(tasks)
+    sides = (pairs.select("a", "b", F.col(x).alias("node"), F.lit(x).alias("side")) for x in "ab")
+    sides = next(sides).union(next(sides).where("a < b"))
+    sent = blocks.select("node", "fps").join(F.broadcast(sides) if number <= FEW_PAIRS else sides, "node").repartition(tasks, "a", "b")
+    return sent.groupBy("a", "b").agg(*(F.max(F.when(F.col("side") == x, F.col("fps"))).alias(f"fps_{x}") for x in "ab"))
+
 
+def fingerprint_links(fps: DataFrame, apart: int = BITS_APART, tag: int = 0) -> DataFrame:
+    """(u, v): edges that connect the distinct fingerprints `fp` as links of at most `apart` bits do; at most one a fingerprint and pair of blocks.
 
-def fingerprint_links(fps: DataFrame, apart: int = BITS_APART) -> DataFrame:
-    """(u, v): edges that connect the distinct fingerprints `fp` as links of at most `apart` bits do; at most one a fingerprint and pair of blocks."""
+    Those whose first `tag` bits differ must differ in more than `apart`. Of equal ones, which only tagged ones may be, an edge (u, u) tells.
+    """
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                u, v = block_forest(np.frombuffer(row["fps_a"], "<u8"), np.frombuffer(row["fps_b"], "<u8"), row["a"] == row["b"], apart)
+                (a, more), (b, _) = (_once(x) for x in _sides(row))
+                same = row["a"] == row["b"]
+                u, v = (np.concatenate((x, more[: len(more) * same])) for x in block_forest(a, b, same, apart, TAGGED_LEVELS if tag else LEVELS))
                 yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    return _block_pairs(fps, apart).mapInArrow(run, "u long, v long")
+    return _block_pairs(fps, apart, tag).mapInArrow(run, "u long, v long")
+
+
+def _sides(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints of a pair of blocks, the same array twice for a block and itself."""
+    a = np.frombuffer(row["fps_a"], "<u8")
+    return a, a if row["fps_b"] is None else np.frombuffer(row["fps_b"], "<u8")
+
+
+def _once(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x, in which equal ones are neighbours, without those that equal the one before, and those."""
+    new = np.concatenate((np.ones(1, bool), x[1:] != x[:-1]))
+    return x[new], x[~new]
 
 
 def prune_report(fps: DataFrame, apart: int = BITS_APART) -> DataFrame:
@@ -221,7 +253,7 @@ def prune_report(fps: DataFrame, apart: int = BITS_APART) -> DataFrame:
         counts = np.zeros((len(LEVELS), 2), np.int64)
         for batch in batches:
             for row in batch.to_pylist():
-                block_forest(np.frombuffer(row["fps_a"], "<u8"), np.frombuffer(row["fps_b"], "<u8"), row["a"] == row["b"], apart, counts=counts)
+                block_forest(*_sides(row), row["a"] == row["b"], apart, counts=counts)
         yield pa.record_batch([pa.array(LEVELS, pa.int64()), pa.array(counts[:, 0]), pa.array(counts[:, 1])], names=["size", "looked", "left"])
 
     found = _block_pairs(fps, apart).mapInArrow(run, "size long, looked long, left long")
@@ -259,39 +291,79 @@ def _members(own: DataFrame, roots: DataFrame) -> DataFrame:
     return own.join(roots, ["fp", "h"]).select(F.col("id").alias("doc_id"), "fp", F.col("root.id").alias("component_id"))
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The SimHash bits of a set of shingle hashes, 64 in each number. A bit is set where the votes for it outnumber the others by more than one: with that, a tie of an
+    even number and the single vote over it of an odd one tell alike, and few shingles differ no more than many do."""
+    counts = np.zeros(len(_FACTORS) * 64, np.int64)
+    for at in range(0, len(shingles), 255):
+        votes = mix(shingles[at : at + 255, None] * _FACTORS).astype("<u8").view(np.uint8)
+        counts += np.unpackbits(votes, axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(shingles) + 1, bitorder="little").view("<u8")
+
+
+def tagged(signatures: np.ndarray) -> np.ndarray:
+    """The fingerprints of each signature (a row of bytes), PRINTS a row, below the codes of their numbers."""
+    bits = np.unpackbits(signatures, axis=1, count=PRINTS * PRINT_BITS, bitorder="little").reshape(-1, PRINTS, PRINT_BITS)
+    wide = np.zeros((*bits.shape[:2], 64), np.uint8)
+    wide[:, :, :PRINT_BITS] = bits
+    number = np.arange(PRINTS)[:, None] >> np.arange(TAG // CODE) & 1
+    wide[:, :, 64 - TAG :] = np.repeat(number, CODE, axis=1)
+    return np.packbits(wide, axis=2, bitorder="little").view("<u8")[:, :, 0]
+
+
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, th, fp, n, bands, values, shingles) per row: the text's n distinct shingles, sorted, 8 bytes each, their hash fp, a key for each band of MinHash values, and a byte of each value."""
+    """(id, th, fp, n, values, shingles) per row: the text's n distinct shingles, sorted, 8 bytes each, their hash fp, and their signature's bytes."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2, 512, 1 << 20):
             sets = [np.unique(h) for h in shingle_hashes([t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()], words)]
             sizes = np.array([len(h) for h in sets], np.int64)
-            flat = np.concatenate([h if len(h) else np.zeros(1, np.uint64) for h in sets])
-            starts = np.concatenate(([0], np.cumsum(np.maximum(sizes, 1))[:-1]))
-            keys, values = np.zeros((len(sets), BANDS), np.uint64), np.zeros((len(sets), len(_FACTORS)), np.uint8)
-            for k, factor in enumerate(_FACTORS):
-                least = mix(np.minimum.reduceat(flat * factor, starts))
-                keys[:, k // ROWS] = mix(keys[:, k // ROWS] + least + np.uint64(k))
-                values[:, k] = least >> np.uint64(56)
             fp = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64)
-            bands = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, keys.ravel().view(np.int64))
-            cols = [*b.columns[:2], pa.array(fp.view(np.int64)), pa.array(sizes), bands, pa.array([v.tobytes() for v in values], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())]
-            yield pa.record_batch(cols, names=["id", "th", "fp", "n", "bands", "values", "shingles"])
+            cols = [*b.columns[:2], pa.array(fp.view(np.int64)), pa.array(sizes), pa.array([signature(h).tobytes() for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())]
+            yield pa.record_batch(cols, names=["id", "th", "fp", "n", "values", "shingles"])
+
+    return _id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, th long, fp long, n long, values binary, shingles binary")
+
+
+def set_prints(sets: DataFrame) -> DataFrame:
+    """(fp, n, tag): the tagged fingerprints of each of sets (fp, n, values)."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                b = batch.slice(at, 1024)
+                tags = tagged(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1))
+                fp, n = (pa.array(np.repeat(np.asarray(b.column(k)), PRINTS)) for k in (0, 1))
+                yield pa.record_batch([fp, n, pa.array(tags.ravel().view(np.int64))], names=["fp", "n", "tag"])
+
+    return sets.select("fp", "n", "values").mapInArrow(run, "fp long, n long, tag long")
+
 
-    return _id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, th long, fp long, n long, bands array<long>, values binary, shingles binary")
+def _buckets(sets: DataFrame) -> DataFrame:
+    """(key, fp, n, hub): the sets (fp, n, values) of each bucket, hub (fp, n) its least, key the hub's fp: buckets of one hub are one."""
+    prints = set_prints(sets)  # made anew where they are read: they are several times what sets are
+    links = stage(fingerprint_links(prints.select(F.col("tag").alias("fp")), tag=TAG))
+    met = links.select(F.col("u").alias("tag")).union(links.select("v")).distinct()
+    reached = components(links).withColumnRenamed("node", "tag")
+    names = stage(met.join(reached, "tag", "left").select("tag", F.coalesce("least", "tag").alias("bucket")))
+    held = stage(prints.join(few(names, 1_000_000), "tag").select("bucket", "fp", "n"))
+    hubs = held.groupBy("bucket").agg(F.min(F.struct("fp", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1").select("bucket", "hub")
+    return held.join(hubs, "bucket").select(F.col("hub.fp").alias("key"), "fp", "n", "hub").distinct()
 
 
 def similar_links(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(u, v): edges that connect the distinct sets of staged shingle_sets as links do between sets that share a band and at least `similar` of their shingles.
+    """(u, v): edges that connect the distinct sets of staged shingle_sets as links do between sets that share a bucket and at least `similar` of their shingles.
 
     A set is first compared with the least of all buckets' least sets that it meets, then with those of other components, and last come all
-    pairs of a bucket that are still in different components, by blocks of the bucket. Of pairs, MinHash values are compared before whole sets.
+    pairs of a bucket that are still in different components, by blocks of the bucket. Of pairs, signatures are compared before whole sets.
     """
-    sets = own.groupBy("fp").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).where("n > 0")
-    keyed = stage(sets.select("fp", "n", F.explode("bands").alias("key")))
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1").select("key", "hub")
-    buckets = stage(keyed.join(hubs, "key"))
+    # another set has at least one shingle more or less, so that a smaller one can't be that similar to any
+    sets = own.where(F.col("n") >= F.lit(similar) * (F.col("n") + 1)).groupBy("fp").agg(F.first("n").alias("n"), F.first("values").alias("values"))
+    sets = stage(sets)
+    with passing(own.sparkSession):
+        buckets = stage(_buckets(sets), outlive=True)
     # of all sets only those that share a bucket are read again
     shared = few(buckets.select("fp").distinct())
     held = own.select("fp", "values", "shingles").join(shared, "fp", "left_semi").groupBy("fp").agg(F.first("values").alias("values"), F.first("shingles").alias("shingles"))
@@ -308,7 +380,7 @@ def similar_links(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
         return run
 
     def agree(p: bytes, q: bytes) -> bool:
-        return int((np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)).sum()) >= AGREE
+        return int(np.bitwise_count(np.frombuffer(p, np.uint8) ^ np.frombuffer(q, np.uint8)).sum()) <= DIFFER * 8 * len(p)
 
     def share(p: bytes, q: bytes) -> bool:
         common = len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True))
@@ -377,7 +449,7 @@ def set_forest(left: list[dict], right: list[dict] | None, similar: float = SIMI
         others = others[known[others] != known[i]]
         small, large = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
         others = others[small >= similar * large]  # fewer can't be that similar
-        others = others[(signs[others] == signs[i]).sum(1) >= AGREE]
+        others = others[np.bitwise_count(signs[others] ^ signs[i]).sum(1) <= DIFFER * 8 * signs.shape[1]]
         if len(others):
             chosen.append((i, others))
     if not chosen:
@@ -418,7 +490,7 @@ def _first_rows(docs: DataFrame, own: DataFrame, roots: DataFrame, id_col: str,
     i, h, x, y = fresh(docs, "root_id", "root_th", "gone_id", "gone_th")
     h_own, roots = own.withColumn("h", F.xxhash64("fp")), roots.withColumn("h", F.xxhash64("fp"))
     first = F.col("id").eqNullSafe(F.col("root.id")) & (F.col("th") == F.col("root.th"))
-    gone = stage(h_own.join(roots, ["fp", "h"]).where(~first).select(F.col("id").alias(x), F.col("th").alias(y)).distinct())
+    gone = stage(h_own.join(roots, ["fp", "h"]).where(~first).select(F.col("id").alias(x), F.col("th").alias(y)).distinct(), outlive=True)
     marked = docs.withColumns({i: F.col(id_col).cast("long"), h: _text_hash(text_col)})
     kept = marked.join(gone, marked[i].eqNullSafe(gone[x]) & (marked[h] == gone[y]), "left_anti")
     unique = own.groupBy("id", "th").count().where("count > 1").isEmpty()
@@ -437,4 +509,5 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
     """As drop_near, by the components of similar_groups."""
-    return _first_rows(docs, *_similar_roots(docs, id_col, text_col, words, similar), id_col, text_col)
+    with passing(docs.sparkSession):
+        return _first_rows(docs, *_similar_roots(docs, id_col, text_col, words, similar), id_col, text_col)

@@ -142,6 +142,27 @@ def test_similar_texts_go(spark):
     assert kept == want and sum(0.8 <= j < 0.96 for j in pairs) > 30
 
 
+def test_similar_candidates_come_from_the_gray_index(spark, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "changed"])), (3, "a b c d e f g h"), (4, "a b c d e f g h i")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dup.drop_similar(docs).collect()) == [1, 3]
+    seen = []
+    monkeypatch.setattr(near_dup, "fingerprint_links", lambda fps, *_, **__: seen.append(fps) or spark.createDataFrame([], "u long, v long"))
+    assert sorted(r.doc_id for r in near_dup.drop_similar(docs).collect()) == [1, 2, 3, 4] and len(seen) == 1
+
+
+@pytest.mark.parametrize("common, a, b", [(4, 0, 1), (8, 1, 1), (12, 1, 2), (160, 20, 20)])
+def test_fingerprints_of_sets_at_the_least_similarity(common, a, b):
+    r = np.random.default_rng(common)
+    found, tags = 0, np.zeros((0, near_dup.PRINTS), np.uint64)
+    for _ in range(300):
+        x = r.integers(0, 2**63, common + a + b).astype(np.uint64)
+        both = np.stack([near_dup.signature(v).view(np.uint8) for v in (x[: common + a], np.delete(x, slice(common, common + a)))])
+        tags = near_dup.tagged(both)
+        found += (np.bitwise_count(tags[0] ^ tags[1]) <= near_dup.BITS_APART).any()
+    assert found >= 299 and all(np.bitwise_count(tags[0] ^ np.roll(tags[0], k)).min() > near_dup.BITS_APART for k in range(1, near_dup.PRINTS))
+
+
 def test_near_rows_that_repeat_an_id(spark):
     r = random.Random(8)
     texts = [" ".join(r.choice("abcdefgh") * 3 + str(r.randrange(999)) for _ in range(60)) for _ in range(3)]
