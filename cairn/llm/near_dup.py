@@ -341,16 +341,48 @@ def set_prints(sets: DataFrame) -> DataFrame:
     return sets.select("fp", "n", "values").mapInArrow(run, "fp long, n long, tag long")
 
 
-def _buckets(sets: DataFrame) -> DataFrame:
-    """(key, fp, n, hub): the sets (fp, n, values) of each bucket, hub (fp, n) its least, key the hub's fp: buckets of one hub are one."""
+def _buckets(sets: DataFrame, similar: float) -> DataFrame:
+    """(key, fp, n, hub): the sets (fp, n, values) of each bucket, hub (fp, n) its least, key the hub's fp: buckets of one hub are one.
+
+    Two sets that share no bucket but their own must have like signatures: most of such pairs are met by chance, and whole sets of them needn't be read.
+    """
     prints = set_prints(sets)  # made anew where they are read: they are several times what sets are
     links = stage(fingerprint_links(prints.select(F.col("tag").alias("fp")), tag=TAG))
     met = links.select(F.col("u").alias("tag")).union(links.select("v")).distinct()
     reached = components(links).withColumnRenamed("node", "tag")
     names = stage(met.join(reached, "tag", "left").select("tag", F.coalesce("least", "tag").alias("bucket")))
     held = stage(prints.join(few(names, 1_000_000), "tag").select("bucket", "fp", "n"))
-    hubs = held.groupBy("bucket").agg(F.min(F.struct("fp", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1").select("bucket", "hub")
-    return held.join(hubs, "bucket").select(F.col("hub.fp").alias("key"), "fp", "n", "hub").distinct()
+    hubs = held.groupBy("bucket").agg(F.min(F.struct("fp", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1")
+    others = held.join(hubs, "bucket").where("fp <> hub.fp").groupBy(F.col("hub.fp").alias("key"), "fp").agg(F.first("n").alias("n"), F.first("hub").alias("hub"), F.max("many").alias("many"))
+    others = stage(others)
+    pairs = others.where((F.col("many") == 2) & _alike(similar)).select(F.col("key").alias("u"), F.col("fp").alias("v"))
+    u, v = (sets.select(F.col("fp").alias(x), F.col("values").alias(f"s_{x}")) for x in "uv")
+    like = pairs.join(u, "u").join(v, "v").select("u", "v", "s_u", "s_v").mapInArrow(_both(_agree), "u long, v long").select(F.col("u").alias("key"), F.col("v").alias("fp"))
+    left = stage(others.where("many > 2").unionByName(others.join(like, ["key", "fp"], "left_semi")).select("key", "fp", "n", "hub"))
+    return left.unionByName(left.select("key", F.col("hub.fp").alias("fp"), F.col("hub.n").alias("n"), "hub").distinct())
+
+
+def _alike(similar: float):
+    """Whether a bucket's set n may be that similar to its hub: far fewer shingles can't."""
+    n, m = F.col("n"), F.col("hub.n")
+    return F.least(n, m) >= F.lit(similar) * F.greatest(n, m)
+
+
+def _agree(p: bytes, q: bytes) -> bool:
+    """Whether no more than DIFFER of two signatures' bits differ."""
+    return int(np.bitwise_count(np.frombuffer(p, np.uint8) ^ np.frombuffer(q, np.uint8)).sum()) <= DIFFER * 8 * len(p)
+
+
+def _both(test):
+    """The pairs (u, v) of (u, v, s_u, s_v) whose s pass the test."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [test(p, q) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.record_batch([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def similar_links(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -363,39 +395,25 @@ def similar_links(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
     sets = own.where(F.col("n") >= F.lit(similar) * (F.col("n") + 1)).groupBy("fp").agg(F.first("n").alias("n"), F.first("values").alias("values"))
     sets = stage(sets)
     with passing(own.sparkSession):
-        buckets = stage(_buckets(sets), outlive=True)
+        buckets = stage(_buckets(sets, similar), outlive=True)
     # of all sets only those that share a bucket are read again
     shared = few(buckets.select("fp").distinct())
     held = own.select("fp", "values", "shingles").join(shared, "fp", "left_semi").groupBy("fp").agg(F.first("values").alias("values"), F.first("shingles").alias("shingles"))
     held = stage(held)
-    alike = lambda n, m: F.least(n, m) >= F.lit(similar) * F.greatest(n, m)  # noqa: E731  fewer can't be that similar
-
-    def both(test):
-        @lean
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = [test(p, q) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-                yield pa.record_batch([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-        return run
-
-    def agree(p: bytes, q: bytes) -> bool:
-        return int(np.bitwise_count(np.frombuffer(p, np.uint8) ^ np.frombuffer(q, np.uint8)).sum()) <= DIFFER * 8 * len(p)
-
     def share(p: bytes, q: bytes) -> bool:
         common = len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True))
         return common >= similar * ((len(p) + len(q)) // 8 - common)
 
     def compared(pairs: DataFrame) -> DataFrame:
         pairs = stage(pairs)
-        for column, test in (("values", agree), ("shingles", share)):
+        for column, test in (("values", _agree), ("shingles", share)):
             needed = few(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct())
             some = held.select("fp", F.col(column).alias("s")).join(needed, "fp", "left_semi")
             a, b = (some.select(F.col("fp").alias(x), F.col("s").alias(f"s_{x}")) for x in "uv")
-            pairs = stage(pairs.join(a, "u").join(b, "v").select("u", "v", "s_u", "s_v").mapInArrow(both(test), "u long, v long"))
+            pairs = stage(pairs.join(a, "u").join(b, "v").select("u", "v", "s_u", "s_v").mapInArrow(_both(test), "u long, v long"))
         return pairs
 
-    met = stage(buckets.where((F.col("fp") != F.col("hub.fp")) & alike(F.col("n"), F.col("hub.n"))).select(F.col("hub.fp").alias("u"), F.col("fp").alias("v")).distinct())
+    met = stage(buckets.where((F.col("fp") != F.col("hub.fp")) & _alike(similar)).select(F.col("hub.fp").alias("u"), F.col("fp").alias("v")).distinct())
     least_met = met.groupBy("v").agg(F.min("u").alias("u"))
     links = compared(least_met.select("u", "v"))
     names = stage(components(links))
