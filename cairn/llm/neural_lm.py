@@ -10,6 +10,7 @@ each task continues from the model so far on its own texts, TASK_TOKENS of them
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,8 @@ ROUNDS = (0.2, 1.0)
 HELD_COUNTS = 1_000_000
 #: A task learns from so many tokens at least, where there are as many: fewer tasks make less of an average.
 TASK_TOKENS = 2_000_000
+#: Texts whose bytes are made into tokens at once: numbers of a few hundred kilobytes of text stay near the core.
+NEAR_TEXTS = 64
 #: Numbers of a model's piece, as models are averaged.
 PIECE = 1 << 16
 END_HASH = np.uint64(0x5BD1E995A3C59AC3)
@@ -42,6 +45,13 @@ END_HASH = np.uint64(0x5BD1E995A3C59AC3)
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes and groups of all texts' tokens in a row, each text's end among them, and where texts begin and the last ends."""
+    parts = [_tokens(texts[a : a + NEAR_TEXTS]) for a in range(0, max(1, len(texts)), NEAR_TEXTS)]
+    h, group, upto = zip(*parts, strict=True)
+    before = np.cumsum([0, *(len(x) for x in h)])
+    return np.concatenate(h), np.concatenate(group), np.concatenate([[0], *(u[1:] + b for u, b in zip(upto, before[:-1], strict=True))])
+
+
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     joined, starts, ends, upto = word_spans([t.lower() for t in texts])
     h = spans_hash(joined, starts, ends) if len(starts) else np.zeros(0, np.uint64)
     last = joined[ends - 1].astype(np.int64) if len(starts) else np.zeros(0, np.int64)
@@ -135,6 +145,13 @@ class Counts:
     sizes: np.ndarray
 
 
+def distinct(keys: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in the order that sorts them, and where each begins there."""
+    keys = keys.take(order)
+    first = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.zeros(0, np.int64)
+    return keys.take(first), first
+
+
 def training(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 != 0, F.lit(True))
 
@@ -145,18 +162,18 @@ def token_counts(texts: DataFrame) -> DataFrame:
     def add(parts: list) -> list:
         """Counts (h, g, n) of several slices as those of one."""
         h, g, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        first = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0]
-        return [h[first], g[order][first], np.add.reduceat(n[order], first)]
+        order = np.argsort(h)
+        h, first = distinct(h, order)
+        return [h, g.take(order.take(first)), np.add.reduceat(n.take(order), first)]
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, row = [], 0
         for b in slices(batches, 0, 2048, 4 << 20):
             h, g, _ = tokens([t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()])
-            u, first, n = np.unique(h, return_index=True, return_counts=True)
-            held.append([u, g[first].astype(np.int16), n])
+            order = np.argsort(h)  # equal tokens have equal groups, whichever comes first
+            u, first = distinct(h, order)
+            held.append([u, g.take(order.take(first)).astype(np.int16), np.diff(first, append=len(h))])
             row += len(u)
             if row > HELD_COUNTS:
                 held = [add(held)]
@@ -206,6 +223,13 @@ def gather(counts: DataFrame) -> Counts:
     return Counts(int(total or 0), int(distinct), words, Table(h[top], ids[top]), Table(h, np.arange(len(h))), np.append(n, 0), np.append(ids, -1), used, sizes)
 
 
+def wide(place: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each place of the context the rows that stand there, several side by side in a line as numpy has a cost a line, and the place's diagonal as often."""
+    n = len(vectors) - CONTEXT
+    many = math.gcd(n, 64)
+    return np.concatenate([place] * many, 1), [vectors[a : a + n].reshape(n // many, many * WIDTH) for a in range(CONTEXT - 1, -1, -1)]
+
+
 class Model:
     """in_: input vectors, place: a diagonal for each place of the context, out and bias by output, own and own_bias by word; all float32.
 
@@ -244,42 +268,47 @@ class Model:
             at += n
         return cls(words, parts[:6], parts[6:])
 
-    def predicted(self, vectors: np.ndarray) -> np.ndarray:
-        """The predicted vector at each row of input vectors but the first CONTEXT."""
-        n = len(vectors) - CONTEXT
-        q, more = vectors[CONTEXT - 1 : CONTEXT - 1 + n] * self.place[0], np.empty((n, WIDTH), np.float32)
+    def predicted(self, place: np.ndarray, seen: list[np.ndarray]) -> np.ndarray:
+        """The predicted vector at each row of input vectors but the first CONTEXT; of what wide() gives."""
+        q = seen[0] * place[0]
+        more = np.empty_like(q)
         for i in range(1, CONTEXT):
-            q += np.multiply(vectors[CONTEXT - 1 - i : CONTEXT - 1 - i + n], self.place[i], out=more)
-        return q
+            q += np.multiply(seen[i], place[i], out=more)
+        return q.reshape(-1, WIDTH)
 
     def log_probabilities(self, stream: np.ndarray) -> np.ndarray:
         """The natural logarithm of the probability of each word or group of a stream() after its context; over all of them it sums to 1. At START it means nothing."""
         w, ids = self.words, np.minimum(stream[CONTEXT:], self.words.start - 1)
-        result, q = np.empty(len(ids), np.float64), np.empty((len(ids), WIDTH), np.float32)
-        out, output = np.ascontiguousarray(self.out.T), w.output(ids)
-        for a in range(0, len(ids), 2048):
-            q[a : a + 2048] = self.predicted(self.in_.take(stream[a : a + 2048 + CONTEXT], 0))
-            result[a : a + 2048] = _log_softmax(q[a : a + 2048] @ out + self.bias, output[a : a + 2048])
+        # a 1 stands after each vector, for the bias
+        result, q = np.empty(len(ids), np.float64), np.ones((len(ids), WIDTH + 1), np.float32)
+        out, output = np.concatenate([self.out.T, self.bias[None]]), w.output(ids)
+        for a in range(0, len(ids), 1024):
+            q[a : a + 1024, :WIDTH] = self.predicted(*wide(self.place, self.in_.take(stream[a : a + 1024 + CONTEXT], 0)))
+            result[a : a + 1024] = _log_softmax(q[a : a + 1024], out, output[a : a + 1024])
         inner = np.nonzero((ids >= w.singles) & (ids < w.words))[0]
         c = (ids[inner] - w.singles) // w.run
         order = np.argsort(c.astype(np.int16), kind="stable")
         inner, c = inner[order], c[order]
-        ends = np.searchsorted(c, np.arange(w.classes + 1))
+        ends = np.searchsorted(c, np.arange(w.classes + 1)).tolist()
+        own_ids, share = ids.take(inner), np.empty(len(inner), np.float64)
         for k in range(w.classes):
             lo, hi = w.span(k)
-            own = self.own[lo:hi].T.copy()
-            for a in range(ends[k], ends[k + 1], 4096):
-                at = inner[a : min(a + 4096, ends[k + 1])]
-                result[at] += _log_softmax(q[at] @ own + self.own_bias[lo:hi], ids[at] - lo)
+            own = np.concatenate([self.own[lo:hi].T, self.own_bias[None, lo:hi]])
+            for a in range(ends[k], ends[k + 1], 1024):
+                b = min(a + 1024, ends[k + 1])
+                share[a:b] = _log_softmax(q.take(inner[a:b], 0), own, own_ids[a:b] - lo)
+        result[inner] += share
         return result
 
 
-def _log_softmax(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log softmax of each row of s at one column; s is used up."""
+def _log_softmax(q: np.ndarray, m: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """log softmax of each row of q @ m at one column."""
+    s = q @ m
     own = s[np.arange(len(at)), at].astype(np.float64)
-    with np.errstate(over="ignore"):
-        total = np.exp(s).sum(1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        total = np.exp(s, out=s) @ np.ones(s.shape[1], np.float32)
     if not np.isfinite(total).all() or not (total > 0).all():
+        s = q @ m
         top = s.max(1)
         return own - top - np.log(np.exp(s - top[:, None]).sum(1))
     return own - np.log(total)
@@ -310,6 +339,34 @@ def batches_of(row: np.ndarray, start: int, seed: int) -> Iterator[np.ndarray]:
         yield lines[order[a : a + RUNS]]
 
 
+class Targets:
+    """Rows that go to places of a part, some to the same: the distinct places, and the sum of what goes to each."""
+
+    def __init__(self, at: np.ndarray, size: int):
+        at = at.astype(np.uint16) if size <= 1 << 16 else at  # those are sorted by radix
+        order = np.argsort(at, kind="stable")
+        at = at.take(order)
+        edge = np.ones(len(at) + 1, bool)
+        np.not_equal(at[1:], at[:-1], out=edge[1:-1])
+        # most places get one row; only the others' rows are summed
+        self.rest = order.take((~(edge[1:] & edge[:-1])).nonzero()[0])
+        edge = edge.nonzero()[0]
+        first, many = edge[:-1], edge[1:] - edge[:-1]
+        self.at, self.first, self.more = at.take(first).astype(np.int64), order.take(first), (many > 1).nonzero()[0]
+        many = many.take(self.more)
+        self.begin = many.cumsum() - many
+
+    def sums(self, rows: np.ndarray) -> np.ndarray:
+        g = rows.take(self.first, 0)
+        if len(self.more):
+            rest = rows.take(self.rest, 0)
+            if rest.ndim > 1:  # two numbers at a time
+                g[self.more] = np.add.reduceat(rest.view(np.complex64), self.begin).view(np.float32)
+            else:
+                g[self.more] = np.add.reduceat(rest, self.begin)
+        return g
+
+
 class Trainer:
     """AdaGrad steps on the noise-contrastive objective: an output against NOISE draws that a batch shares, a word of a class against CLASS_NOISE of its class."""
 
@@ -318,7 +375,13 @@ class Trainer:
         w = model.words
         p = np.bincount(w.output(np.arange(w.start)), np.maximum(n, 0.5), w.outputs)
         self.noise_p = p / p.sum()
+        self.noise_upto = np.cumsum(self.noise_p) / np.cumsum(self.noise_p)[-1]
         self.log_noise = np.log(NOISE * self.noise_p).astype(np.float32)
+        # of every word: its output, the first word of its class and how many the class has
+        every = np.arange(w.start + 1)
+        lo, hi = w.span((every - w.singles) // w.run)
+        self.output, self.lo, self.many = w.output(every), lo, np.maximum(hi - lo, 1)
+        self.log_share = np.log(CLASS_NOISE / self.many).astype(np.float32)
 
     def step(self, lines: np.ndarray) -> None:
         """One batch, as batches_of() cuts it; where START stands there is nothing to learn."""
@@ -326,55 +389,75 @@ class Trainer:
         row = lines.ravel()
         x = m.in_.take(row, 0)
         # the runs stand in one row; at the places between two there is no target
-        there = np.nonzero((np.arange(len(row)) % lines.shape[1] >= CONTEXT) & (row != w.start))[0]
-        ids, there = row[there], there - CONTEXT
-        q = m.predicted(x).take(there, 0)
-        at = w.output(ids)
-        noise = self.rng.choice(w.outputs, NOISE, p=self.noise_p)
-        out, drawn = m.out.take(at, 0), m.out[noise]
-        g_own = _sigmoid(np.einsum("bw,bw->b", q, out) + m.bias[at] - self.log_noise[at]) - 1
-        g_other = _sigmoid(q @ drawn.T + (m.bias[noise] - self.log_noise[noise]))
-        dq = g_own[:, None] * out + g_other @ drawn
-        rows = np.concatenate([g_own[:, None] * q, g_other.T @ q])
-        self._move(2, np.concatenate([at, noise]), rows)
-        self._move(3, np.concatenate([at, noise]), np.concatenate([g_own, g_other.sum(0)]))
+        target = lines != w.start
+        target[:, :CONTEXT] = False
+        there = np.nonzero(target.ravel())[0]
+        ids, there = row.take(there), there - CONTEXT
+        place, seen = wide(m.place, x)
+        q = m.predicted(place, seen).take(there, 0)
+        q_1 = np.ones((len(q), WIDTH + 1), np.float32)  # a 1 after each vector, for the bias
+        q_1[:, :WIDTH] = q
+        at = self.output.take(ids)
+        noise = self.noise_upto.searchsorted(self.rng.random(NOISE), side="right")
+        out, drawn = m.out.take(at, 0), m.out.take(noise, 0)
+        less = m.bias - self.log_noise
+        g_own = _sigmoid(np.einsum("bw,bw->b", q, out) + less.take(at)) - 1
+        g_other = _sigmoid(q_1 @ np.concatenate([drawn.T, less.take(noise)[None]]))
+        dq = g_other @ drawn
+        dq += np.multiply(out, g_own[:, None], out=out)
+        to = Targets(np.concatenate([at, noise]), w.outputs)
+        g_drawn = g_other.T @ q_1
+        self._move(2, to.at, to.sums(np.concatenate([g_own[:, None] * q, g_drawn[:, :WIDTH]])))
+        self._move(3, to.at, to.sums(np.concatenate([g_own, g_drawn[:, WIDTH]])))
         inner = np.nonzero((ids >= w.singles) & (ids < w.words))[0]
         if len(inner):
-            own, qi = ids[inner], q.take(inner, 0)
-            lo, hi = w.span((own - w.singles) // w.run)
-            size = (hi - lo).astype(np.float32)
-            draws = lo[:, None] + (self.rng.random((len(inner), CLASS_NOISE), np.float32) * size[:, None]).astype(np.int64)
-            both = np.concatenate([own[:, None], np.minimum(draws, hi[:, None] - 1)], 1)
+            own, qi = ids.take(inner), q.take(inner, 0)
+            lo, many = self.lo.take(own)[:, None], self.many.take(own)[:, None]
+            both = np.empty((len(inner), 1 + CLASS_NOISE), np.int64)
+            both[:, 0] = own
+            draws = (self.rng.random((len(inner), CLASS_NOISE), np.float32) * many.astype(np.float32)).astype(np.int64)
+            both[:, 1:] = np.minimum(draws, many - 1) + lo
             vectors = m.own.take(both, 0)
-            s = np.einsum("bw,bkw->bk", qi, vectors) + m.own_bias[both] - np.log(CLASS_NOISE / size)[:, None]
+            s = np.einsum("bw,bkw->bk", qi, vectors)
+            s += m.own_bias.take(both)
+            s -= self.log_share.take(own)[:, None]
             g = _sigmoid(s)
             g[:, 0] -= 1
-            dq[inner] += np.einsum("bk,bkw->bw", g, vectors)
-            self._move(4, both.ravel(), (g[:, :, None] * qi[:, None]).reshape(-1, WIDTH))
-            self._move(5, both.ravel(), g.ravel())
-        n = len(row) - CONTEXT
-        back, more = np.zeros((n, WIDTH), np.float32), np.empty((n, WIDTH), np.float32)
-        back[there] = dq
-        g_in, g_place = np.zeros_like(x), np.empty_like(m.place)
+            _put(dq, inner, dq.take(inner, 0) + np.matmul(g[:, None], vectors)[:, 0])
+            rows, g = np.repeat(qi, 1 + CLASS_NOISE, 0), g.ravel()
+            rows *= g[:, None]
+            to = Targets(both.ravel(), w.words)
+            self._move(4, to.at, to.sums(rows))
+            self._move(5, to.at, to.sums(g))
+        back, g_in = np.zeros((len(row) - CONTEXT, WIDTH), np.float32), np.zeros_like(x)
+        _put(back, there, dq)
+        gets, back = wide(m.place, g_in)[1], back.reshape(seen[0].shape)
+        g_place, more = np.empty_like(place), np.empty_like(back)
         for i in range(CONTEXT):
-            a = CONTEXT - 1 - i
-            g_in[a : a + n] += np.multiply(back, m.place[i], out=more)
-            g_place[i] = np.einsum("nw,nw->w", back, x[a : a + n])
-        self._move(0, row, g_in)
-        self._move(1, np.arange(CONTEXT), g_place)
-
-    def _move(self, k: int, at: np.ndarray, rows: np.ndarray) -> None:
-        """A step of part k against the sum of the rows that each of its rows gets."""
-        at = at.astype(np.uint16) if len(self.model.parts[k]) <= 1 << 16 else at  # those are sorted by radix
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        first = np.nonzero(np.concatenate([[True], at[1:] != at[:-1]]))[0]
-        g = np.add.reduceat(rows.take(order, 0), first) * np.float32(32 / BATCH)
-        at = at[first]
+            gets[i] += np.multiply(back, place[i], out=more)
+            g_place[i] = np.einsum("nw,nw->w", back, seen[i])
+        to = Targets(row, w.start + 1)
+        self._move(0, to.at, to.sums(g_in))
+        self._move(1, np.arange(CONTEXT), g_place.reshape(CONTEXT, -1, WIDTH).sum(1))
+
+    def _move(self, k: int, at: np.ndarray, g: np.ndarray) -> None:
+        """A step of part k against what its rows get, each once; g is used up."""
+        g *= np.float32(32 / BATCH)
         x, s = self.model.parts[k], self.model.squares[k]
-        s[at] += (g * g).mean(1) if g.ndim > 1 else g * g
-        rate = RATE / np.sqrt(s[at])
-        x[at] -= (rate[:, None] if g.ndim > 1 else rate) * g
+        now = s.take(at) + ((g * g) @ np.full(WIDTH, 1 / WIDTH, np.float32) if g.ndim > 1 else g * g)
+        np.put(s, at, now)
+        rate = RATE / np.sqrt(now)
+        g *= rate[:, None] if g.ndim > 1 else rate
+        now = x.take(at, 0)
+        now -= g
+        _put(x, at, now)
+
+
+def _put(x: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """x[at] = rows; a row of a table is copied as one value."""
+    if x.ndim > 1:
+        x, rows = (y.view(f"V{y.itemsize * y.shape[1]}").reshape(-1) for y in (x, rows))
+    np.put(x, at, rows)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -438,7 +521,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     words = stage(token_counts(learn))
     counts = gather(words)
     model = train(learn, counts)
-    given, head, head_n, head_id, log_sizes = counts.words, counts.head, counts.head_n, counts.head_id, np.log10(counts.sizes)
+    given, head, head_id, log_sizes = counts.words, counts.head, counts.head_id, np.log10(counts.sizes)
+    head_own, head_tail = np.log10(counts.head_n + SMOOTH), counts.head_n == 0
     flat = model.flat()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,14 +530,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         for b in slices(batches, 2, 1024, 1 << 20):
             h, g, upto = tokens([t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()])
             at = head.get(h, -1)  # -1 is also where the appended count 0 and id -1 are
-            ids, n = head_id[at], head_n[at]
+            ids, own, tail = head_id[at], head_own[at], head_tail[at]
             grouped = ids < 0
             ids = np.where(grouped, given.words + g, ids)
             row, place = stream(ids, upto, given.start)
             context = model.log_probabilities(row)[place] / np.log(10) - np.where(grouped, log_sizes[g], 0.0)
-            own = np.log10(n + SMOOTH)
             sums = lambda x: np.add.reduceat(x, upto[:-1])  # noqa: E731  every text has its end
-            tail = n == 0
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sums(tail.astype(np.int64)))]).astype(np.int32), h[tail].view(np.int64))
             base = sums(np.where(tail, 0.0, own))
             score = sums(context + np.where(grouped & ~tail, own, 0.0))

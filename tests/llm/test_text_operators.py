@@ -562,6 +562,110 @@ def trained_lm(words=300):
         t.step(lines)
     return t.model, row, place, ids
 
+def plain_sigmoid(x):
+    return 1 / (1 + np.exp(-x))
+
+
+def plain_move(m, k, at, rows):
+    """A step of part k against the sum of the rows that each of its rows gets."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.nonzero(np.concatenate([[True], at[1:] != at[:-1]]))[0]
+    g, at = np.add.reduceat(rows[order], first) * np.float32(32 / neural_lm.BATCH), at[first]
+    x, s = m.parts[k], m.squares[k]
+    s[at] += (g * g).mean(1) if g.ndim > 1 else g * g
+    rate = neural_lm.RATE / np.sqrt(s[at])
+    x[at] -= (rate[:, None] if g.ndim > 1 else rate) * g
+
+
+def plain_step(t, lines):
+    """Trainer.step() by its definition: the same draws, targets, rows and sums, one after another."""
+    m, w, row, c = t.model, t.model.words, lines.ravel(), neural_lm.CONTEXT
+    x = m.in_[row]
+    there = np.nonzero((np.arange(len(row)) % lines.shape[1] >= c) & (row != w.start))[0]
+    ids = row[there]
+    q = sum(x[there - 1 - i] * m.place[i] for i in range(c))
+    at, noise = w.output(ids), t.rng.choice(w.outputs, neural_lm.NOISE, p=t.noise_p)
+    out, drawn = m.out[at], m.out[noise]
+    g_own = plain_sigmoid((q * out).sum(1) + m.bias[at] - t.log_noise[at]) - 1
+    g_other = plain_sigmoid(q @ drawn.T + (m.bias[noise] - t.log_noise[noise]))
+    dq = g_own[:, None] * out + g_other @ drawn
+    rows = np.concatenate([g_own[:, None] * q, g_other.T @ q])
+    plain_move(m, 2, np.concatenate([at, noise]), rows)
+    plain_move(m, 3, np.concatenate([at, noise]), np.concatenate([g_own, g_other.sum(0)]))
+    inner = np.nonzero((ids >= w.singles) & (ids < w.words))[0]
+    if len(inner):
+        own, qi, k = ids[inner], q[inner], neural_lm.CLASS_NOISE
+        lo, hi = w.span((own - w.singles) // w.run)
+        size = (hi - lo).astype(np.float32)
+        draws = lo[:, None] + (t.rng.random((len(inner), k), np.float32) * size[:, None]).astype(np.int64)
+        both = np.concatenate([own[:, None], np.minimum(draws, hi[:, None] - 1)], 1)
+        vectors = m.own[both]
+        g = plain_sigmoid((qi[:, None] * vectors).sum(2) + m.own_bias[both] - np.log(k / size)[:, None])
+        g[:, 0] -= 1
+        dq[inner] += (g[:, :, None] * vectors).sum(1)
+        plain_move(m, 4, both.ravel(), (g[:, :, None] * qi[:, None]).reshape(-1, neural_lm.WIDTH))
+        plain_move(m, 5, both.ravel(), g.ravel())
+    g_in, g_place = np.zeros_like(x), np.empty_like(m.place)
+    for i in range(c):
+        g_in[there - 1 - i] += dq * m.place[i]
+        g_place[i] = (dq * x[there - 1 - i]).sum(0)
+    plain_move(m, 0, row, g_in)
+    plain_move(m, 1, np.arange(c), g_place)
+
+
+def lm_case(words):
+    """Two trainers of the same start, and batches of texts of Zipf's words; the last is short."""
+    r = np.random.default_rng(5)
+    w = neural_lm.Words.of(words)
+    n = np.concatenate([(4e6 / np.arange(3, words + 3)).astype(np.int64), r.integers(0, 90000, neural_lm.GROUPS)])
+    ids = r.choice(w.start, 45000, p=n / n.sum())
+    upto = np.concatenate([[0], np.sort(r.integers(0, 45000, 90)), [45000]])
+    batches = list(neural_lm.batches_of(neural_lm.stream(ids, upto, w.start)[0], w.start, 0))
+    return [neural_lm.Trainer(neural_lm.Model.start(w, n), n) for _ in range(2)], batches
+
+
+@pytest.mark.parametrize("words", [20, 60, 3000, 16384])
+def test_lm_step_by_definition(words):
+    (one, two), batches = lm_case(words)
+    for lines in [*batches[:20], batches[-1], np.full_like(batches[0], one.model.words.start)]:
+        one.step(lines)
+        plain_step(two, lines)
+    for x, y in zip(one.model.parts + one.model.squares, two.model.parts + two.model.squares, strict=True):
+        assert np.allclose(x, y, rtol=2e-3, atol=2e-4)
+    # the draws are the same ones
+    assert one.rng.random() == two.rng.random()
+
+
+def test_lm_step_sums_only_what_goes_to_the_same_place(monkeypatch):
+    """Most of a batch's rows go to places of their own; a sum for each of those took a sixth of a training step."""
+    (one, _), batches = lm_case(16384)
+    summed, add = [], np.add
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        class add:  # noqa: N801
+            @staticmethod
+            def reduceat(rows, at, *more):
+                summed.append(len(at))
+                return add.reduceat(rows, at, *more)
+
+    monkeypatch.setattr(neural_lm, "np", Counting())
+    for lines in batches[:10]:
+        one.step(lines)
+    assert 0 < sum(summed) / 10 < 3500
+
+
+def test_lm_tokens_of_many_texts_are_those_of_each():
+    texts = [t.encode() for t in ["", "a", " ", "\n", "A bc  Bc", "x" * 300, "éÉ \t word"]] * 40
+    h, g, upto = neural_lm.tokens(texts)
+    each = [neural_lm.tokens([t]) for t in texts]
+    assert np.array_equal(h, np.concatenate([x[0] for x in each])) and np.array_equal(g, np.concatenate([x[1] for x in each]))
+    assert upto.tolist() == np.cumsum([0, *(len(x[0]) for x in each)]).tolist()
+    assert [len(x) for x in neural_lm.tokens([])] == [0, 0, 1]
+
 
 def test_lm_probabilities_by_definition():
     m, row, place, ids = trained_lm()
