@@ -10,13 +10,15 @@ its nodes share, about the logarithm of all nodes: below some 2**18 fingerprints
 
 similar_groups links by the share of word shingles instead, which 64 bits can't tell. A set of shingles has PRINTS SimHash fingerprints of PRINT_BITS
 bits there, each led by a code of its number, and all go through the same index at once: codes differ in more bits than are allowed, so it links
-equal numbers only. Sets whose fingerprints of one number are linked, by others too, share a bucket; what shares a bucket is a candidate, and whole
+equal numbers only. Within a pair of blocks only PRINT_BITS bits are left, few enough for half_forest, which finds the nodes that are near by their
+patterns. Sets whose fingerprints of one number are linked, by others too, share a bucket; what shares a bucket is a candidate, and whole
 sets of shingles decide. Of a bucket, pairs of blocks of sets move and are compared in numpy, and edges of a forest come back; never its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,10 @@ _SPREAD = 200_000  # distances worked out at once
 WORDS, SIMILAR, PRINTS, PRINT_BITS = 5, 0.8, 56, 38
 #: A fingerprint's number stands above its bits, each bit of it CODE times, which is more than BITS_APART; TAG bits in all.
 CODE, TAG = BITS_APART + 1, 24
-#: Tagged fingerprints in a block of the index, which is split where a number ends, so that few meet other blocks; and in the nodes of a block.
-TAGGED_BLOCK, TAGGED_LEVELS = 1 << 20, (*LEVELS, 8)
+#: Tagged fingerprints in a block of the index, which is split where a number ends, so that few meet other blocks.
+TAGGED_BLOCK = 1 << 20
+#: Fingerprints of a near node that each is compared with before those that are linked by then are left out.
+DENSE = 8
 #: A candidate's sets are compared if no more of all signature bits differ; at 0.8 that is 15 %, of unlike sets half.
 DIFFER = 0.25
 #: Sets, and shingles of theirs, in a block of a bucket; a longer set is a block of its own length.
@@ -197,6 +201,56 @@ def block_forest(a: np.ndarray, b: np.ndarray, same: bool, apart: int = BITS_APA
     return x[far], x[parent[far]]
 
 
+def half_forest(a: np.ndarray, b: np.ndarray, same: bool, apart: int = BITS_APART, bits: int = PRINT_BITS, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """As block_forest, for two blocks that share all but the last `bits` bits of a fingerprint. counts gets how many pairs of fingerprints were compared.
+
+    What differs in `apart` bits differs in half as many, rounded down, of one half of them. So each half in turn leads the order: a node is a run that shares
+    that half, its masked pattern, and instead of comparing nodes by pairs each goes to the nodes of the few patterns that near.
+    """
+    x = a if same else np.concatenate((a, b))
+    parent, base = np.arange(len(x)), 0 if same else len(a)
+
+    def compare(rows: np.ndarray, first: np.ndarray, end: np.ndarray) -> None:
+        """Each of rows with those from first to end on the other side, both as they are ordered."""
+        rows, first, many = (v[end > first] for v in (rows, first, end - first))
+        upto = np.cumsum(many)
+        for part in np.split(np.arange(len(rows)), np.searchsorted(upto, np.arange(_SPREAD * 8, upto[-1] if len(upto) else 0, _SPREAD * 8))):
+            m = many[part]
+            i = np.repeat(rows[part], m)
+            j = np.arange(len(i)) + np.repeat(first[part] - (np.cumsum(m) - m), m)
+            near = np.nonzero(np.bitwise_count(left[i] ^ right[j]) <= apart)[0]
+            if counts is not None:
+                counts[:] += len(i)
+            if len(near):
+                union(parent, rank_a[i[near]], rank_b[j[near]] + base)
+
+    for shift, width in ((0, bits // 2), (bits // 2, bits - bits // 2)):
+        keys = [(y >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.int64) for y in (a, b)]
+        rank_a, rank_b = (np.argsort(k, kind="stable") for k in keys)
+        key, left, right = keys[0][rank_a], a[rank_a], b[rank_b]
+        starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.bincount(keys[1], minlength=1 << width))))
+        for flip in (sum(1 << k for k in f) for n in range(apart // 2 + 1) for f in combinations(range(width), n)):
+            other = key ^ flip
+            rows = np.nonzero(other > key)[0] if same and flip else np.arange(len(key))
+            first, end = (starts[other[rows] + k] for k in (0, 1))
+            if same and not flip:
+                first = rows + 1
+            if (end - first).sum() <= DENSE * len(rows):
+                compare(rows, first, end)
+                continue
+            # long runs, as many near copies make, are mostly one component after a few of each; then only those of others are met, a run ordered by component
+            compare(rows, first, np.minimum(end, first + DENSE))
+            group = parent[rank_b + base]
+            again = np.lexsort((group, keys[1][rank_b]))
+            rank_b, right = rank_b[again], right[again]
+            own = other[rows] * len(x) + parent[rank_a[rows]]
+            low, high = (np.searchsorted(keys[1][rank_b] * len(x) + group[again], own, side) for side in ("left", "right"))
+            compare(rows, starts[other[rows]], low)
+            compare(rows, high, starts[other[rows] + 1])
+    far = np.nonzero(parent != np.arange(len(x)))[0]
+    return x[far], x[parent[far]]
+
+
 def _nodes(y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The pattern of each run of n fingerprints: values and mask."""
     starts = np.arange(0, len(y), n)
@@ -228,7 +282,7 @@ def fingerprint_links(fps: DataFrame, apart: int = BITS_APART, tag: int = 0) ->
             for row in batch.to_pylist():
                 (a, more), (b, _) = (_once(x) for x in _sides(row))
                 same = row["a"] == row["b"]
-                u, v = (np.concatenate((x, more[: len(more) * same])) for x in block_forest(a, b, same, apart, TAGGED_LEVELS if tag else LEVELS))
+                u, v = (np.concatenate((x, more[: len(more) * same])) for x in (half_forest if tag else block_forest)(a, b, same, apart))
                 yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     return _block_pairs(fps, apart, tag).mapInArrow(run, "u long, v long")

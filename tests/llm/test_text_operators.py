@@ -220,6 +220,38 @@ def test_prune_report(spark):
     assert got[near_dup.LEVELS[-1]].left < n * n / 2 / 3 and got[near_dup.LEVELS[-1]].looked < 0.8 * n * n / 2
 
 
+def test_half_forest_links_all_of_few_pairs():
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 38, 2000).astype(np.uint64)
+    near = base[:800].copy()
+    for _ in range(4):
+        near ^= np.uint64(1) << r.integers(0, 38, len(near)).astype(np.uint64)
+    fps = np.unique(np.concatenate((base, near, base[:1] ^ np.arange(40, dtype=np.uint64)))) | np.uint64(15 << 60)
+    left = np.arange(len(fps)) % 2 == 0
+    for a, b, same in ((fps, fps, True), (fps[left], fps[~left], False)):
+        every = fps if same else np.concatenate((a, b))
+        want, got = np.arange(len(every)), np.arange(len(every))
+        i, j = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= 3)
+        components.union(want, i, j + (0 if same else len(a)))
+        order = np.argsort(every)
+        at = lambda x: order[np.searchsorted(every, x, sorter=order)]
+        u, v = near_dup.half_forest(a, b, same)
+        components.union(got, at(u), at(v))
+        assert got.tolist() == want.tolist() and 0 < len(u) < len(i)
+    # unlike fingerprints: a pair of blocks compares a few of each, not all with all
+    some, counts = np.unique(r.integers(0, 1 << 38, 60_000).astype(np.uint64)), np.zeros(1, np.int64)
+    near_dup.half_forest(some, some, True, counts=counts)
+    assert counts[0] < 6 * len(some)
+    # nor do many near copies compare all with all
+    copies, counts = np.unique(np.bitwise_xor.reduce(np.where(r.random((6000, 38)) < 0.07, np.uint64(1) << np.arange(38, dtype=np.uint64), np.uint64(0)), axis=1)), np.zeros(1, np.int64)
+    u, v = near_dup.half_forest(copies, copies, True, counts=counts)
+    i, j = np.nonzero(np.bitwise_count(copies[:, None] ^ copies[None, :]) <= 3)
+    want, got = np.arange(len(copies)), np.arange(len(copies))
+    components.union(want, i, j)
+    components.union(got, np.searchsorted(copies, u), np.searchsorted(copies, v))
+    assert got.tolist() == want.tolist() and counts[0] < len(copies) ** 2 / 8
+
+
 @pytest.mark.parametrize("block", [16, 200, 5000])
 def test_gray_index_links_all(spark, block, monkeypatch):
     r = np.random.default_rng(block)
