@@ -24,3 +24,19 @@ def test_files_are_put_together_by_tasks(spark, tmp_path, monkeypatch):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["a.csv", "a.ply", "a.splat"]
     with pytest.raises(FileExistsError):
         files.write_tables(spark, f"{tmp_path}/a.ply", [b"x"], overwrite=False)
+
+
+def test_splats_are_written_once_in_small_sorts(spark, tmp_path, monkeypatch):
+    from cairn import splats
+    from cairn.operators import table
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    written, write = [], table.materialize
+    monkeypatch.setattr(table, "materialize", lambda df: written.append(write(df)) or written[-1])
+    monkeypatch.setattr(table, "SORT_ROWS", 500)
+    got = splats.lineitem_splats(rows).orderBy("row_id").select("row_id", "y", "scale_2").collect()
+    n = rows.count()
+    assert [w.count() for w in written] == [n, -(-n // 500)]  # the rows, and a row a partition
+    assert written[0].groupBy(F.shiftright("_at", 33)).count().agg(F.max("count")).first()[0] < 1500
+    own = sorted((r.l_orderkey, r.l_linenumber, r.l_partkey, r.l_suppkey, r.l_quantity, r.l_extendedprice) for r in rows.collect())
+    assert [tuple(r) for r in got] == [(k, r[5] / 1e3 - 50.0, r[1] / 10 - 3.0) for k, r in enumerate(own)]
