@@ -40,3 +40,38 @@ def test_splats_are_written_once_in_small_sorts(spark, tmp_path, monkeypatch):
     assert written[0].groupBy(F.shiftright("_at", 33)).count().agg(F.max("count")).first()[0] < 1500
     own = sorted((r.l_orderkey, r.l_linenumber, r.l_partkey, r.l_suppkey, r.l_quantity, r.l_extendedprice) for r in rows.collect())
     assert [tuple(r) for r in got] == [(k, r[5] / 1e3 - 50.0, r[1] / 10 - 3.0) for k, r in enumerate(own)]
+
+
+def test_hierarchy_writes_rows_once(spark, monkeypatch):
+    """Levels above the tasks' don't write the rows again, and what is carried comes back."""
+    from cairn.operators import trees
+
+    df = spark.range(3000).select(F.col("id").alias("row_id"), *[(F.xxhash64("id", F.lit(k)) % 1000).cast("double").alias(c) for k, c in enumerate("xyz")], (F.col("id") % 3).alias("lod"))
+    written, write = [], trees.materialize
+    monkeypatch.setattr(trees, "materialize", lambda d: written.append(write(d)) or written[-1])
+    nodes, rows = trees.bounding_hierarchy(df, leaf=100, task_rows=200, carry=("lod",))
+    assert sum(w.count() >= 3000 for w in written) == 2  # as they come, and with their leaves
+    assert rows.where("lod <> row_id % 3").isEmpty() and rows.count() == 3000
+    _, want = trees.bounding_hierarchy(df, leaf=100)
+    assert sorted(rows.select("row_id", "node").collect()) == sorted(want.collect())
+
+
+def test_chunk_round_trip_joins_no_rows(spark, monkeypatch):
+    """Rows are never joined with themselves: every join has the chunks' bounds on one side."""
+    from cairn import queries
+
+    df = queries.QUERIES["chunk_roundtrip"](spark, "/root/testdata/sf0.001")
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    wide = [k for k in range(leaves.size()) if "l_extendedprice" in leaves.apply(k).toString()]
+    assert len(wide) == 1 and df.first().asDict() == {"n": 6000, "positions": True, "scales": True}
+
+
+def test_leaves_stop_where_their_sql_does(spark, monkeypatch):
+    """A hierarchy that goes deeper than the SQL gives the nodes at its last level."""
+    from conftest import DATA
+    from oracle import duck, same
+
+    from cairn import queries
+
+    monkeypatch.setattr(queries, "_LEVELS", 3)
+    same(queries.QUERIES["bvh_leaves"](spark, DATA), queries.ORACLES["bvh_leaves"].replace(queries._split(16), queries._split(3)), duck(DATA))
