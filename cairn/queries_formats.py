@@ -7,6 +7,7 @@ import json
 import struct
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cairn.functions import color, numeric, packing, quaternion
@@ -15,16 +16,32 @@ from cairn.plans import actions as A
 from cairn.queries import query, r6
 from cairn.schema import POSITION, ROTATION, bands_of, element_bytes, rest_columns, validate
 from cairn.sources import codecs
-from cairn.sources.files import write_file
+from cairn.sources.files import write_file, write_tables
 
 _H = "0.7071067811865476e0"
 
 
-def _file(s, name: str, data: bytes) -> str:
+#: Rows, or units of rows, that are made at once.
+_MADE = 1 << 16
+
+
+def _made(s, n: int, block, per: int = _MADE):
+    """block(first, end) of all stretches of n numbers, in order: a table that tasks make."""
+    steps = -(-n // per)
+
+    def run(batches):
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                yield pa.record_batch([pa.array([block(k * per, min(n, (k + 1) * per))], pa.binary())], names=["block"])
+
+    return s.sparkSession.range(0, steps, 1, max(1, min(steps, 1024))).mapInArrow(run, "block binary")
+
+
+def _file(s, name: str, parts: list) -> str:
     from cairn.storage import shared_path
 
     path = f"{shared_path(s.sparkSession)}/{name}"
-    write_file(path, iter([data]))
+    write_tables(s.sparkSession, path, parts)
     return path
 
 
@@ -54,16 +71,23 @@ def _r4(c, name):
     return (F.round(F.col(c).cast("double"), 4) + 0.0).alias(name)
 
 
-def _planes(n: int, *widths: tuple[int, int]) -> list[np.ndarray]:
-    """Planes of n rows of so many bytes, whose fields are numbered from a first salt on."""
-    rows = np.arange(n, dtype=np.int64)
-    return [np.stack([_byte(0, salt + k, rows) for k in range(w)], 1) if w else np.zeros((n, 0), np.uint8) for w, salt in widths]
+def _plane(width: int, salt: int, zipped: bool):
+    """Rows of so many bytes, whose fields are numbered from a first salt on."""
 
+    def block(first: int, end: int) -> bytes:
+        rows = np.arange(first, end, dtype=np.int64)
+        data = np.stack([_byte(0, salt + k, rows) for k in range(width)], 1).tobytes()
+        return gzip.compress(data, 1) if zipped else data
 
-def _spz(n: int, version: int, degree: int) -> bytes:
-    rest = 3 * codecs.BAND_COEFFICIENTS[degree]
-    p, alpha, c, sc, q, h = _planes(n, (9, 0), (1, 9), (3, 10), (3, 13), (3 if version == 2 else 4, 16), (rest, 20))
-    return struct.pack("<IIIBBBB", codecs.SPZ_MAGIC, version, n, degree, 12, 0, 0) + b"".join(x.tobytes() for x in (p, alpha, c, sc, q, h))
+    return block
+
+
+def _spz(s, version: int, degree: int, zipped: bool = False) -> list:
+    """Header and planes; of a zipped file each block is a member of its own."""
+    n, rest = s.count(), 3 * codecs.BAND_COEFFICIENTS[degree]
+    planes = ((9, 0), (1, 9), (3, 10), (3, 13), (3 if version == 2 else 4, 16), (rest, 20))
+    head = struct.pack("<IIIBBBB", codecs.SPZ_MAGIC, version, n, degree, 12, 0, 0)
+    return [gzip.compress(head, 1) if zipped else head, *[_made(s, n, _plane(w, salt, zipped)) for w, salt in planes if w]]
 
 
 _FIX = lambda a: f"(CASE WHEN {a} >= 8388608 THEN {a} - 16777216 ELSE {a} END / 4096.0)"
@@ -74,7 +98,7 @@ _XYZ = [f"({_B(16 + k)} / 127.5e0 - 1)" for k in range(3)]
 @query(f"SELECT row_id, {_SPZ}, " + ", ".join(_R4(e, f"rot_{k + 1}") for k, e in enumerate(_XYZ)) + f", {_R4('sqrt(greatest(0, 1 - ' + ' - '.join(f'{e} * {e}' for e in _XYZ) + '))', 'rot_0')}, {_R4(f'({_B(20 + 4)} - 128) / 128e0', 'f_rest_4')} FROM splats")
 def spz2_decode(s):
     """SPZ of version 2 with one band, in gzip. Coefficients lie by coefficient, then channel: f_rest_4 is the second of the second channel, the fifth byte."""
-    back = _back(s, _file(s, "a.spz", gzip.compress(_spz(s.count(), 2, 1), 1)))
+    back = _back(s, _file(s, "a.spz", _spz(s, 2, 1, zipped=True)))
     assert set(rest_columns(1)) <= set(back.columns)
     return back.select("row_id", *[_r4(c, c) for c in (*POSITION, "opacity", "f_dc_0", "scale_2", *ROTATION, "f_rest_4")])
 
@@ -90,23 +114,49 @@ def _spz3_sql() -> str:
 @query(_spz3_sql())
 def spz3_decode(s):
     """Rotations of SPZ version 3, without gzip."""
-    return _back(s, _file(s, "b.spz", _spz(s.count(), 3, 0))).select("row_id", *[_r4(c, c) for c in ROTATION])
+    return _back(s, _file(s, "b.spz", _spz(s, 3, 0))).select("row_id", *[_r4(c, c) for c in ROTATION])
 
 
 _KS_CAP, _KS_FIRST = 256, 3
 
 
-def _ksplat(n: int, mode: int, degree: int) -> bytes:
-    """Two sections, of a third and the rest of n rows; buckets of _KS_CAP rows, the last of each section partly full."""
-    center, scale, rotation, colour, harmonic, _ = codecs.KSPLAT_MODES[mode]
-    width = 3 * codecs.BAND_COEFFICIENTS[degree]
+def _ksplat_records(before: int, mode: int, degree: int):
+    """Records of a section whose first row is `before`."""
+    width, number = 3 * codecs.BAND_COEFFICIENTS[degree], "<f4" if mode == 0 else "<f2"
+
+    def block(first: int, end: int) -> bytes:
+        rows = np.arange(before + first, before + end, dtype=np.int64)
+        p = np.stack([(rows * (2 * j + 7) + 13 * j) % 65521 for j in range(3)], 1)
+        sc = np.stack([((rows + j) % 64 + 1) / 64.0 for j in range(3)], 1)
+        q = np.stack([((rows * 3 + j) % 33 - 16) / 16.0 for j in range(4)], 1)
+        c = np.stack([_byte(0, j, rows) for j in range(4)], 1)
+        parts = [(p / 64.0 - 512).astype("<f4") if mode == 0 else p.astype("<u2"), sc.astype(number), q.astype(number), c]
+        if width:
+            h = np.stack([_byte(0, 10 + j, rows) for j in range(width)], 1)
+            parts.append({0: (h / 64.0).astype("<f4"), 1: (h / 64.0).astype("<f2"), 2: h}[mode])
+        return np.concatenate([x.view(np.uint8).reshape(len(rows), -1) for x in parts], 1).tobytes()
+
+    return block
+
+
+def _ksplat_centers(k: int):
+    def block(first: int, end: int) -> bytes:
+        at = np.arange(first, end)
+        return np.stack([at * 1.0 + k * 1000, at * -2.0, np.full(len(at), 0.5)], 1).astype("<f4").tobytes()
+
+    return block
+
+
+def _ksplat(s, mode: int, degree: int) -> list:
+    """Two sections, of a third and the rest of all rows; buckets of _KS_CAP rows, the last of each section partly full."""
+    n = s.count()
     sizes = [n // _KS_FIRST, n - n // _KS_FIRST]
     head = bytearray(codecs.KSPLAT_HEADER + 2 * codecs.KSPLAT_SECTION)
     struct.pack_into("<BBxxI", head, 0, 0, 1, 2)
     struct.pack_into("<I", head, 16, n)
     struct.pack_into("<H", head, 20, mode)
     struct.pack_into("<ff", head, 36, -2.0, 2.0)
-    body, first = b"", 0
+    body, first = [], 0
     for k, m in enumerate(sizes):
         full, part = divmod(m, _KS_CAP)
         buckets, partial = full + (part > 0), int(part > 0)
@@ -115,21 +165,9 @@ def _ksplat(n: int, mode: int, degree: int) -> bytes:
         struct.pack_into("<fH", head, at + 16, 8.0, 12)
         struct.pack_into("<I", head, at + 24, 0)
         struct.pack_into("<IIH", head, at + 32, full, partial, degree)
-        rows = np.arange(first, first + m, dtype=np.int64)
-        p = np.stack([(rows * (2 * j + 7) + 13 * j) % 65521 for j in range(3)], 1)
-        sc = np.stack([((rows + j) % 64 + 1) / 64.0 for j in range(3)], 1)
-        q = np.stack([((rows * 3 + j) % 33 - 16) / 16.0 for j in range(4)], 1)
-        c = np.stack([_byte(0, j, rows) for j in range(4)], 1)
-        number = "<f4" if mode == 0 else "<f2"
-        parts = [(p / 64.0 - 512).astype("<f4") if mode == 0 else p.astype("<u2"), sc.astype(number), q.astype(number), c]
-        if width:
-            h = np.stack([_byte(0, 10 + j, rows) for j in range(width)], 1)
-            parts.append({0: (h / 64.0).astype("<f4"), 1: (h / 64.0).astype("<f2"), 2: h}[mode])
-        record = np.concatenate([x.view(np.uint8).reshape(m, -1) for x in parts], 1)
-        centers = np.stack([np.arange(buckets) * 1.0 + k * 1000, np.arange(buckets) * -2.0, np.full(buckets, 0.5)], 1).astype("<f4")
-        body += np.array([part] * partial, "<u4").tobytes() + centers.tobytes() + record.tobytes()
+        body += [np.array([part] * partial, "<u4").tobytes(), _made(s, buckets, _ksplat_centers(k)), _made(s, m, _ksplat_records(first, mode, degree))]
         first += m
-    return bytes(head) + body
+    return [bytes(head), *body]
 
 
 _IN = f"(SELECT count(*) // {_KS_FIRST} FROM splats)"
@@ -143,7 +181,7 @@ _KCOLUMNS = [*POSITION, "scale_0", "scale_1", "scale_2", *ROTATION, "f_dc_1", "o
 @query("SELECT row_id, " + ", ".join([*(_R4(f"{e} / 64e0 - 512", c) for e, c in zip(_KP, POSITION, strict=True)), *_KREST]) + ", " + ", ".join(_R4(f"{_B(10 + j)} / 64e0", f"f_rest_{i}") for j, i in ((0, 0), (4, 4), (8, 8))) + " FROM splats")
 def ksplat0_decode(s):
     """KSPLAT without compression, two sections, one band: its coefficients lie channel by channel."""
-    back = _back(s, _file(s, "a.ksplat", _ksplat(s.count(), 0, 1)))
+    back = _back(s, _file(s, "a.ksplat", _ksplat(s, 0, 1)))
     return back.select("row_id", *[_r4(c, c) for c in (*_KCOLUMNS, "f_rest_0", "f_rest_4", "f_rest_8")])
 
 
@@ -158,7 +196,7 @@ def _ks_packed(extra: str = "") -> str:
 @query(_ks_packed())
 def ksplat1_decode(s):
     """KSPLAT of 16-bit numbers: positions are offsets from the centre of their bucket, of which each section's last is partly full."""
-    return _back(s, _file(s, "b.ksplat", _ksplat(s.count(), 1, 0))).select("row_id", *[_r4(c, c) for c in _KCOLUMNS])
+    return _back(s, _file(s, "b.ksplat", _ksplat(s, 1, 0))).select("row_id", *[_r4(c, c) for c in _KCOLUMNS])
 
 
 # of two bands the second's five coefficients of a channel follow all of the first's nine
@@ -168,34 +206,52 @@ _KS2 = {0: 0, 2: 2, 3: 9, 8: 3, 15: 18, 23: 23}
 @query(_ks_packed(", " + ", ".join(_R4(f"-2 + {_B(10 + j)} / 255e0 * 4", f"f_rest_{i}") for i, j in _KS2.items())))
 def ksplat2_decode(s):
     """KSPLAT of bytes: harmonics of two bands between the file's bounds, band by band, then channel by channel."""
-    return _back(s, _file(s, "c.ksplat", _ksplat(s.count(), 2, 2))).select("row_id", *[_r4(c, c) for c in (*_KCOLUMNS, *(f"f_rest_{i}" for i in _KS2))])
+    return _back(s, _file(s, "c.ksplat", _ksplat(s, 2, 2))).select("row_id", *[_r4(c, c) for c in (*_KCOLUMNS, *(f"f_rest_{i}" for i in _KS2))])
 
 
 _LCC_UNIT = 500
 
 
-def _lcc(s, n: int) -> str:
-    """meta.lcc, index.bin and data.bin of units of _LCC_UNIT rows with levels 0 and 1: a unit's odd rows are its level 1."""
-    from cairn.storage import shared_path
+def _lcc_size(u, lod: int, n: int):
+    """Rows of units u at a level."""
+    return (np.clip(n - np.asarray(u) * _LCC_UNIT, 0, _LCC_UNIT) + 1 - lod) // 2
 
-    folder = shared_path(s.sparkSession)
-    rows = np.arange(n, dtype=np.int64)
+
+def _lcc_index(n: int):
+    def block(first: int, end: int) -> bytes:
+        u = np.arange(first, end)
+        r = np.zeros(len(u), [("x", "<i2"), ("y", "<i2"), ("lods", [("points", "<i4"), ("offset", "<i8"), ("size", "<i4")], 2)])
+        r["x"], r["y"] = u % 100, u // 100 % 30_000
+        for lod in range(2):
+            m = _lcc_size(u, lod, n)
+            r["lods"]["points"][:, lod], r["lods"]["size"][:, lod] = m, m * codecs.LCC_RECORD.itemsize
+            r["lods"]["offset"][:, lod] = (u * _LCC_UNIT + lod * _lcc_size(u, 0, n)) * codecs.LCC_RECORD.itemsize
+        return r.tobytes()
+
+    return block
+
+
+def _lcc_records(first: int, end: int) -> bytes:
+    """Of rows of whole units; the last may be shorter."""
+    rows = np.arange(first, end, dtype=np.int64)
     rows = rows[np.lexsort((rows, rows % 2, rows // _LCC_UNIT))]
-    r = np.zeros(n, codecs.LCC_RECORD)
+    r = np.zeros(len(rows), codecs.LCC_RECORD)
     r["p"] = np.stack([rows % 1000, rows // 1000, -rows % 77], 1)
     r["color"] = np.stack([_byte(1, j, rows) for j in range(4)], 1)
     r["scale"] = (rows * 2654435761) % (1 << 32)
     r["rotation"] = (rows * 40503) % (1 << 32)
-    index, at = b"", 0
-    for u in range(-(-n // _LCC_UNIT)):
-        index += struct.pack("<hh", u % 100, u // 100)
-        for lod in range(2):
-            m = len(range(u * _LCC_UNIT + lod, min(n, (u + 1) * _LCC_UNIT), 2))
-            index += struct.pack("<iqi", m, at, m * r.itemsize)
-            at += m * r.itemsize
+    return r.tobytes()
+
+
+def _lcc(s, n: int) -> str:
+    """meta.lcc, index.bin and data.bin of units of _LCC_UNIT rows with levels 0 and 1: a unit's odd rows are its level 1."""
+    from cairn.storage import shared_path
+
+    folder = shared_path(s.sparkSession)
     meta = {"totalLevel": 2, "attributes": [{"name": "scale", "min": [0.01, 0.02, 0.04], "max": [1.0, 2.0, 4.0]}]}
-    for name, data in (("index.bin", index), ("data.bin", r.tobytes()), ("meta.lcc", json.dumps(meta).encode())):
-        write_file(f"{folder}/{name}", iter([data]))
+    write_tables(s.sparkSession, f"{folder}/index.bin", [_made(s, -(-n // _LCC_UNIT), _lcc_index(n))])
+    write_tables(s.sparkSession, f"{folder}/data.bin", [_made(s, n, _lcc_records, 128 * _LCC_UNIT)])
+    write_file(f"{folder}/meta.lcc", iter([json.dumps(meta).encode()]))
     return f"{folder}/meta.lcc"
 
 

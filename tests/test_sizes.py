@@ -75,3 +75,28 @@ def test_leaves_stop_where_their_sql_does(spark, monkeypatch):
 
     monkeypatch.setattr(queries, "_LEVELS", 3)
     same(queries.QUERIES["bvh_leaves"](spark, DATA), queries.ORACLES["bvh_leaves"].replace(queries._split(16), queries._split(3)), duck(DATA))
+
+
+@pytest.mark.parametrize("name", ["ksplat0_decode", "ksplat1_decode", "ksplat2_decode", "spz2_decode", "spz3_decode", "lcc_decode", "lcc_one_level"])
+def test_files_are_read_by_rows(spark, monkeypatch, name):
+    """Sections, planes and streams are cut into parts of rows, short units are read together, and the files are made by tasks, in more than one block."""
+    from conftest import DATA
+    from oracle import duck, same
+
+    from cairn import queries, queries_formats
+    from cairn.sources import datasources
+
+    monkeypatch.setattr(queries_formats, "_MADE", 1700)
+    parts, back = [], queries_formats._back
+
+    def cut(s, path, **options):
+        out = back(s, path, rows="1024", **options)
+        kind = {"ksplat": datasources.KsplatSource, "spz": datasources.SpzSource, "lcc": datasources.LccSource}[path.rpartition(".")[2]]
+        source = kind(options | {"path": path, "rows": "1024"})
+        parts.extend(p.rows for p in source.reader(source.schema()).partitions())
+        return out
+
+    monkeypatch.setattr(queries_formats, "_back", cut)
+    same(queries.QUERIES[name](spark, DATA), queries.ORACLES[name], duck(DATA))
+    n = 6000 // (1 + (name == "lcc_one_level"))
+    assert sum(parts) == n and max(parts) <= 1024 + 500 and n // 1024 <= len(parts) <= n // 1024 + 2
