@@ -100,3 +100,26 @@ def test_files_are_read_by_rows(spark, monkeypatch, name):
     same(queries.QUERIES[name](spark, DATA), queries.ORACLES[name], duck(DATA))
     n = 6000 // (1 + (name == "lcc_one_level"))
     assert sum(parts) == n and max(parts) <= 1024 + 500 and n // 1024 <= len(parts) <= n // 1024 + 2
+
+
+def test_order_by_given_values_and_packing_in_doubles(spark, tmp_path):
+    """Rows are placed by the values given, not by those rounded to floats, and offsets in a chunk aren't rounded to floats either."""
+    from cairn.operators import chunks, order
+
+    r = np.random.default_rng(3)
+    # the edge between two cells of y, missed by less than a float tells
+    edge = 512 * (100.0 / 1024)
+    ys = [0.0, 100.0, *(edge + (1 - 2 * (k % 2)) * 1e-9 for k in range(300))]
+    rows = [(k, 1.0, y, 1.0, *([0.5] * (len(sinks.GAUSSIAN) - 3))) for k, y in enumerate(ys)]
+    df = spark.createDataFrame(rows, "row_id long, " + ", ".join(f"{c} double" for c in sinks.GAUSSIAN))
+    assert sinks.GAUSSIAN[:3] == ["x", "y", "z"]
+    sinks.write_compressed_ply(df, f"{tmp_path}/a.compressed.ply")
+    place = {x.row_id: x.position for x in order.morton_order(df).collect()}
+    assert max(place[k] for k in range(3, 302, 2)) < min(place[k] for k in range(2, 302, 2))
+    # of a packed table: codes as double arithmetic gives them
+    y = np.sort(r.integers(0, 10_000, 256)).astype(np.float32) / np.float32(100) - np.float32(50)
+    flat = spark.createDataFrame([(k, float(v)) for k, v in enumerate(y)], "position long, y float").select("position", "y", *[F.lit(0.5).cast("float").alias(c) for c in sinks.GAUSSIAN if c != "y"])
+    ready = chunks.prepared(flat)
+    got = [x.packed_position >> 11 & 1023 for x in chunks.pack(ready, chunks.chunk_bounds(ready)).orderBy("position").collect()]
+    d = y.astype(np.float64)
+    assert got == np.floor((d - d[0]) / (d[-1] - d[0]) * 1023 + 0.5).astype(int).tolist() and dict(ready.dtypes)["y"] == "double"
