@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,9 +84,22 @@ def half(bits) -> Column:
     return F.when(b.bitwiseAND(1 << 15) != 0, -v).otherwise(v)
 
 
-def random_hex(digits: int) -> Column:
-    """So many random hexadecimal digits, at most 32; another row, another text."""
-    return F.substring(F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")), 1, digits)
+def random_hex(digits: int, of=None) -> Column:
+    """So many random hexadecimal digits, at most 32; another row, another text, but for chance.
+
+    With `of`, a column of different whole numbers from 0 below 16 ** digits (at most 15 digits), no two rows have the same text: the numbers are
+    shuffled by four rounds of a Feistel network whose keys are drawn for each call.
+    """
+    if of is None:
+        return F.substring(F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")), 1, digits)
+    if digits > 15:
+        raise ValueError("at most 15 digits of a number")
+    bits = 2 * digits
+    mask = (1 << bits) - 1
+    left, right = F.shiftright(col(of).cast("long"), bits), col(of).cast("long").bitwiseAND(mask)
+    for _ in range(4):
+        left, right = right, left.bitwiseXOR(F.xxhash64(right, F.lit(secrets.randbits(62))).bitwiseAND(mask))
+    return F.lower(F.lpad(F.hex(F.shiftleft(left, bits).bitwiseOR(right)), digits, "0"))
 
 
 #: The generator's multiplier, increment, modulus and first seed.

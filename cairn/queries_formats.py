@@ -378,8 +378,8 @@ def lod_rolling(s):
 
 @query("SELECT count(*) AS n, count(*) AS different, 12::BIGINT AS least, 12::BIGINT AS most FROM splats")
 def random_hex_digits(s):
-    """Twelve random digits a row; two rows of a million share theirs with probability 0.002."""
-    h = s.select(numeric.random_hex(12).alias("h")).where("h RLIKE '^[0-9a-f]{12}$'")
+    """Twelve random digits a row, which are shuffled row numbers: no two rows share theirs."""
+    h = s.select(numeric.random_hex(12, of="row_id").alias("h")).where("h RLIKE '^[0-9a-f]{12}$'")
     return h.agg(F.count("*").alias("n"), F.count_distinct("h").alias("different"), F.min(F.length("h")).cast("long").alias("least"), F.max(F.length("h")).cast("long").alias("most"))
 
 

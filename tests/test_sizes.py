@@ -123,3 +123,31 @@ def test_order_by_given_values_and_packing_in_doubles(spark, tmp_path):
     got = [x.packed_position >> 11 & 1023 for x in chunks.pack(ready, chunks.chunk_bounds(ready)).orderBy("position").collect()]
     d = y.astype(np.float64)
     assert got == np.floor((d - d[0]) / (d[-1] - d[0]) * 1023 + 0.5).astype(int).tolist() and dict(ready.dtypes)["y"] == "double"
+
+
+def test_random_hex_of_numbers_never_repeats(spark):
+    """4096 rows and as many texts of three digits: drawn by themselves, a third of them would be missing."""
+    from cairn.functions import numeric
+
+    n, different, least, most = spark.range(4096).select(numeric.random_hex(3, of="id").alias("h")).agg(F.count("h"), F.count_distinct("h"), F.min(F.length("h")), F.max(F.length("h"))).first()
+    assert (n, different, least, most) == (4096, 4096, 3, 3)
+    a, b = (spark.range(50).select(numeric.random_hex(12, of="id").alias("h")).collect() for _ in range(2))
+    assert a != b and all(len(r.h) == 12 and set(r.h) <= set("0123456789abcdef") for r in a)
+
+
+def test_nearest_ships_no_pairs(spark, monkeypatch):
+    """No table of queries by cells is made: what is written has a row a query or a candidate at most. Sums are added in order, as in SQL."""
+    from cairn.operators import neighbors
+
+    r = np.random.default_rng(4)
+    x = r.normal(size=(1500, 16)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    written, write = [], neighbors.materialize
+    monkeypatch.setattr(neighbors, "materialize", lambda d: written.append(write(d)) or written[-1])
+    got = {t.id: (t.c, t.distance2) for t in neighbors.nearest(df, df.withColumnRenamed("id", "c"), "id", "c", F.col("v"), F.reverse("v")).collect()}
+    assert max(w.count() for w in written) == 1500
+    apart = x.astype(np.float64)[:, None] - x.astype(np.float64)[None, :, ::-1]
+    d = np.zeros((1500, 1500))
+    for k in range(16):
+        d += apart[:, :, k] ** 2
+    assert all(got[k] == (d[k].argmin(), d[k].min()) for k in range(1500))
